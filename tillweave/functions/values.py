@@ -7,6 +7,7 @@ are exact decimals rounded half away from zero, and dates carry a time part.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,6 +81,17 @@ def order_nulls(c: str | Column, desc: bool = False, nulls: str | None = None) -
     return c.asc_nulls_first() if nulls == "first" else c.asc_nulls_last()
 
 
+class By(NamedTuple):
+    """A named sort column; NULL placement follows order_nulls unless given."""
+
+    col: str
+    desc: bool = False
+    nulls: str | None = None
+
+    def key(self, col: str | None = None) -> Column:
+        return order_nulls(col or self.col, self.desc, self.nulls)
+
+
 # ---- exact ratios ------------------------------------------------------------------------------
 
 _WIDE = "decimal(22,2)"
@@ -164,8 +176,14 @@ def normalise_sku(c: str | Column) -> Column:
     return F.upper(F.regexp_replace(F.trim(as_col(c)), "[^A-Za-z0-9]", ""))
 
 
+def upper_one_to_one(c: str | Column) -> Column:
+    """Upper case that never lengthens the text: sharp s stays, as in the source."""
+    held = F.translate(as_col(c), "\u00df", "\ue000")
+    return F.translate(F.upper(held), "\ue000", "\u00df")
+
+
 def normalise_text(c: str | Column) -> Column:
-    return F.upper(F.trim(F.regexp_replace(as_col(c), r"\s+", " ")))
+    return upper_one_to_one(F.trim(F.regexp_replace(as_col(c), r"\s+", " ")))
 
 
 def pad_ref(prefix: str, c: str | Column, width: int) -> Column:
