@@ -132,7 +132,8 @@ def asof(
 
 def fx_asof(df: DataFrame, rates: DataFrame, from_: str, to: str, date: str) -> DataFrame:
     """Attach `rate`: the newest quote at or before the date, else the inverse of the newest quote
-    of the swapped pair, else NULL. Equal currencies take 1.
+    of the swapped pair, else NULL. Equal currencies take 1. `inverse` holds the swapped quote where
+    it was used, so that a caller can divide by it instead of multiplying by a rounded 1/x.
 
     Requests are reduced to distinct (from, to, date) before the as-of join, so the join never
     sees more rows than there are pairs and dates.
@@ -148,7 +149,8 @@ def fx_asof(df: DataFrame, rates: DataFrame, from_: str, to: str, date: str) ->
     one = F.lit(1).cast("decimal(18,8)")
     found = both.select(
         F.col("from_currency").alias("_f"), F.col("to_currency").alias("_t"), F.col("on_date").alias("_d"),
-        F.coalesce(F.col("rate").cast("decimal(38,18)"), (one / F.col("inverse")).cast("decimal(38,18)")).alias("rate"))
+        F.coalesce(F.col("rate").cast("decimal(38,18)"), (one / F.col("inverse")).cast("decimal(38,18)")).alias("rate"),
+        F.when(F.col("rate").isNull(), F.col("inverse")).alias("inverse"))
     joined = df.join(found, (F.col(from_) == F.col("_f")) & (F.col(to) == F.col("_t")) & (F.col(date) == F.col("_d")), "left")
     return joined.withColumn(
         "rate", F.when(F.col(from_) == F.col(to), F.lit(1).cast("decimal(38,18)")).otherwise(F.col("rate"))).drop("_f", "_t", "_d")
