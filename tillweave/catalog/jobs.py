@@ -88,14 +88,17 @@ query("archive_purge_summary", """
 SELECT 'ARCHIVE_PURGE' AS rule_code, '2024' AS entity_key, CONCAT('candidates=', CAST(COUNT(*) AS STRING), ' dry_run=Y') AS detail FROM rt_data_quality_issue WHERE resolved_ts IS NOT NULL""")(
     lambda t: m.archive_purge(t.data_quality_issue, 2024)[1].select("rule_code", "entity_key", "detail"))
 
-_GOOD = {"QTY_NEGATIVE": c("qty_received") >= 0, "REJECT_UNKNOWN": c("qty_rejected").isNotNull()}
+def _good():
+    return {"QTY_NEGATIVE": c("qty_received") >= 0, "REJECT_UNKNOWN": c("qty_rejected").isNotNull()}
+
+
 query("insert_quarantine", """
 SELECT receipt_id FROM rt_goods_receipt WHERE qty_received >= 0 AND qty_rejected IS NOT NULL""")(
-    lambda t: m.quarantine(t.goods_receipt, _GOOD, "GOODS_RECEIPT", c("receipt_id"))[0].select("receipt_id"))
+    lambda t: m.quarantine(t.goods_receipt, _good(), "GOODS_RECEIPT", c("receipt_id"))[0].select("receipt_id"))
 query("insert_quarantine_rejects", """
 SELECT 'QTY_NEGATIVE' AS rule_code, CAST(receipt_id AS STRING) AS entity_key FROM rt_goods_receipt WHERE qty_received < 0
 UNION ALL SELECT 'REJECT_UNKNOWN', CAST(receipt_id AS STRING) FROM rt_goods_receipt WHERE qty_rejected IS NULL""")(
-    lambda t: m.quarantine(t.goods_receipt, _GOOD, "GOODS_RECEIPT", c("receipt_id"))[1].select("rule_code", "entity_key"))
+    lambda t: m.quarantine(t.goods_receipt, _good(), "GOODS_RECEIPT", c("receipt_id"))[1].select("rule_code", "entity_key"))
 
 query("dedupe_key", """
 SELECT variant_id AS product_id, MIN(order_id * 100 + line_no) AS first_seen FROM (SELECT DISTINCT variant_id, order_id, line_no FROM rt_sales_order_line)
