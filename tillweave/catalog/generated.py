@@ -59,7 +59,9 @@ SHAPES = {
 
 def shape_report(t, group: str) -> DataFrame:
     """Rows, distinct keys and orphans of a group's tables."""
-    all_tables = generate(t.spark, scale_of(t))
+    home = {name: g for g, tables in SHAPES.items() for name in tables}
+    needed = {home[p] for _, refs in SHAPES[group].values() for _, p, _ in refs if p in home} | {group}
+    all_tables = generate(t.spark, scale_of(t), groups=sorted(needed))
     parts = []
     for name, (key, refs) in SHAPES[group].items():
         df = all_tables[name]

@@ -156,7 +156,7 @@ def rule_in(t):
                                      F.when(F.col("order_id") % 2 == 0, F.col("unit_price")).alias("base_price"))
 
 
-for _n in (5, 1, 2, 3, 4):
+for _n in range(1, 11):
     _theme = p.RULE_THEMES[_n - 1][0]
     _seen = "f.variant_id IS NOT NULL" if _n % 5 == 0 else "TRUE"
     query(f"job_rule_evaluate_{_theme.lower()}", f"""

@@ -451,3 +451,9 @@ query("hier_cycle_members", _RING + """, climb AS (
   UNION ALL
   SELECT c.o, e.manager_id, c.lv + 1 FROM climb c JOIN emp e ON e.employee_id = c.manager_id WHERE c.lv < 12 AND c.manager_id <> c.o)
 SELECT DISTINCT o AS employee_id FROM climb WHERE manager_id = o""")(lambda t: tree.on_ring(_ring(t), "employee_id", "manager_id"))
+
+# the same operators under the names of the join inventory
+from tillweave.catalog.registry import ORACLES, QUERIES  # noqa: E402
+
+for _alias, _name in (("join_recursive", "hier_employee_line"), ("join_legacy_outer", "v_legacy_orders")):
+    QUERIES[_alias], ORACLES[_alias] = QUERIES[_name], ORACLES[_name]
