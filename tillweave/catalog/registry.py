@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillweave.session import configure
 from tillweave.sources.binding import with_ctes
 from tillweave.sources.tables import RetailTables
 
@@ -40,6 +41,18 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+_TABLES: dict[tuple[int, str], RetailTables] = {}
+
+
+def tables(spark: SparkSession, folder: str) -> RetailTables:
+    """The bound tables of a folder; plans only, built once per session and folder."""
+    key = (id(spark), folder)
+    if key not in _TABLES or _TABLES[key].spark is not spark:
+        _TABLES[key] = RetailTables(spark, folder)
+    configure(spark)
+    return _TABLES[key]
+
+
 def query(name: str, sql: str | None = None):
     """Register `fn(t) -> DataFrame` under `name`, with its checking SQL."""
 
@@ -48,7 +61,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is already registered")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return plain(fn(RetailTables(spark, folder)))
+            return plain(fn(tables(spark, folder)))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

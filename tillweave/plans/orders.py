@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillweave.functions.values import as_time, order_nulls
 from tillweave.operators.positions import assign_ids
-from tillweave.plans.pricing import dec, effective_price, store_country
+from tillweave.plans.pricing import dec, price_requests, store_country
 from tillweave.plans.reports import available_qty
 from tillweave.plans.views import CHANNELS
 from tillweave.sources.tables import RetailTables
@@ -20,8 +20,7 @@ def basket_validate(heads: DataFrame, lines: DataFrame, t: RetailTables, as_of)
     no price, changed price.
     """
     asked = lines.join(heads, "basket_id").withColumn("on_date", as_time(as_of))
-    priced, unpriced = effective_price(asked, t)
-    whole = priced.unionByName(unpriced.drop("reject_reason").withColumn("price", F.lit(None).cast(priced.schema["price"].dataType)))
+    whole = price_requests(asked, t)
     stock = available_qty(t)
     whole = whole.join(stock, "variant_id", "left").withColumn("available_qty", F.coalesce("available_qty", F.lit(0)))
     vid = F.col("variant_id").cast("string")

@@ -84,9 +84,9 @@ def _pick() -> Column:
         F.col("price_reason_code").alias("price_reason_code"))
 
 
-def effective_price(requests: DataFrame, t: RetailTables) -> tuple[DataFrame, DataFrame]:
-    """Price of (variant_id, store_id, channel_code, on_date) requests, honouring both validity
-    ranges, else the product's list price, else a reject."""
+def price_requests(requests: DataFrame, t: RetailTables) -> DataFrame:
+    """(variant_id, store_id, channel_code, on_date) requests with `country_code` and `price`:
+    the listed price inside both validity ranges, else the product's list price, else NULL."""
     asked = requests.join(store_country(t), "store_id", "left")
     keys = ["variant_id", "country_code", "channel_code", "on_date"]
     distinct = asked.select(*keys).distinct()
@@ -94,8 +94,13 @@ def effective_price(requests: DataFrame, t: RetailTables) -> tuple[DataFrame, Da
     inside = valid_on("valid_from", "valid_to", F.col("on_date"), "closed") & valid_on("effective_from", "effective_to", F.col("on_date"))
     best = distinct.join(items, ["variant_id", "country_code", "channel_code"]).filter(inside).groupBy(*keys).agg(
         F.min(_pick())["unit_price"].alias("_listed"))
-    found = asked.join(best, keys, "left").join(_base_price(t), "variant_id", "left").withColumn(
-        "price", F.coalesce("_listed", "_base"))
+    return asked.join(best, keys, "left").join(_base_price(t), "variant_id", "left").select(
+        *requests.columns, "country_code", F.coalesce("_listed", "_base").alias("price"))
+
+
+def effective_price(requests: DataFrame, t: RetailTables) -> tuple[DataFrame, DataFrame]:
+    """Priced requests, and rejects for the ones without any price."""
+    found = price_requests(requests, t)
     ok = found.filter(F.col("price").isNotNull()).select(*requests.columns, "price")
     bad = found.filter(F.col("price").isNull()).select(*requests.columns, F.concat(
         F.lit("No price for variant "), F.col("variant_id").cast("string"), F.lit(" in "), nvl("country_code", "?")).alias("reject_reason"))
