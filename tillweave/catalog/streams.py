@@ -80,10 +80,10 @@ def line_changes(t):
 def streamed_daily(t):
     stored, changes, lines = line_changes(t)
     start = mviews.sales_daily_store(t.replace(sales_order_line=stored.withColumn("line_total", F.lit(0))))
-    store = ch.Versioned(t.spark, fresh(t, "mv_daily"), start)
+    store = ch.SumLog(t.spark, fresh(t, "mv_daily"), start)
     orders = t.sales_order.select("order_id", "store_id", "order_ts", "currency_code")
     ch.run_stream(feed(t, changes, lines), rf.refresh_handler(store, lambda b: rf.daily_deltas(b, orders), rf.DAILY), f"daily_{uuid.uuid4().hex[:8]}")
-    return store.read()
+    return rf.stored(store, rf.DAILY)
 
 
 _AFTER = "(SELECT order_id, CASE WHEN order_id % 2 = 1 AND order_id % 5 = 1 THEN qty + 1 ELSE qty END AS qty, unit_price, discount_amount, tax_amount FROM rt_sales_order_line WHERE order_id % 2 = 0 OR order_id % 5 <> 0)"
@@ -100,9 +100,9 @@ def streamed_stock(t):
         "location_id", "variant_id", (c("qty_on_hand") - 100).cast("decimal(14,3)").alias("qty_on_hand"), "qty_reserved", "reorder_point").alias("new"))
     measures = {"qty_on_hand": c("qty_on_hand"), "qty_reserved": c("qty_reserved"), "below_reorder": F.when(
         c("reorder_point").isNotNull() & (c("qty_on_hand") < c("reorder_point") + c("qty_reserved")), 1).otherwise(0).cast("bigint")}
-    store = ch.Versioned(t.spark, fresh(t, "mv_stock"), rf.complete(stock, rf.STOCK, measures))
+    store = ch.SumLog(t.spark, fresh(t, "mv_stock"), rf.complete(stock, rf.STOCK, measures))
     ch.run_stream(feed(t, changes, stock), rf.refresh_handler(store, rf.stock_deltas, rf.STOCK), f"stock_{uuid.uuid4().hex[:8]}")
-    return store.read()
+    return rf.stored(store, rf.STOCK)
 
 
 query("inc_fast_refresh_stock", f"""
@@ -172,7 +172,7 @@ SELECT order_id AS promotion_id, 'Promotion end_ts must be after start_ts' AS re
 
 def reserved(t):
     lines = t.sales_order_line.filter(c("fulfil_location_id").isNotNull()).select("order_id", "line_no", "variant_id", "qty", "fulfil_location_id")
-    store = ch.Versioned(t.spark, fresh(t, "stock"), t.inventory_stock)
+    store = ch.KeyedLog(t.spark, fresh(t, "stock"), ["location_id", "variant_id"], t.inventory_stock)
     ch.run_stream(feed(t, as_inserts(lines), lines), h.reservation_handler(store, AS_OF), f"reserve_{uuid.uuid4().hex[:8]}")
     return store.read().select("location_id", "variant_id", "qty_reserved", "qty_available")
 
@@ -201,7 +201,7 @@ WHERE l.s <> a.points_balance AND a.loyalty_id IN (SELECT loyalty_id FROM rt_loy
 def captured(t):
     old = t.order_payment.select("payment_id", "order_id", "status")
     changes = ch.diff_changes(old, old.withColumn("status", F.when(c("payment_id") % 2 == 0, "CAPTURED").otherwise(c("status"))), ["payment_id"])
-    store = ch.Versioned(t.spark, fresh(t, "orders"), t.sales_order.select("order_id", "status"))
+    store = ch.KeyedLog(t.spark, fresh(t, "orders"), ["order_id"], t.sales_order.select("order_id", "status"))
     ch.run_stream(feed(t, changes, old), h.payment_handler(store), f"pay_{uuid.uuid4().hex[:8]}")
     return store.read()
 
@@ -223,7 +223,7 @@ def ordered(t):
     """Journal lines streamed through two ordered handlers."""
     lines = t.gl_journal_line.select("journal_id", "line_no", "debit_amount", "credit_amount", "currency_code", "fx_rate")
     heads = t.gl_journal.select("journal_id", "status", F.when(c("journal_id") % 4 == 0, "kept").alias("description"))
-    store, out = ch.Versioned(t.spark, fresh(t, "journals"), heads), fresh(t, "faults")
+    store, out = ch.KeyedLog(t.spark, fresh(t, "journals"), ["journal_id"], heads), fresh(t, "faults")
     ch.run_stream(feed(t, as_inserts(lines), lines), h.check_lines_handler(out, store), f"lines_{uuid.uuid4().hex[:8]}")
     faults = t.spark.read.parquet(out).groupBy("rule_code").agg(F.count("*").alias("n"))
     return store.read().groupBy(F.coalesce("description", F.lit("<null>")).startswith("Journal ").cast("string").alias("rule_code")).agg(F.count("*").alias("n")).unionByName(faults)

@@ -69,7 +69,7 @@ def outer_shape3(t: RetailTables, as_of, months: int = 24) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, fk: list[str], pk: list[str] | None = None) -> DataFrame:
     """Child rows whose complete foreign key has no parent; a NULL in the key is no reference."""
     pk = pk or fk
-    keys = parent.select(*[F.col(p).alias(f"_pk{k}") for k, p in enumerate(pk)]).distinct()
+    keys = parent.select(*[F.col(p).alias(f"_pk{k}") for k, p in enumerate(pk)])
     for c in fk:
         child = child.filter(F.col(c).isNotNull())
     cond = [F.col(c) == F.col(f"_pk{k}") for k, c in enumerate(fk)]

@@ -146,8 +146,8 @@ def reject_duplicates(new: DataFrame, existing: DataFrame, key: str, order: list
     The first row comes from a partial min over (order, row) rather than a window, so a key with
     very many copies never gathers in one task.
     """
-    fresh = new.join(existing.select(key).distinct(), key, "left_anti")
-    clash = new.join(existing.select(key).distinct(), key, "left_semi")
+    fresh = new.join(existing.select(key), key, "left_anti")
+    clash = new.join(existing.select(key), key, "left_semi")
     rank = [F.col(c) if isinstance(c, str) else c for c in order]
     firsts = fresh.groupBy(key).agg(F.min(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(rank)])).alias("_first"))
     tagged = fresh.join(firsts, key).withColumn(

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tillweave.session import shared_dir
@@ -31,8 +32,6 @@ def diff_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def change_schema(df: DataFrame, seq: str = "bigint"):
     """Schema of a change file for a table."""
-    from pyspark.sql import types as T
-
     row = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     return T.StructType([T.StructField("op", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("old", row), T.StructField("new", row)])
 
@@ -70,29 +69,54 @@ def chain(handlers: list[Handler]) -> Handler:
     return run
 
 
-class Versioned:
-    """A table kept as numbered versions in one folder.
+class _Log:
+    """A table kept as a first copy plus one folder per batch, never rewritten by a batch.
 
-    A batch writes the version named after its id, so a batch run again after a failure replaces
-    its own half-written output and nothing else; readers take the newest complete version.
+    A batch that runs again after a failure overwrites its own folder and nothing else, and looks
+    only at folders of earlier batches, so a half-written one is never read. Nothing is held in
+    the driver: the batches present are found by partition discovery.
     """
 
     def __init__(self, spark: SparkSession, path: str, start: DataFrame | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self._done: list[int] = []
         if start is not None:
             start.write.mode("overwrite").parquet(self._at(-1))
-        self._done = [-1]
+        self.schema = start.schema if start is not None else spark.read.parquet(self._at(-1)).schema
+        self._with_batch = T.StructType([*self.schema.fields, T.StructField("v", T.LongType())])
+
+    def _at(self, batch_id: int) -> str:
+        return f"{self.path}/v={batch_id + 1}"
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        """All stored rows with their folder number `v`; only those of earlier batches if asked."""
+        all_ = self.spark.read.schema(self._with_batch).parquet(self.path)
+        return all_ if before is None else all_.filter(F.col("v") <= before)
+
+    def append(self, df: DataFrame, batch_id: int) -> None:
+        df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.mode("overwrite").parquet(self._at(batch_id))
+
+
+class KeyedLog(_Log):
+    """Rows by unique key; a batch stores the rows it changed and the newest one counts."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], start: DataFrame | None = None):
+        super().__init__(spark, path, start)
+        self.keys = keys
+
+    def read(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame:
+        """The current rows, or those of some keys: a batch then reduces only what it touches."""
+        rows = self.rows(before)
+        if touched is not None:
+            rows = rows.join(touched.select(*self.keys).distinct(), self.keys, "left_semi")
+        names = self.schema.names
+        rest = [n for n in names if n not in self.keys]
+        top = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "v").alias("_row"))
+        return top.select(*self.keys, *[F.col(f"_row.{n}").alias(n) for n in rest]).select(*names)
 
-    def _at(self, version: int) -> str:
-        return f"{self.path}/v={version + 1:09d}"
+    def compact(self, path: str) -> "KeyedLog":
+        """A new log whose first copy is the current state."""
+        return KeyedLog(self.spark, path, self.keys, self.read())
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest version, or the newest one before a batch id."""
-        known = [v for v in self._done if before is None or v < before]
-        return self.spark.read.parquet(self._at(max(known)))
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self._at(batch_id))
-        if batch_id not in self._done:
-            self._done.append(batch_id)
+class SumLog(_Log):
+    """Additive rows: a batch stores its signed deltas and reading sums them."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillweave.functions.values import as_time, empty_to_null, nvl, pad_ref
 from tillweave.plans.quality import dq_ledger_drift, issues
-from tillweave.streaming.changes import Handler, Versioned
+from tillweave.streaming.changes import Handler, KeyedLog
 
 # Columns whose values form the audit image of a table.
 AUDIT_IMAGES = {
@@ -128,9 +128,11 @@ def reservation_batch(stock: DataFrame, changes: DataFrame, as_of) -> DataFrame:
     return out.withColumn("qty_available", (F.col("qty_on_hand") - F.col("qty_reserved")).cast("decimal(15,3)")).select(*stock.columns)
 
 
-def reservation_handler(store: Versioned, as_of) -> Handler:
+def reservation_handler(store: KeyedLog, as_of) -> Handler:
+    """Keeps stock reservations; a batch reads and stores only the stock rows it touches."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        store.write(reservation_batch(store.read(before=batch_id), batch, as_of), batch_id)
+        here = store.read(before=batch_id, touched=reservation_deltas(batch))
+        store.append(reservation_batch(here, batch, as_of), batch_id)
 
     return run
 
@@ -159,9 +161,11 @@ def payment_capture_batch(orders: DataFrame, payments: DataFrame) -> DataFrame:
     return orders.join(done, "order_id", "left").withColumn("status", F.when(paid, "PLACED").otherwise(F.col("status"))).select(*orders.columns)
 
 
-def payment_handler(store: Versioned) -> Handler:
+def payment_handler(store: KeyedLog) -> Handler:
+    """Keeps order statuses; a batch reads and stores only the orders whose payments it carries."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        store.write(payment_capture_batch(store.read(before=batch_id), batch), batch_id)
+        here = store.read(before=batch_id, touched=batch.select(F.col("new.order_id").alias("order_id")))
+        store.append(payment_capture_batch(here, batch), batch_id)
 
     return run
 
@@ -189,7 +193,7 @@ def append_handler(path: str, to_rows) -> Handler:
     return run
 
 
-def check_lines_handler(path: str, journals: Versioned) -> Handler:
+def check_lines_handler(path: str, journals: KeyedLog) -> Handler:
     """Journal line batches in two ordered steps: faults of the lines first, then descriptions of
     draft journals the lines belong to."""
     from tillweave.streaming.changes import chain
@@ -203,11 +207,11 @@ def check_lines_handler(path: str, journals: Versioned) -> Handler:
             issues(added.filter(rate), "LINE_NEEDS_RATE", "GL_JOURNAL_LINE", key, "no rate"))
 
     def describe(batch: DataFrame, batch_id: int) -> None:
-        current = journals.read(before=batch_id)
-        seen = batch.filter(F.col("op") == "I").select(F.col("new.journal_id").alias("journal_id"), F.lit(True).alias("_seen")).distinct()
+        seen = batch.filter(F.col("op") == "I").select(F.col("new.journal_id").alias("journal_id")).distinct()
+        here = journals.read(before=batch_id, touched=seen)
         text = F.concat(F.lit("Journal "), F.col("journal_id").cast("string"))
-        hit = F.col("_seen") & (F.col("status") == "DRAFT")
-        journals.write(current.join(seen, "journal_id", "left").withColumn(
-            "description", F.when(hit, F.substring(nvl("description", text), 1, 300)).otherwise(F.col("description"))).select(*current.columns), batch_id)
+        draft = F.col("status") == "DRAFT"
+        journals.append(here.withColumn(
+            "description", F.when(draft, F.substring(nvl("description", text), 1, 300)).otherwise(F.col("description"))), batch_id)
 
     return chain([append_handler(path, faults), describe])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import day_of
-from tillweave.streaming.changes import Handler, Versioned
+from tillweave.streaming.changes import Handler, SumLog
 
 
 @dataclass(frozen=True)
@@ -95,9 +95,16 @@ def refresh(mode: str, fast, full) -> tuple[DataFrame, str]:
         return full(), "COMPLETE"
 
 
-def refresh_handler(store: Versioned, to_delta, spec: AggregateSpec) -> Handler:
-    """foreachBatch handler that keeps a stored aggregate."""
+def refresh_handler(store: SumLog, to_delta, spec: AggregateSpec) -> Handler:
+    """foreachBatch handler that keeps an aggregate: each batch appends its summed deltas, a row per
+    touched group, and leaves what is stored alone."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        store.write(fast_refresh(store.read(before=batch_id), to_delta(batch), spec), batch_id)
+        store.append(to_delta(batch), batch_id)
 
     return run
+
+
+def stored(log: SumLog, spec: AggregateSpec) -> DataFrame:
+    """The aggregate as of the last batch; publish it or compact the log with it from time to time."""
+    rows = log.rows().drop("v")
+    return fast_refresh(rows, rows.limit(0), spec)
