@@ -82,15 +82,15 @@ class _Log:
         if start is not None:
             start.write.mode("overwrite").parquet(self._at(-1))
         self.schema = start.schema if start is not None else spark.read.parquet(self._at(-1)).schema
-        self._with_batch = T.StructType([*self.schema.fields, T.StructField("v", T.LongType())])
+        self._with_batch = T.StructType([*self.schema.fields, T.StructField("batch_no", T.LongType())])
 
     def _at(self, batch_id: int) -> str:
-        return f"{self.path}/v={batch_id + 1}"
+        return f"{self.path}/batch_no={batch_id + 1}"
 
     def rows(self, before: int | None = None) -> DataFrame:
-        """All stored rows with their folder number `v`; only those of earlier batches if asked."""
+        """All stored rows with their folder number `batch_no`; only those of earlier batches if asked."""
         all_ = self.spark.read.schema(self._with_batch).parquet(self.path)
-        return all_ if before is None else all_.filter(F.col("v") <= before)
+        return all_ if before is None else all_.filter(F.col("batch_no") <= before)
 
     def append(self, df: DataFrame, batch_id: int) -> None:
         df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.mode("overwrite").parquet(self._at(batch_id))
@@ -110,7 +110,7 @@ class KeyedLog(_Log):
             rows = rows.join(touched.select(*self.keys).distinct(), self.keys, "left_semi")
         names = self.schema.names
         rest = [n for n in names if n not in self.keys]
-        top = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "v").alias("_row"))
+        top = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("_row"))
         return top.select(*self.keys, *[F.col(f"_row.{n}").alias(n) for n in rest]).select(*names)
 
     def compact(self, path: str) -> "KeyedLog":

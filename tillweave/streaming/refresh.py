@@ -106,5 +106,5 @@ def refresh_handler(store: SumLog, to_delta, spec: AggregateSpec) -> Handler:
 
 def stored(log: SumLog, spec: AggregateSpec) -> DataFrame:
     """The aggregate as of the last batch; publish it or compact the log with it from time to time."""
-    rows = log.rows().drop("v")
+    rows = log.rows().drop("batch_no")
     return fast_refresh(rows, rows.limit(0), spec)
