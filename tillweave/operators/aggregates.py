@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillweave.functions.values import as_col, order_nulls
 from tillweave.operators.positions import with_part_total
+from tillweave.operators.scalars import beside
 
 
 def group_agg(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
@@ -111,7 +112,7 @@ def checksum_pair(df: DataFrame, id: str, order: list[Column], n: int) -> DataFr
     """Sum of ids of limit-then-sort against sort-then-limit."""
     a = limit_then_sort(df, n, order).agg(F.sum(id).alias("limit_first"), F.count("*").alias("n_limit_first"))
     b = top_n(df, order, n).agg(F.sum(id).alias("sort_first"), F.count("*").alias("n_sort_first"))
-    return a.withColumn("_k", F.lit(0)).join(b.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return beside(a, b)
 
 
 def union_checks(checks: list[DataFrame]) -> DataFrame:

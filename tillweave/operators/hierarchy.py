@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillweave.operators.scalars import beside
 from tillweave.session import stash
 
 MAX_ROUNDS = 10_000
@@ -132,14 +133,14 @@ def cycle_report(df: DataFrame, id: str, parent: str) -> DataFrame:
     reached = hierarchy(base, id, parent).select(id).distinct()
     known = base.select(F.col(id).alias("_up")).distinct()
     dangling = base.filter(F.col(parent).isNotNull()).join(known, F.col(parent) == F.col("_up"), "left_anti")
-    one = lambda f, n: f.agg(F.count("*").alias(n)).withColumn("_k", F.lit(1))
+    one = lambda f, n: f.agg(F.count("*").alias(n))
     shape = base.agg(
         F.count("*").alias("nodes"),
         F.count_if(F.col(parent).isNull()).alias("roots"),
         F.count_if(F.col(parent) == F.col(id)).alias("self_parents"),
-    ).withColumn("_k", F.lit(1))
-    out = shape.join(one(dangling, "dangling"), "_k").join(one(reached, "reached"), "_k")
-    return out.withColumn("unreached", F.col("nodes") - F.col("reached")).drop("_k")
+    )
+    out = beside(beside(shape, one(dangling, "dangling")), one(reached, "reached"))
+    return out.withColumn("unreached", F.col("nodes") - F.col("reached"))
 
 
 def on_ring(df: DataFrame, id: str, parent: str) -> DataFrame:

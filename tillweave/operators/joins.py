@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import add_months_keep_end, as_time, nvl
+from tillweave.operators.scalars import beside
 from tillweave.sources.tables import RetailTables
 
 
@@ -81,10 +82,10 @@ def exists_in(df: DataFrame, other: DataFrame, on: list[str] | str) -> DataFrame
 
 
 def country_variants(t: RetailTables, country: str) -> DataFrame:
-    """Active variants seen from one country: the country row is joined on its constant key."""
-    return t.product_variant.filter(F.col("is_active") == "Y").join(
-        t.product.select("product_id", "list_price", F.col("status").alias("product_status"), "launch_date"), "product_id"
-    ).withColumn("country_code", F.lit(country)).join(t.country, "country_code")
+    """Active variants seen from one country: the country row is attached as a scalar."""
+    variants = t.product_variant.filter(F.col("is_active") == "Y").join(
+        t.product.select("product_id", "list_price", F.col("status").alias("product_status"), "launch_date"), "product_id")
+    return beside(variants, t.country.filter(F.col("country_code") == country)).filter(F.col("country_code").isNotNull())
 
 
 def currency_pairs_quoted(rates: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def asof(
         "_to", F.lead("_from").over(Window.partitionBy(*on).orderBy("_from")))
     month = lambda c: F.trunc(c.cast("date"), "MM")
     top = left.agg(F.max(left_ts).alias("_top"))  # one value: intervals end no later than the newest left row
-    spans = spans.withColumn("_k", F.lit(0)).join(top.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    spans = beside(spans, top)
     spans = spans.filter(F.col("_from") <= F.col("_top"))
     last = F.least(F.coalesce(F.col("_to"), F.col("_top")), F.col("_top"))
     spans = spans.withColumn("_month", F.explode(F.sequence(month(F.col("_from")), month(last), F.expr("INTERVAL 1 MONTH")))).drop("_top")

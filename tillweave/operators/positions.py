@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import By
+from tillweave.operators.scalars import beside
 from tillweave.session import stash
 
 GROUP_LIMIT = 1_000_000  # rows of one group a single window task may hold
@@ -144,7 +145,7 @@ def _rank_distributed(df, part, order, kinds, tie) -> DataFrame:
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Join on keys that may be NULL, keeping the left side's columns."""
     if not keys:
-        return left.withColumn("_k", F.lit(0)).join(right.withColumn("_k", F.lit(0)), "_k").drop("_k")
+        return beside(left, right)
     r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
     return left.join(r, cond).drop(*[f"_r_{k}" for k in keys])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillweave.functions.values import as_time, day_of, nvl
 from tillweave.operators.aggregates import explode_legs, limit_then_sort
 from tillweave.operators.positions import assign_ids
+from tillweave.operators.scalars import beside
 from tillweave.sources.tables import RetailTables
 
 MONEY = "decimal(16,2)"
@@ -21,8 +22,8 @@ def sales_journal(orders: DataFrame, periods: DataFrame, start_id: int, as_of) -
     is due; the source posts them so.
     """
     open_ = periods.filter(F.col("status") == "OPEN").agg(
-        F.max(F.struct("fiscal_year", "period_no", "period_id"))["period_id"].alias("period_id")).withColumn("_k", F.lit(0))
-    rows = orders.withColumn("_k", F.lit(0)).join(open_, "_k").drop("_k")
+        F.max(F.struct("fiscal_year", "period_no", "period_id"))["period_id"].alias("period_id"))
+    rows = beside(orders, open_)
     oid = F.col("order_id").cast("string")
     rejects = rows.filter(F.col("period_id").isNull()).select(
         "order_id", F.concat(F.lit("No OPEN GL period to post order "), oid, F.lit(" into")).alias("reject_reason"))

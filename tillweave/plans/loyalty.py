@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillweave.functions.values import add_months_keep_end, as_time, day_of, nvl
 from tillweave.operators.merge import update_where_changed
+from tillweave.operators.scalars import beside
 from tillweave.sources.tables import RetailTables
 
 
@@ -98,8 +99,8 @@ def tiers_for(df: DataFrame, tiers: DataFrame, points: str, name: str = "new_tie
 
     The few tiers travel as one sorted array, so the rows need neither join nor shuffle.
     """
-    ladder = tiers.agg(F.array_sort(F.collect_list(F.struct("min_points", "tier_code"))).alias("_ladder")).withColumn("_k", F.lit(0))
-    with_all = df.withColumn("_k", F.lit(0)).join(ladder, "_k").drop("_k")
+    ladder = tiers.agg(F.array_sort(F.collect_list(F.struct("min_points", "tier_code"))).alias("_ladder"))
+    with_all = beside(df, ladder)
     fit = F.filter("_ladder", lambda x: x["min_points"] <= nvl(points, 0))
     return with_all.withColumn(name, F.when(F.size(fit) > 0, F.element_at(fit, -1)["tier_code"])).drop("_ladder")
 

@@ -14,6 +14,7 @@ from tillweave.functions.values import as_time, day_of, decode, greatest_null, k
 from tillweave.operators.joins import fx_asof
 from tillweave.operators.merge import upsert
 from tillweave.operators.positions import top_k
+from tillweave.operators.scalars import beside
 from tillweave.sources.tables import RetailTables
 
 # Rule themes in their numbered order.
@@ -194,8 +195,7 @@ def price_rule(df: DataFrame, t: RetailTables, country: str, shape: int, as_of,
         orders = t.sales_order.filter(F.col("order_ts") >= since).select("order_id", "store_id").join(
             store_country(t).filter(F.col("country_code") == country), "store_id")
         sold = t.sales_order_line.join(orders.select("order_id"), "order_id", "left_semi").groupBy("variant_id").agg(F.sum("qty").alias("_q"))
-        total = sold.agg(F.sum("_q").alias("_all")).withColumn("_k", F.lit(0))
-        big = sold.withColumn("_k", F.lit(0)).join(total, "_k").filter(share("_q", "_all") > 0.05).select("variant_id", F.lit(True).alias("_big"))
+        big = beside(sold, sold.agg(F.sum("_q").alias("_all"))).filter(share("_q", "_all") > 0.05).select("variant_id", F.lit(True).alias("_big"))
         df = df.join(big, "variant_id", "left")
         price = base * F.when(F.col("_big"), dec("0.95")).otherwise(one)
     elif shape == 3:
@@ -208,8 +208,8 @@ def price_rule(df: DataFrame, t: RetailTables, country: str, shape: int, as_of,
         price = price - dec(f"{steps / 1000:.3f}")
     elif shape == 5:
         early = t.store.join(t.region.filter(F.col("country_code") == country).select("region_id"), "region_id", "left_semi").agg(
-            (F.min("opening_offset") < F.expr("INTERVAL '9' HOUR")).alias("_early")).withColumn("_k", F.lit(0))
-        df = df.withColumn("_k", F.lit(0)).join(early, "_k").drop("_k")
+            (F.min("opening_offset") < F.expr("INTERVAL '9' HOUR")).alias("_early"))
+        df = beside(df, early)
         price = base * F.when(F.col("_early"), dec("0.99")).otherwise(one)
     else:
         raise ValueError(f"no price rule {shape}")

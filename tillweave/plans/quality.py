@@ -11,6 +11,7 @@ from tillweave.functions.rules import CHECKS, REFERENCES, valid_until
 from tillweave.functions.values import as_time, decode, nvl, valid_on
 from tillweave.operators.hierarchy import hierarchy
 from tillweave.operators.joins import orphans
+from tillweave.operators.scalars import beside
 from tillweave.plans.views import SEVERITY_ORDER
 from tillweave.sources.tables import RetailTables
 
@@ -118,10 +119,10 @@ def dq_stock(t: RetailTables) -> DataFrame:
     stock = t.inventory_stock.agg(
         F.count("*").alias("stock_rows"), F.count_if(F.col("qty_on_hand") < 0).alias("negative_rows"),
         F.floor(F.count("*") / 40).alias("expected_negative"), F.count_if(F.col("qty_on_hand") < -30).alias("below_floor"),
-        F.count_if(F.col("qty_reserved") < 0).alias("negative_reserved")).withColumn("_k", F.lit(0))
+        F.count_if(F.col("qty_reserved") < 0).alias("negative_reserved"))
     owner = F.col("warehouse_id").isNotNull().cast("int") + F.col("store_id").isNotNull().cast("int")
-    places = t.inventory_location.agg(F.count_if(owner != 1).alias("bad_owner")).withColumn("_k", F.lit(0))
-    return stock.join(places, "_k").drop("_k")
+    places = t.inventory_location.agg(F.count_if(owner != 1).alias("bad_owner"))
+    return beside(stock, places)
 
 
 def dq_hierarchy(df: DataFrame, entity: str, id: str, parent: str) -> DataFrame:
@@ -166,7 +167,7 @@ def dq_canaries(t: RetailTables) -> DataFrame:
     c = t.customer.agg(F.count_if(F.col("mobile_phone").isNull()).alias("mobile_null"))
     sent = t.shipment.filter(F.col("status") == "DELIVERED").groupBy("order_id").agg(F.count("*").alias("n"))
     j = t.sales_order.select("order_id").join(sent, "order_id", "left").agg(F.sum(nvl("n", 1)).alias("outer_join_rows"))
-    return reduce(lambda x, y: x.join(y, "_k"), [f.withColumn("_k", F.lit(0)) for f in (a, c, j)]).drop("_k")
+    return reduce(beside, (a, c, j))
 
 
 # ---- single checks -----------------------------------------------------------------------------------------

@@ -46,6 +46,12 @@ def _currency(region_expr: str) -> str:
     )
 
 
+def _union(branches) -> str:
+    return "\n        UNION ALL\n        ".join(branches)
+
+
+_ROOTS = (("1", "ASSET", "D"), ("2", "LIABILITY", "C"), ("4", "REVENUE", "C"), ("5", "EXPENSE", "D"))
+
 _TYPE_NO = (
     "CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3 "
     "WHEN 'PROMO' THEN 4 WHEN 'SMALL' THEN 5 ELSE 6 END"
@@ -74,15 +80,12 @@ BINDING: dict[str, str] = {
                     WHEN 2 THEN 'Asia/Tokyo' WHEN 3 THEN 'Europe/Berlin' WHEN 4 THEN 'Australia/Sydney'
                     ELSE 'America/Sao_Paulo' END AS tz_name
         FROM {{nation}}""",
-    "rt_exchange_rate": f"""
-        SELECT m.month_start AS rate_date, {_currency('r.r_regionkey')} AS from_currency,
-               'GBP' AS to_currency,
-               CAST(CAST(50 + r.r_regionkey * 17 + EXTRACT(MONTH FROM m.month_start) AS DECIMAL(10,0))
+    "rt_exchange_rate": _union(
+        f"""SELECT m.month_start AS rate_date, {_currency(str(r))} AS from_currency, 'GBP' AS to_currency,
+               CAST(CAST(50 + {r} * 17 + EXTRACT(MONTH FROM m.month_start) AS DECIMAL(10,0))
                     * CAST(0.01 AS DECIMAL(4,2)) AS DECIMAL(18,8)) AS rate
-        FROM (SELECT DISTINCT CAST(DATE_TRUNC('month', o_orderdate) AS TIMESTAMP) AS month_start,
-                     1 AS k FROM {{orders}}) m
-        JOIN (SELECT r_regionkey, 1 AS k FROM {{region}} WHERE r_regionkey BETWEEN 1 AND 3) r ON r.k = m.k
-        WHERE (EXTRACT(MONTH FROM m.month_start) + r.r_regionkey) % 4 <> 0""",
+        FROM (SELECT DISTINCT CAST(DATE_TRUNC('month', o_orderdate) AS TIMESTAMP) AS month_start FROM {{orders}}) m
+        WHERE (EXTRACT(MONTH FROM m.month_start) + {r}) % 4 <> 0""" for r in (1, 2, 3)),
     "rt_region": f"""
         SELECT CAST(1 AS BIGINT) AS region_id, 'WORLD' AS region_code, 'World' AS region_name,
                'N00' AS country_code, CAST(NULL AS BIGINT) AS parent_region_id, 'GLOBAL' AS region_level
@@ -98,19 +101,14 @@ BINDING: dict[str, str] = {
         SELECT CAST(1000 + s_suppkey AS BIGINT), CONCAT('DIST', {_pad('s_suppkey', 7)}), s_name,
                CONCAT('N', {_pad('s_nationkey', 2)}), CAST(100 + s_nationkey AS BIGINT),
                CASE WHEN s_suppkey % 10 = 3 THEN 'RETIRED' ELSE 'DISTRICT' END FROM {{supplier}}""",
-    "rt_tax_rate": f"""
-        SELECT CAST(n.n_nationkey * 10 + r.r_regionkey AS BIGINT) AS tax_rate_id,
-               CONCAT('N', {_pad('n.n_nationkey', 2)}) AS country_code,
-               CASE r.r_regionkey WHEN 1 THEN 'RED' WHEN 2 THEN 'ZER' ELSE 'STD' END AS tax_code,
-               CAST(CASE r.r_regionkey WHEN 0 THEN 18 + n.n_nationkey % 5 WHEN 1 THEN 5 + n.n_nationkey % 3
-                    WHEN 2 THEN 0 ELSE 15 END AS DECIMAL(5,2)) AS rate_pct,
-               CASE WHEN r.r_regionkey = 0 THEN {_ts('1998-01-01 00:00:00')}
-                    ELSE {_ts('1994-01-01 00:00:00')} END AS valid_from,
-               CASE WHEN r.r_regionkey = 3 THEN {_ts('1998-01-01 00:00:00')}
-                    WHEN r.r_regionkey = 1 AND n.n_nationkey % 4 = 0 THEN {_ts('2000-01-01 00:00:00')}
-                    END AS valid_to
-        FROM (SELECT n_nationkey, 1 AS k FROM {{nation}} WHERE n_nationkey <> 24) n
-        JOIN (SELECT r_regionkey, 1 AS k FROM {{region}} WHERE r_regionkey < 4) r ON r.k = n.k""",
+    "rt_tax_rate": _union(
+        f"""SELECT CAST(n_nationkey * 10 + {r} AS BIGINT) AS tax_rate_id, CONCAT('N', {_pad('n_nationkey', 2)}) AS country_code,
+               '{("STD", "RED", "ZER", "STD")[r]}' AS tax_code,
+               CAST({("18 + n_nationkey % 5", "5 + n_nationkey % 3", "0", "15")[r]} AS DECIMAL(5,2)) AS rate_pct,
+               {_ts('1998-01-01 00:00:00' if r == 0 else '1994-01-01 00:00:00')} AS valid_from,
+               CASE WHEN {r} = 3 THEN {_ts('1998-01-01 00:00:00')}
+                    WHEN {r} = 1 AND n_nationkey % 4 = 0 THEN {_ts('2000-01-01 00:00:00')} END AS valid_to
+        FROM {{nation}} WHERE n_nationkey <> 24""" for r in range(4)),
     # ---- parties and stores ---------------------------------------------------------------
     "rt_address": f"""
         SELECT c_custkey AS address_id, CONCAT(' ', CAST(c_custkey AS STRING), ' Main St ') AS line1,
@@ -332,16 +330,13 @@ BINDING: dict[str, str] = {
                CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL '24' MONTH END AS expires_on
         FROM {{orders}} WHERE o_custkey % 3 <> 0""",
     # ---- pricing --------------------------------------------------------------------------
-    "rt_price_list": f"""
-        SELECT CAST(n.n_nationkey * 10 + r.r_regionkey AS BIGINT) AS price_list_id,
-               CONCAT('PL', {_pad('n.n_nationkey * 10 + r.r_regionkey', 4)}) AS price_list_code,
-               CONCAT('N', {_pad('n.n_nationkey', 2)}) AS country_code, {_currency('n.n_regionkey')} AS currency_code,
-               CASE r.r_regionkey WHEN 1 THEN 'WEB' WHEN 2 THEN 'APP' ELSE 'POS' END AS channel_code,
-               {_ts('1994-01-01 00:00:00')} AS valid_from,
-               CASE WHEN r.r_regionkey = 3 AND n.n_nationkey % 2 = 0 THEN {_ts('1999-12-31 00:00:00')} END AS valid_to,
-               CASE WHEN r.r_regionkey = 2 THEN NULL WHEN r.r_regionkey = 3 THEN 50 ELSE 100 END AS priority
-        FROM (SELECT n_nationkey, n_regionkey, 1 AS k FROM {{nation}}) n
-        JOIN (SELECT r_regionkey, 1 AS k FROM {{region}} WHERE r_regionkey < 4) r ON r.k = n.k""",
+    "rt_price_list": _union(
+        f"""SELECT CAST(n_nationkey * 10 + {r} AS BIGINT) AS price_list_id, CONCAT('PL', {_pad(f'n_nationkey * 10 + {r}', 4)}) AS price_list_code,
+               CONCAT('N', {_pad('n_nationkey', 2)}) AS country_code, {_currency('n_regionkey')} AS currency_code,
+               '{("POS", "WEB", "APP", "POS")[r]}' AS channel_code, {_ts('1994-01-01 00:00:00')} AS valid_from,
+               CASE WHEN {r} = 3 AND n_nationkey % 2 = 0 THEN {_ts('1999-12-31 00:00:00')} END AS valid_to,
+               CAST({("100", "100", "NULL", "50")[r]} AS INT) AS priority
+        FROM {{nation}}""" for r in range(4)),
     "rt_price_list_item": f"""
         SELECT CAST(n.n_nationkey * 10 + r.r_regionkey AS BIGINT) AS price_list_id, p.p_partkey AS variant_id,
                CASE WHEN r.r_regionkey = 3 THEN {_ts('1996-07-01 00:00:00')}
@@ -452,30 +447,13 @@ BINDING: dict[str, str] = {
                CASE l_linenumber % 3 WHEN 0 THEN 'RESTOCK' WHEN 1 THEN 'SCRAP' ELSE 'REPAIR' END AS disposition_code
         FROM {{lineitem}} WHERE l_returnflag = 'R' AND l_orderkey % 10 = 0""",
     # ---- finance --------------------------------------------------------------------------
-    "rt_gl_account": f"""
-        SELECT t.code AS account_code, t.name AS account_name, t.name AS account_type,
-               CAST(NULL AS STRING) AS parent_account_code, 'N' AS is_postable, t.side AS normal_balance
-        FROM (SELECT CASE r_regionkey WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '4' ELSE '5' END AS code,
-                     CASE r_regionkey WHEN 0 THEN 'ASSET' WHEN 1 THEN 'LIABILITY' WHEN 2 THEN 'REVENUE' ELSE 'EXPENSE' END AS name,
-                     CASE WHEN r_regionkey IN (0, 3) THEN 'D' ELSE 'C' END AS side
-              FROM {{region}} WHERE r_regionkey < 4) t
-        UNION ALL
-        SELECT CONCAT(t.code, {_pad('n.n_nationkey', 3)}), CONCAT(t.name, ' ', n.n_name), t.name, t.code, 'N', t.side
-        FROM (SELECT CASE r_regionkey WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '4' ELSE '5' END AS code,
-                     CASE r_regionkey WHEN 0 THEN 'ASSET' WHEN 1 THEN 'LIABILITY' WHEN 2 THEN 'REVENUE' ELSE 'EXPENSE' END AS name,
-                     CASE WHEN r_regionkey IN (0, 3) THEN 'D' ELSE 'C' END AS side, 1 AS k
-              FROM {{region}} WHERE r_regionkey < 4) t
-        JOIN (SELECT n_nationkey, n_name, 1 AS k FROM {{nation}}) n ON n.k = t.k
-        UNION ALL
-        SELECT CONCAT(t.code, {_pad('n.n_nationkey', 3)}, CAST(b.r_regionkey AS STRING)),
-               CONCAT(t.name, ' ', n.n_name, ' ', CAST(b.r_regionkey AS STRING)), t.name,
-               CONCAT(t.code, {_pad('n.n_nationkey', 3)}), 'Y', t.side
-        FROM (SELECT CASE r_regionkey WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '4' ELSE '5' END AS code,
-                     CASE r_regionkey WHEN 0 THEN 'ASSET' WHEN 1 THEN 'LIABILITY' WHEN 2 THEN 'REVENUE' ELSE 'EXPENSE' END AS name,
-                     CASE WHEN r_regionkey IN (0, 3) THEN 'D' ELSE 'C' END AS side, 1 AS k
-              FROM {{region}} WHERE r_regionkey < 4) t
-        JOIN (SELECT n_nationkey, n_name, 1 AS k FROM {{nation}}) n ON n.k = t.k
-        JOIN (SELECT r_regionkey, 1 AS k FROM {{region}}) b ON b.k = t.k""",
+    "rt_gl_account": _union([
+        *[f"""SELECT '{code}' AS account_code, '{name}' AS account_name, '{name}' AS account_type, CAST(NULL AS STRING) AS parent_account_code,
+                'N' AS is_postable, '{side}' AS normal_balance FROM {{region}} WHERE r_regionkey = 0""" for code, name, side in _ROOTS],
+        *[f"""SELECT CONCAT('{code}', {_pad('n_nationkey', 3)}), CONCAT('{name} ', n_name), '{name}', '{code}', 'N', '{side}' FROM {{nation}}"""
+          for code, name, side in _ROOTS],
+        *[f"""SELECT CONCAT('{code}', {_pad('n_nationkey', 3)}, '{leaf}'), CONCAT('{name} ', n_name, ' {leaf}'), '{name}',
+                CONCAT('{code}', {_pad('n_nationkey', 3)}), 'Y', '{side}' FROM {{nation}}""" for code, name, side in _ROOTS for leaf in range(5)]]),
     "rt_gl_period": """
         SELECT DISTINCT CAST(EXTRACT(YEAR FROM o_orderdate) * 100 + EXTRACT(MONTH FROM o_orderdate) AS BIGINT) AS period_id,
                CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS fiscal_year,
