@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillweave.llm import decontam, mixing, pii, quality, sharding
+from tillweave.llm import decontam, mixing, neardup, pii, quality, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(_table(spark, folder, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.report(_table(spark, folder, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(_table(spark, folder, "documents"))
 
@@ -34,6 +38,6 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op4_pii, op6_mix_sources, op7_sharding, op9_decontamination)
+    f.__name__: f for f in (op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op9_decontamination)
 }
 ORACLES: dict[str, str] = {"op6_mix_sources": mixing.REPORT_SQL}
