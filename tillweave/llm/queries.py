@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillweave.llm import decontam, mixing, neardup, pii, quality, sharding
+from tillweave.llm import decontam, mixing, neardup, pii, quality, repeats, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,11 +33,15 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.report(_table(spark, folder, "documents"))
 
 
+def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.report(_table(spark, folder, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op9_decontamination)
+    f.__name__: f for f in (op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op8_repeated_passages, op9_decontamination)
 }
 ORACLES: dict[str, str] = {"op6_mix_sources": mixing.REPORT_SQL}
