@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillweave.llm import decontam, mixing, neardup, pii, quality, repeats, sharding
+from tillweave.llm import chat, decontam, mixing, neardup, pii, quality, repeats, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.report(_table(spark, folder, "conversations"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(_table(spark, folder, "documents"))
 
@@ -42,6 +46,6 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op8_repeated_passages, op9_decontamination)
+    f.__name__: f for f in (op2_chat_formatting, op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op8_repeated_passages, op9_decontamination)
 }
 ORACLES: dict[str, str] = {"op6_mix_sources": mixing.REPORT_SQL}
