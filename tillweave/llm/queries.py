@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillweave.llm import chat, decontam, mixing, neardup, pii, quality, repeats, sharding
+from tillweave.llm import chat, decontam, mixing, neardup, pii, quality, repeats, sharding, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,7 +45,11 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.report(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_formatting, op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op8_repeated_passages, op9_decontamination)
+    f.__name__: f for f in (op2_chat_formatting, op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op8_repeated_passages, op9_decontamination, op10_url_filters)
 }
 ORACLES: dict[str, str] = {"op6_mix_sources": mixing.REPORT_SQL}
