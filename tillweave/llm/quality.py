@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillweave.llm.words import SPACE_CLASS, fresh, let, words
+from tillweave.llm.words import SPACE_CLASS, fresh, has_word, let, words
 
 LEAST_WORDS = 50
 REPEATED = 50  # percent of words inside repeated windows that a document may have
@@ -38,10 +38,6 @@ def chars(value: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(value, pattern, ""))
 
 
-def has_word(line: Column) -> Column:
-    return line.rlike(r"[^\x20\x09-\x0D]")
-
-
 def line_fails(line: Column) -> Column:
     """Name of the rule that a line breaks, or NULL. Cheap signs come first; most lines show none."""
     n = F.size(words(line))

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillweave.llm import chat, decontam, mixing, neardup, pii, quality, repeats, sharding, urls
+from tillweave.llm import chat, decontam, licences, mixing, neardup, pii, quality, repeats, sharding, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.report(_table(spark, folder, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.report(_table(spark, folder, "conversations"))
 
@@ -50,6 +54,6 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_formatting, op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op8_repeated_passages, op9_decontamination, op10_url_filters)
+    f.__name__: f for f in (op1_licence_scan, op2_chat_formatting, op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op8_repeated_passages, op9_decontamination, op10_url_filters)
 }
 ORACLES: dict[str, str] = {"op6_mix_sources": mixing.REPORT_SQL}
