@@ -60,7 +60,7 @@ class Block:
         self.windows = {}
         for size, parts in found.items():
             rows, item, place = (np.concatenate(x) for x in zip(*parts))
-            keys = np.ascontiguousarray(rows).view(f"S{4 * size}").ravel()
+            keys = np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * size}").ravel()  # byte order is word order
             order = np.argsort(keys, kind="stable")
             distinct, first = np.unique(keys[order], return_index=True)
             self.windows[size] = (distinct, rows[order][first].astype(np.int64), np.append(first, len(keys)), item[order], place[order])
