@@ -103,10 +103,10 @@ class Block:
         for size, (windows, rows, first, item, place) in self.windows.items():
             can = np.flatnonzero(present[rows].all(axis=1))
             low = np.searchsorted(keys, windows[can], "left")
-            # no word has the code 0xFFFFFFFF, so this is beyond every suffix that starts with the window
+            # no word has the code 0xFFFFFFFF, so no suffix that starts with the window lies beyond this
             above = np.full((len(can), depth), 0xFFFFFFFF, ">u4")
             above[:, :size] = rows[can]
-            high = np.searchsorted(keys, np.ascontiguousarray(above).view(f"S{4 * depth}").ravel(), "left") if len(can) else low
+            high = np.searchsorted(keys, np.ascontiguousarray(above).view(f"S{4 * depth}").ravel(), "right") if len(can) else low
             hit = high > low
             can, low, high = can[hit], low[hit], high[hit]
             if not len(can):

@@ -80,10 +80,10 @@ class Words:
             begin = self.start[at:to] - lo
             length = self.end[at:to] - self.start[at:to]
             if to == at + 1 and length[0] > PIECE_BYTES:
-                total = np.uint64(0)
+                total = 0
                 for k in range(lo, hi, PIECE_BYTES):  # one word longer than a piece
                     part = values[self.raw[k : min(hi, k + PIECE_BYTES)]]
-                    total = total * np.uint64(pow(_BASE, len(part), 1 << 64)) + (part * _powers(_BASE, len(part))[::-1]).sum(dtype=np.uint64)
+                    total = (total * pow(_BASE, len(part), 1 << 64) + int((part * _powers(_BASE, len(part))[::-1]).sum(dtype=np.uint64))) % (1 << 64)
                 out[at] = total
             else:
                 # the last byte of a word has power 0, the one before it power 1, and so on
