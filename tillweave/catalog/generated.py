@@ -1,96 +1,16 @@
-"""The synthetic tables at a scale read from the given tables, checked by their invariants, and the
-spec sheet reader."""
+"""Edge-case rows beside the given ones, and the spec sheet reader."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.catalog.registry import query
-from tillweave.generate import constants as k
-from tillweave.generate.tables import GROUPS, edge_cases, generate
+from tillweave.generate.tables import edge_cases
 from tillweave.plans.catalogue import spec_attributes
 
 c = F.col
 
 
-def scale_of(t) -> int:
-    """One unit of scale per three thousand given orders."""
-    return max(t.base("orders").count() // 3000, 1)
-
-
-_SCALE = "(SELECT GREATEST(COUNT(*) // 3000, 1) FROM orders)"
-
-# per group: table -> (key columns, references (column, parent table, parent key))
-SHAPES = {
-    "gen_reference": {"currency": (["currency_code"], []), "country": (["country_code"], [("currency_code", "currency", "currency_code")]),
-                      "exchange_rate": (["rate_date", "from_currency", "to_currency"], [("from_currency", "currency", "currency_code")]), "calendar_day": (["day_date"], []),
-                      "tax_rate": (["tax_rate_id"], [("country_code", "country", "country_code")]), "loyalty_tier": (["tier_code"], []), "carrier": (["carrier_code"], []),
-                      "return_reason": (["reason_code"], []), "app_parameter": (["param_name"], []), "gl_account": (["account_code"], [("parent_account_code", "gl_account", "account_code")]),
-                      "gl_period": (["period_id"], [])},
-    "gen_geography": {"region": (["region_id"], [("parent_region_id", "region", "region_id"), ("country_code", "country", "country_code")]), "address": (["address_id"], [("country_code", "country", "country_code")]),
-                      "warehouse": (["warehouse_id"], [("region_id", "region", "region_id")]), "store": (["store_id"], [("region_id", "region", "region_id"), ("manager_employee_id", "employee", "employee_id")])},
-    "gen_employees": {"employee": (["employee_id"], [("manager_id", "employee", "employee_id"), ("store_id", "store", "store_id")])},
-    "gen_catalog": {"product_category": (["category_id"], [("parent_category_id", "product_category", "category_id")]), "brand": (["brand_id"], []),
-                    "product": (["product_id"], [("category_id", "product_category", "category_id"), ("brand_id", "brand", "brand_id")]),
-                    "product_variant": (["variant_id"], [("product_id", "product", "product_id")])},
-    "gen_suppliers": {"supplier": (["supplier_id"], [("address_id", "address", "address_id")]),
-                      "supplier_product": (["supplier_id", "variant_id"], [("variant_id", "product_variant", "variant_id"), ("supplier_id", "supplier", "supplier_id")])},
-    "gen_customers": {"customer": (["customer_id"], [("home_country_code", "country", "country_code")]), "customer_address": (["customer_id", "address_type"], [("address_id", "address", "address_id")]),
-                      "loyalty_account": (["loyalty_id"], [("customer_id", "customer", "customer_id"), ("tier_code", "loyalty_tier", "tier_code")]),
-                      "loyalty_transaction": (["loyalty_txn_id"], [("loyalty_id", "loyalty_account", "loyalty_id")])},
-    "gen_pricing": {"price_list": (["price_list_id"], [("country_code", "country", "country_code")]), "price_list_item": (["price_list_id", "variant_id"], [("price_list_id", "price_list", "price_list_id")]),
-                    "promotion": (["promotion_id"], []), "promotion_product": (["promotion_id", "variant_id"], [("promotion_id", "promotion", "promotion_id")]),
-                    "coupon": (["coupon_id"], [("promotion_id", "promotion", "promotion_id"), ("customer_id", "customer", "customer_id")])},
-    "gen_inventory": {"inventory_location": (["location_id"], [("parent_location_id", "inventory_location", "location_id"), ("store_id", "store", "store_id")]),
-                      "inventory_stock": (["location_id", "variant_id"], [("location_id", "inventory_location", "location_id")]),
-                      "inventory_movement": (["movement_id"], [("variant_id", "product_variant", "variant_id")])},
-    "gen_orders": {"sales_order": (["order_id"], [("store_id", "store", "store_id"), ("customer_id", "customer", "customer_id")]), "sales_order_line": (["order_id", "line_no"], [("order_id", "sales_order", "order_id")]),
-                   "order_payment": (["payment_id"], [("order_id", "sales_order", "order_id")]), "shipment": (["shipment_id"], [("carrier_code", "carrier", "carrier_code")]),
-                   "shipment_line": (["shipment_id", "line_no"], [("shipment_id", "shipment", "shipment_id")])},
-    "gen_procurement": {"purchase_order": (["po_id"], [("supplier_id", "supplier", "supplier_id")]), "purchase_order_line": (["po_id", "line_no"], [("po_id", "purchase_order", "po_id")]),
-                        "goods_receipt": (["receipt_id"], [("po_id", "purchase_order", "po_id")])},
-    "gen_returns": {"return_request": (["return_id"], [("order_id", "sales_order", "order_id")]), "return_line": (["return_id", "line_no"], [("reason_code", "return_reason", "reason_code")])},
-    "gen_finance": {"gl_journal": (["journal_id"], [("period_id", "gl_period", "period_id")]), "gl_journal_line": (["journal_id", "line_no"], [("account_code", "gl_account", "account_code")])},
-}
-
-
-def shape_report(t, group: str) -> DataFrame:
-    """Rows, distinct keys and orphans of a group's tables."""
-    home = {name: g for g, tables in SHAPES.items() for name in tables}
-    needed = {home[p] for _, refs in SHAPES[group].values() for _, p, _ in refs if p in home} | {group}
-    all_tables = generate(t.spark, scale_of(t), groups=sorted(needed))
-    parts = []
-    for name, (key, refs) in SHAPES[group].items():
-        df = all_tables[name]
-        row = df.select(*key).groupBy(*key).count().agg(F.sum("count").alias("rows"), F.count("*").alias("keys")).withColumn("_k", F.lit(0))
-        lost = [df.select(c(fk).alias("fk")).filter(c("fk").isNotNull()).join(all_tables[p].select(c(pk).alias("fk")), "fk", "left_anti").agg(F.count("*").alias("n")) for fk, p, pk in refs]
-        orphans = reduce(DataFrame.union, lost).agg(F.sum("n").alias("orphans")).withColumn("_k", F.lit(0)) if lost else None
-        row = row.join(orphans, "_k") if orphans is not None else row.withColumn("orphans", F.lit(0))
-        parts.append(row.select(F.lit(name).alias("table_name"), "rows", "keys", c("orphans").cast("bigint").alias("orphans")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _expected(group: str) -> str:
-    def n(name: str) -> str:
-        return str(k.FIXED_ROWS[name]) if name in k.FIXED_ROWS else f"{k.SCALED_ROWS[name]} * {_SCALE}"
-
-    return " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, CAST({n(name)} AS BIGINT) AS rows, CAST({n(name)} AS BIGINT) AS keys, CAST(0 AS BIGINT) AS orphans" for name in SHAPES[group])
-
-
-for _group in GROUPS:
-    query(_group, _expected(_group))(lambda t, g=_group: shape_report(t, g))
-
-query("src_generate", f"""
-SELECT {len(k.FIXED_ROWS) + len(k.SCALED_ROWS)} :: BIGINT AS tables, CAST(800 * {_SCALE} AS BIGINT) AS journals, CAST(0 AS BIGINT) AS unbalanced, CAST(3200 * {_SCALE} // 40 AS BIGINT) AS negative_stock""")(
-    lambda t: (lambda g: g["gl_journal_line"].groupBy("journal_id").agg((F.sum("debit_amount") - F.sum("credit_amount")).alias("x")).agg(
-        F.count("*").alias("journals"), F.count_if(c("x") != 0).alias("unbalanced")).withColumn("_k", F.lit(0)).join(
-        g["inventory_stock"].agg(F.count_if(c("qty_on_hand") < 0).alias("negative_stock")).withColumn("_k", F.lit(0)), "_k").select(
-        F.lit(len(g)).cast("bigint").alias("tables"), "journals", "unbalanced", "negative_stock"))(generate(t.spark, scale_of(t))))
-
 query("src_generate_mess", """
 SELECT 'given' AS part, COUNT(*) AS rows, COUNT(NULLIF(line2, '')) AS line2_present FROM rt_address UNION ALL SELECT 'probes', 6, 2""")(
     lambda t: (lambda probes: t.address.agg(F.count("*").alias("rows"), F.count("line2").alias("line2_present")).select(F.lit("given").alias("part"), "rows", "line2_present").unionByName(

@@ -305,7 +305,7 @@ query("win_rank_spread", """
 SELECT order_id, line_no, variant_id, RANK() OVER w AS rk, DENSE_RANK() OVER w AS dr, PERCENT_RANK() OVER w AS pr, CUME_DIST() OVER w AS cd FROM rt_sales_order_line
 WINDOW w AS (PARTITION BY status ORDER BY qty DESC)""")(
     lambda t: rank_cols(t.sales_order_line.select("order_id", "line_no", "variant_id", "qty", "status"), ["status"], [By("qty", desc=True)],
-                        {"rk": "rank", "dr": "dense_rank", "pr": "percent_rank", "cd": "cume_dist"}, ["order_id", "line_no", "variant_id"], limit=1000)
+                        {"rk": "rank", "dr": "dense_rank", "pr": "percent_rank", "cd": "cume_dist"}, ["order_id", "line_no", "variant_id"])
     .select("order_id", "line_no", "variant_id", "rk", "dr", "pr", "cd"))
 
 query("win_percent_rank", """
@@ -317,7 +317,7 @@ query("win_ntile", """
 SELECT customer_id, NTILE(5) OVER (ORDER BY n DESC NULLS LAST, customer_id) AS bucket FROM (
   SELECT c.customer_id, COUNT(o.order_id) AS n FROM rt_customer c LEFT JOIN rt_sales_order o ON o.customer_id = c.customer_id GROUP BY 1)""")(
     lambda t: rank_cols(t.customer.select("customer_id").join(t.sales_order.groupBy("customer_id").agg(F.count("*").alias("n")), "customer_id", "left")
-                        .withColumn("n", x.nvl("n", 0)), [], [By("n", desc=True, nulls="last")], {"bucket": ("ntile", 5)}, ["customer_id"], limit=1000)
+                        .withColumn("n", x.nvl("n", 0)), [], [By("n", desc=True, nulls="last")], {"bucket": ("ntile", 5)}, ["customer_id"])
     .select("customer_id", "bucket"))
 
 
@@ -379,8 +379,8 @@ query("limit_then_sort")(lambda t: a.limit_then_sort(t.sales_order.select("order
 query("sort_null_order", """
 SELECT customer_id, ROW_NUMBER() OVER (ORDER BY primary_address_id ASC NULLS LAST, customer_id) AS asc_pos,
   ROW_NUMBER() OVER (ORDER BY primary_address_id DESC NULLS FIRST, customer_id) AS desc_pos FROM rt_customer""")(
-    lambda t: rank_cols(rank_cols(t.customer.select("customer_id", "primary_address_id"), [], [By("primary_address_id")], {"asc_pos": "row_number"}, ["customer_id"], limit=1000),
-                        [], [By("primary_address_id", desc=True)], {"desc_pos": "row_number"}, ["customer_id"], limit=1000).drop("primary_address_id"))
+    lambda t: rank_cols(rank_cols(t.customer.select("customer_id", "primary_address_id"), [], [By("primary_address_id")], {"asc_pos": "row_number"}, ["customer_id"]),
+                        [], [By("primary_address_id", desc=True)], {"desc_pos": "row_number"}, ["customer_id"]).drop("primary_address_id"))
 
 query("checksum_pair", """
 SELECT COUNT(*) AS n_limit_first, COUNT(*) AS n_sort_first, CAST(SUM(order_id) AS BIGINT) AS sort_first

@@ -7,14 +7,14 @@ of visited ids stops a ring: the row that would repeat is dropped, the row befor
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.operators.scalars import beside
 from tillweave.session import stash
 
-MAX_ROUNDS = 10_000
-
 
 def hierarchy(
     df: DataFrame,
@@ -58,7 +58,7 @@ def hierarchy(
     nodes = df.select(*[F.col(c).alias(f"_n_{c}") for c in df.columns])
     done: list[DataFrame] = []
     level = stash(level)
-    for depth in range(1, MAX_ROUNDS):
+    for depth in count(1):  # ends: no path holds an id twice
         if level.isEmpty():
             break
         done.append(level)
@@ -150,16 +150,14 @@ def on_ring(df: DataFrame, id: str, parent: str) -> DataFrame:
     base = df.select(id, parent)
     reached = hierarchy(base, id, parent).select(F.col(id).alias("_ok"))
     rest = stash(base.join(reached, F.col(id) == F.col("_ok"), "left_anti"))
-    count = rest.count()
-    for _ in range(MAX_ROUNDS):
-        if count == 0:
-            break
+    held = rest.count()
+    while held:
         ups = rest.select(F.col(id).alias("_up"))
         alive = rest.join(ups, F.col(parent) == F.col("_up"), "left_semi")
         parents = rest.select(F.col(parent).alias("_p"))
         alive = stash(alive.join(parents, F.col(id) == F.col("_p"), "left_semi"))
         left = alive.count()
-        if left == count:
+        if left == held:
             break
-        rest, count = alive, left
+        rest, held = alive, left
     return rest.select(id)

@@ -14,8 +14,6 @@ from tillweave.functions.values import By
 from tillweave.operators.scalars import beside
 from tillweave.session import stash
 
-GROUP_LIMIT = 1_000_000  # rows of one group a single window task may hold
-
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -56,12 +54,6 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "pos", sums: dic
     return out.drop("_slice", "_seq", "_before", *[f"_b_{o}" for o in sums])
 
 
-def has_large_group(df: DataFrame, part: list[str], limit: int = GROUP_LIMIT) -> bool:
-    """True when some group is too large for one window task; one partial aggregate decides."""
-    sizes = df.groupBy(*part).count() if part else df.agg(F.count("*").alias("count"))
-    return bool(sizes.filter(F.col("count") > limit).take(1))
-
-
 def _ntile(pos: Column, n: Column, tiles: int) -> Column:
     """Bucket of a 1-based position when the first n % tiles buckets get one extra row."""
     size, extra = F.floor(n / tiles), n % tiles
@@ -71,77 +63,48 @@ def _ntile(pos: Column, n: Column, tiles: int) -> Column:
     ).cast("int")
 
 
-_KINDS = {
-    "row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank,
-    "percent_rank": F.percent_rank, "cume_dist": F.cume_dist,
-}
-
-
 def rank_cols(
     df: DataFrame,
     part: list[str],
     order: list[By],
     kinds: dict[str, str | tuple[str, int]],
     tie: list[str],
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Add ranking columns: `kinds` maps a name to row_number, rank, dense_rank, percent_rank,
     cume_dist or ("ntile", n).
 
-    `tie` completes `order` to a total order, so row_number and ntile are reproducible. Groups of
-    ordinary size use the built-in window; when one exceeds `limit`, all groups take the
-    distributed route, whose results are the same.
+    `tie` completes `order` to a total order, so row_number and ntile are reproducible. All kinds
+    follow from positions in one global order: of a row, of the first and last row it ties with,
+    and of its group's first and last row.
     """
-    if not has_large_group(df, part, limit):
-        keys = [o.key() for o in order]
-        ranked = Window.partitionBy(*part).orderBy(*keys)
-        total = Window.partitionBy(*part).orderBy(*keys, *tie)
-        cols = {}
-        for name, kind in kinds.items():
-            if isinstance(kind, tuple):
-                cols[name] = F.ntile(kind[1]).over(total)
-            else:
-                cols[name] = _KINDS[kind]().over(total if kind == "row_number" else ranked)
-        return df.withColumns(cols)
-    return _rank_distributed(df, part, order, kinds, tie)
-
-
-def _rank_distributed(df, part, order, kinds, tie) -> DataFrame:
     keys = {f"_o{k}": F.col(o.col) for k, o in enumerate(order)}
     df = df.withColumns(keys)
     again = [o.key(k) for k, o in zip(keys, order)]
     pos = number_rows(df, [*[F.col(p) for p in part], *again, *[F.col(c) for c in tie]], "_p")
-    names = [*part, *keys]
-    ties = pos.groupBy(*names).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    if any(k == "dense_rank" for k in kinds.values()):
-        ties = number_rows(ties, [*[F.col(p) for p in part], *again], "_d")
-    groups = ties.groupBy(*part).agg(
-        F.min("_lo").alias("_first"), F.max("_hi").alias("_last"),
-        *([F.min("_d").alias("_d0")] if "_d" in ties.columns else []),
-    ) if part else ties.agg(
-        F.min("_lo").alias("_first"), F.max("_hi").alias("_last"),
-        *([F.min("_d").alias("_d0")] if "_d" in ties.columns else []),
-    )
-    ties = _null_safe(ties, groups, part)
-    out = _null_safe(pos, ties, names)
-    n = F.col("_last") - F.col("_first") + 1
-    row, rank = F.col("_p") - F.col("_first") + 1, F.col("_lo") - F.col("_first") + 1
-    made = {
-        "row_number": row.cast("int"), "rank": rank.cast("int"),
-        "percent_rank": F.when(n > 1, (rank - 1) / (n - 1)).otherwise(0.0),
-        "cume_dist": (F.col("_hi") - F.col("_first") + 1) / n,
-    }
-    cols = {}
-    for name, kind in kinds.items():
-        if isinstance(kind, tuple):
-            cols[name] = _ntile(row, n, kind[1])
-        elif kind == "dense_rank":
-            cols[name] = (F.col("_d") - F.col("_d0") + 1).cast("int")
-        else:
-            cols[name] = made[kind]
+    if all(isinstance(k, tuple) or k == "row_number" for k in kinds.values()):
+        out = _null_safe(pos, _bounds(pos, part, "_p", "_p"), part)
+    else:
+        names = [*part, *keys]
+        ties = pos.groupBy(*names).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+        dense = any(k == "dense_rank" for k in kinds.values())
+        if dense:
+            ties = number_rows(ties, [*[F.col(p) for p in part], *again], "_d")
+        ties = _null_safe(ties, _bounds(ties, part, "_lo", "_hi", ["_d"] if dense else []), part)
+        out = _null_safe(pos, ties, names)
+    n = F.col("_g_last") - F.col("_g_first") + 1
+    row = F.col("_p") - F.col("_g_first") + 1
+    rank = F.col("_lo") - F.col("_g_first") + 1 if "_lo" in out.columns else None
+    made = {"row_number": lambda: row.cast("int"), "rank": lambda: rank.cast("int"), "dense_rank": lambda: (F.col("_d") - F.col("_d0") + 1).cast("int"),
+            "percent_rank": lambda: F.when(n > 1, (rank - 1) / (n - 1)).otherwise(0.0), "cume_dist": lambda: (F.col("_hi") - F.col("_g_first") + 1) / n}
+    cols = {name: _ntile(row, n, kind[1]) if isinstance(kind, tuple) else made[kind]() for name, kind in kinds.items()}
     return out.select(*[c for c in df.columns if c not in keys], *[c.alias(k) for k, c in cols.items()])
 
 
+def _bounds(df: DataFrame, part: list[str], low: str, high: str, also: list[str] = ()) -> DataFrame:
+    """First and last position of each group; of the whole frame when there is no group."""
+    return df.groupBy(*part).agg(F.min(low).alias("_g_first"), F.max(high).alias("_g_last"), *[F.min(c).alias(f"{c}0") for c in also])
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Join on keys that may be NULL, keeping the left side's columns."""
     if not keys:
@@ -186,12 +149,8 @@ def assign_ids(
     return out
 
 
-def running_total(df: DataFrame, part: list[str], order: list[Column], col: str, name: str,
-                  limit: int = GROUP_LIMIT) -> DataFrame:
+def running_total(df: DataFrame, part: list[str], order: list[Column], col: str, name: str) -> DataFrame:
     """Running sum per group up to and including each row; `order` must be total."""
-    if not has_large_group(df, part, limit):
-        w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(col).over(w))
     whole = number_rows(df, [*[F.col(p) for p in part], *order], "_p", {"_run": col})
     base = whole.groupBy(*part).agg(F.min_by(F.col("_run") - F.coalesce(F.col(col), F.lit(0)), "_p").alias("_base"))
     return _null_safe(whole, base, part).withColumn(name, F.col("_run") - F.col("_base")).drop("_p", "_run", "_base")

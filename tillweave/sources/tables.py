@@ -10,23 +10,6 @@ from tillweave.session import configure
 from tillweave.sources.binding import BASE_TABLES, BINDING, slots
 
 
-# the column each given table is spread by when it is too small to have splits for every core
-SPREAD_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey", "part": "p_partkey", "events": "event_id", "documents": "doc_id"}
-SPREAD_FROM, SPREAD_PER_CORE = 1 << 20, 16 << 20
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a table of one or few row groups over the cores.
-
-    A file is split at row groups, so a table of some megabytes is one task however many cores
-    wait. Tables above SPREAD_PER_CORE per core have splits enough and are left alone; so are
-    tiny ones. Later joins and aggregates on the key reuse the partitioning.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if SPREAD_FROM <= size <= SPREAD_PER_CORE * cores else df
-
-
 class RetailTables:
     """`t.sales_order` is the retail table, `t.base("orders")` the given table behind it.
 
@@ -42,7 +25,7 @@ class RetailTables:
     def base(self, name: str) -> DataFrame:
         if name not in self._base:
             df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            self._base[name] = spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+            self._base[name] = df
         return self._base[name]
 
     def __getattr__(self, name: str) -> DataFrame:
