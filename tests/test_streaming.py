@@ -1,10 +1,12 @@
 """A replay in one batch, in several batches and a full recompute agree."""
 
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from tillweave.session import stash
 from tillweave.streaming import changes as ch
 from tillweave.streaming import handlers as h
 from tillweave.streaming import refresh as rf
@@ -69,3 +71,22 @@ def test_reservations_floor_at_zero(spark):
     changes = spark.createDataFrame([("D",)], "op string").select("op", F.struct(F.lit(1).cast("bigint").alias("fulfil_location_id"), F.lit(1).cast("bigint").alias("variant_id"), F.lit(5).cast("decimal(12,3)").alias("qty")).alias("old"), F.lit(None).cast(kind).alias("new"))
     row = h.reservation_batch(stock, changes, "2024-01-01").first()
     assert int(row["qty_reserved"]) == 0 and int(row["qty_available"]) == 10
+
+
+def test_reservations_do_not_depend_on_batches(spark):
+    rnd = random.Random(4)
+    stock = spark.createDataFrame([(1, v, v * 4 - 4) for v in range(4)], "location_id long, variant_id long, b int").select(
+        "location_id", "variant_id", F.lit(50).cast("decimal(14,3)").alias("qty_on_hand"), F.greatest("b", F.lit(0)).cast("decimal(14,3)").alias("qty_reserved"),
+        F.lit(None).cast("timestamp_ntz").alias("last_movement_ts"), F.lit(0).cast("decimal(15,3)").alias("qty_available"))
+    rows = [(k, rnd.choice("IDU"), rnd.randrange(4), rnd.randrange(1, 9), rnd.randrange(1, 9)) for k in range(80)]
+    want = {v: max(v * 4 - 4, 0) for v in range(4)}
+    for _, op, v, old, new in rows:
+        want[v] = max(want[v] + {"I": new, "D": -old, "U": new - old}[op], 0)
+    image = lambda q: f"named_struct('fulfil_location_id', 1L, 'variant_id', v, 'qty', CAST({q} AS DECIMAL(12,3)))"
+    for n in (1, 3, 7):
+        now = stock
+        for k in range(n):
+            part = spark.createDataFrame(rows[k * 80 // n : (k + 1) * 80 // n], "seq long, op string, v long, o int, n int")
+            changes = part.selectExpr("seq", "op", f"IF(op <> 'I', {image('o')}, NULL) AS old", f"IF(op <> 'D', {image('n')}, NULL) AS new")
+            now = stash(h.reservation_batch(now, changes, "2024-01-01"))
+        assert {r["variant_id"]: int(r["qty_reserved"]) for r in now.collect()} == want

@@ -33,13 +33,23 @@ UNION ALL SELECT customer_id + 10000000, 'CLOSED', 'N' FROM rt_customer WHERE cu
         t.customer.filter("customer_id % 3 <> 2").select((c("customer_id") + F.when(c("customer_id") % 3 == 1, 10_000_000).otherwise(0)).alias("customer_id"), F.lit("CLOSED").alias("st")),
         ["customer_id"], {"status": c("s.st"), "marketing_optin": F.lit("M")}, {"status": c("s.st"), "marketing_optin": F.lit("N")}))
 
+def _walked(legs: str) -> str:
+    """Balances row by row: `legs` has location_id, variant_id, delta, guarded and the order columns o1, o2, o3, o4."""
+    return f"""WITH RECURSIVE leg AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY location_id, variant_id ORDER BY o1, o2, o3, o4) AS rn FROM ({legs}) z),
+places AS (SELECT location_id, variant_id FROM leg UNION SELECT location_id, variant_id FROM rt_inventory_stock),
+run AS (SELECT p.location_id, p.variant_id, CAST(0 AS BIGINT) AS rn, CAST(s.qty_on_hand AS DECIMAL(28,3)) AS q, FALSE AS hit FROM places p
+  LEFT JOIN rt_inventory_stock s ON s.location_id = p.location_id AND s.variant_id = p.variant_id
+  UNION ALL SELECT r.location_id, r.variant_id, l.rn, CAST(CASE WHEN r.q IS NULL THEN l.delta WHEN l.guarded AND r.q + l.delta < 0 THEN r.q ELSE r.q + l.delta END AS DECIMAL(28,3)),
+    r.hit OR r.q IS NULL OR NOT l.guarded OR r.q + l.delta >= 0
+  FROM run r JOIN leg l ON l.location_id = r.location_id AND l.variant_id = r.variant_id AND l.rn = r.rn + 1),
+ends AS (SELECT location_id, variant_id, ARG_MAX(q, rn) AS q, BOOL_OR(hit) AS hit FROM run GROUP BY 1, 2)"""
+
+
 query("merge_increment", f"""
-WITH dlt AS (SELECT to_location_id AS location_id, variant_id, SUM(qty) AS q FROM rt_inventory_movement WHERE to_location_id IS NOT NULL GROUP BY 1, 2)
-SELECT COALESCE(s.location_id, x.location_id) AS location_id, COALESCE(s.variant_id, x.variant_id) AS variant_id,
-  {d('CASE WHEN s.location_id IS NULL THEN x.q WHEN x.q IS NOT NULL AND s.qty_on_hand + x.q >= 0 THEN s.qty_on_hand + x.q ELSE s.qty_on_hand END')} AS qty_on_hand
-FROM rt_inventory_stock s FULL JOIN dlt x ON x.location_id = s.location_id AND x.variant_id = s.variant_id""")(
+{_walked("SELECT to_location_id AS location_id, variant_id, qty AS delta, TRUE AS guarded, movement_id AS o1, qty AS o2, 0 AS o3, 0 AS o4 FROM rt_inventory_movement WHERE to_location_id IS NOT NULL")}
+SELECT location_id, variant_id, {d('q')} AS qty_on_hand FROM ends""")(
     lambda t: m.add_qty(t.inventory_stock, t.inventory_movement.filter(c("to_location_id").isNotNull()).select(
-        c("to_location_id").alias("location_id"), "variant_id", "qty"), ["location_id", "variant_id"]).select("location_id", "variant_id", "qty_on_hand"))
+        c("to_location_id").alias("location_id"), "variant_id", "movement_id", "qty"), ["location_id", "variant_id"], order=["movement_id", "qty"]).select("location_id", "variant_id", "qty_on_hand"))
 
 query("merge_replace", f"""
 WITH snap AS (SELECT from_location_id AS location_id, variant_id, SUM(ABS(qty)) AS q FROM rt_inventory_movement WHERE from_location_id IS NOT NULL GROUP BY 1, 2)
@@ -176,14 +186,12 @@ UNION ALL SELECT po_id + 10000000, CONCAT('PO', LPAD(CAST(po_id + 10000000 AS ST
 
 _MV_OK = """(SELECT m.* FROM rt_inventory_movement m WHERE m.qty <> 0 AND (m.from_location_id IS NULL OR EXISTS (
   SELECT 1 FROM rt_inventory_stock s WHERE s.location_id = m.from_location_id AND s.variant_id = m.variant_id)))"""
+_MV_LEGS = f"""SELECT to_location_id AS location_id, variant_id, ABS(qty) AS delta, TRUE AS guarded, movement_id AS o1, qty AS o2, to_location_id AS o3, FALSE AS o4 FROM {_MV_OK} WHERE to_location_id IS NOT NULL
+  UNION ALL SELECT from_location_id, variant_id, -ABS(qty), FALSE, movement_id, qty, to_location_id, TRUE FROM {_MV_OK} WHERE from_location_id IS NOT NULL"""
 query("job_movement_apply", f"""
-WITH leg AS (SELECT to_location_id AS location_id, variant_id, ABS(qty) AS a, 0 AS o FROM {_MV_OK} WHERE to_location_id IS NOT NULL
-  UNION ALL SELECT from_location_id, variant_id, 0, ABS(qty) FROM {_MV_OK} WHERE from_location_id IS NOT NULL),
-net AS (SELECT location_id, variant_id, SUM(a) AS a, SUM(o) AS o FROM leg GROUP BY 1, 2)
-SELECT COALESCE(s.location_id, n.location_id) AS location_id, COALESCE(s.variant_id, n.variant_id) AS variant_id,
-  {d('CASE WHEN s.location_id IS NULL THEN n.a - n.o WHEN n.location_id IS NULL THEN s.qty_on_hand WHEN s.qty_on_hand + n.a >= 0 THEN s.qty_on_hand + n.a - n.o ELSE s.qty_on_hand - n.o END')} AS qty_on_hand,
-  CASE WHEN n.location_id IS NULL THEN s.last_movement_ts ELSE {NOW} END AS last_movement_ts
-FROM rt_inventory_stock s FULL JOIN net n ON n.location_id = s.location_id AND n.variant_id = s.variant_id""")(
+{_walked(_MV_LEGS)}
+SELECT e.location_id, e.variant_id, {d('e.q')} AS qty_on_hand, CASE WHEN e.hit THEN {NOW} ELSE s.last_movement_ts END AS last_movement_ts
+FROM ends e LEFT JOIN rt_inventory_stock s ON s.location_id = e.location_id AND s.variant_id = e.variant_id""")(
     lambda t: inv.movement_apply(t.inventory_stock, t.inventory_movement, AS_OF)[0].select("location_id", "variant_id", "qty_on_hand", "last_movement_ts"))
 query("job_movement_apply_rejects", """
 SELECT movement_id, variant_id, CASE WHEN qty = 0 THEN 'Movement quantity must be non-zero' ELSE CONCAT('No stock record at location ', CAST(from_location_id AS STRING)) END AS reject_reason

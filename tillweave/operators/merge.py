@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillweave.functions.values import as_time
+from tillweave.operators.positions import running_total
+from tillweave.session import stash
 
 
 def _on(keys: list[str]) -> list[Column]:
@@ -59,16 +63,55 @@ def upsert_delete(target, source, keys, set_, insert, update_if, delete_if) -> D
     return upsert(target, source, keys, set_, insert, update_if, delete_if)
 
 
+def ordered_balances(start: DataFrame, events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Balance of each key after its events one by one: (keys, balance, applied).
+
+    start: keys, balance. events: keys, order columns, delta, guarded. The first event of a key
+    without a balance sets it; a guarded event that would leave it below zero is left out. Where no
+    running sum of guarded events falls below zero, the sum of all is the answer; the other keys are
+    walked in order, as a stream of sorted rows with one balance as state.
+    """
+    # summed per key in one global order, so a key with very many events is not one task's work
+    run = running_total(events, keys, [F.col(c) for c in order], "delta", "_s")
+    whole = run.groupBy(*keys).agg(F.sum("delta").alias("_sum"), F.min(F.when(F.col("guarded"), F.col("_s"))).alias("_low"), F.min("_s").alias("_least"))
+    judged = stash(whole.join(start, keys, "left"))
+    low = F.coalesce(F.col("balance") + F.col("_low"), F.when(F.col("balance").isNull(), F.col("_least")), F.lit(0))
+    exact = judged.filter(low >= 0).select(*keys, (F.coalesce("balance", F.lit(0)) + F.col("_sum")).cast("decimal(28,3)").alias("balance"), F.lit(True).alias("applied"))
+    rest = judged.filter(low < 0).select(*keys, "balance")
+    rows = run.join(rest, keys).select(*keys, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], "delta", "guarded", "balance")
+    spread = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"_o{k}" for k in range(len(order))])
+    schema = T.StructType([*[events.schema[k] for k in keys], T.StructField("balance", T.DecimalType(28, 3)), T.StructField("applied", T.BooleanType())])
+    n = len(keys)
+
+    def walk(parts):
+        at = now = None
+        used, out = False, []
+        for part in parts:
+            for row in part[[*keys, "delta", "guarded", "balance"]].itertuples(index=False):
+                if row[:n] != at:
+                    if at is not None:
+                        out.append((*at, now, used))
+                    at, now, used = row[:n], row[n + 2], False
+                if now is None or not row[n + 1] or now + row[n] >= 0:
+                    now, used = row[n] if now is None else now + row[n], True
+            yield pd.DataFrame(out, columns=schema.names)
+            out = []
+        if at is not None:
+            yield pd.DataFrame([(*at, now, used)], columns=schema.names)
+
+    return exact.unionByName(spread.mapInPandas(walk, schema))
+
+
 def add_qty(target: DataFrame, deltas: DataFrame, keys: list[str], qty: str = "qty_on_hand",
-            stamp: str | None = None, moment=None) -> DataFrame:
-    """Add summed deltas to a quantity; a sum that would fall below zero leaves the row as it is."""
-    summed = deltas.groupBy(*keys).agg(F.sum("qty").alias("qty"))
-    total = F.col(f"t.{qty}") + F.col("s.qty")
-    set_ = {qty: total}
-    insert = {qty: F.col("s.qty"), "qty_reserved": F.lit(0)}
+            stamp: str | None = None, moment=None, order: list[str] = ("qty",)) -> DataFrame:
+    """Add deltas to a quantity one by one in `order`; one that would leave it below zero is left out."""
+    events = deltas.select(*keys, *order, F.col("qty").alias("delta"), F.lit(True).alias("guarded"))
+    summed = ordered_balances(target.select(*keys, F.col(qty).alias("balance")), events, keys, list(order))
+    set_ = {qty: F.col("s.balance")}
+    insert = {qty: F.col("s.balance"), "qty_reserved": F.lit(0)}
     if stamp:
         set_[stamp] = insert[stamp] = as_time(moment)
-    return upsert(target, summed, keys, set_, insert, update_if=total >= 0)
+    return upsert(target, summed, keys, set_, insert, update_if=F.col("s.applied"))
 
 
 def replace_qty(target: DataFrame, snapshot: DataFrame, keys: list[str], qty: str = "qty_on_hand",

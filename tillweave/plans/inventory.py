@@ -6,44 +6,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import as_time, nvl
-from tillweave.operators.merge import replace_qty, upsert
+from tillweave.operators.merge import ordered_balances, replace_qty, upsert
 from tillweave.plans.views import inventory_reorder
+from tillweave.session import stash
 from tillweave.sources.tables import RetailTables
 
 KEY = ["location_id", "variant_id"]
 
 
-def movement_apply(stock: DataFrame, moves: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """Apply a batch of movements: inbound adds |qty| (creating the stock row if need be, and left
-    out where the balance would stay below zero), outbound subtracts it.
+def _accepted(stock: DataFrame, moves: DataFrame, order: list[str]) -> DataFrame:
+    """Movements with `_ok`: a quantity, and a stock row at the place they leave.
 
-    Movements without quantity, or out of a location that holds no stock row when the batch
-    starts, are rejected whole. The batch counts as one event per location and variant.
+    The row is there from the start or was created by an earlier accepted movement. What a movement
+    creates may let others through, so the earliest creations are found in rounds until none is added.
     """
     have = stock.select(F.col("location_id").alias("from_location_id"), "variant_id", F.lit(True).alias("_have")).distinct()
-    seen = moves.join(have, ["from_location_id", "variant_id"], "left")
-    no_qty = F.col("qty").isNull() | (F.col("qty") == 0)
-    no_stock = F.col("from_location_id").isNotNull() & F.col("_have").isNull()
-    reason = F.when(no_qty, "Movement quantity must be non-zero").when(
-        no_stock, F.concat(F.lit("No stock record at location "), F.col("from_location_id").cast("string")))
-    judged = seen.withColumn("reject_reason", reason)
-    good = judged.filter(F.col("reject_reason").isNull())
-    amount = F.abs("qty")
-    legs = good.select("variant_id", F.inline(F.array(
-        F.struct(F.col("to_location_id").alias("location_id"), amount.alias("inward"), F.lit(0).cast("decimal(14,3)").alias("outward")),
-        F.struct(F.col("from_location_id").alias("location_id"), F.lit(0).cast("decimal(14,3)").alias("inward"), amount.alias("outward")),
-    ))).filter(F.col("location_id").isNotNull())
-    net = legs.groupBy(*KEY).agg(
-        F.sum("inward").alias("inward"), F.sum("outward").alias("outward"), F.count_if(F.col("inward") > 0).alias("arrivals"))
-    old = F.col("t.qty_on_hand")
-    lifted = F.when(old + F.col("s.inward") >= 0, old + F.col("s.inward")).otherwise(old)
+    when = F.struct(*order)
+    moves = stash(moves.join(have, ["from_location_id", "variant_id"], "left").withColumn("_qty_ok", F.coalesce(F.col("qty") != 0, F.lit(False))))
+    free = F.col("from_location_id").isNull() | F.col("_have").isNotNull()
+    created = lambda ok: ok.filter(F.col("to_location_id").isNotNull()).groupBy(
+        F.col("to_location_id").alias("from_location_id"), "variant_id").agg(F.min(when).alias("_since"))
+    since, known = stash(created(moves.filter(F.col("_qty_ok") & free))), None
+    waiting = moves.filter(F.col("_qty_ok") & ~free)
+    while (n := since.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()) != known:
+        known = n
+        more = waiting.join(since, ["from_location_id", "variant_id"]).filter(F.col("_since") < when).drop("_since")
+        since = stash(since.unionByName(created(more)).groupBy("from_location_id", "variant_id").agg(F.min("_since").alias("_since")))
+    out = moves.join(since, ["from_location_id", "variant_id"], "left")
+    return out.withColumn("_ok", F.col("_qty_ok") & (free | F.coalesce(F.col("_since") < when, F.lit(False)))).drop("_since", "_have", "_qty_ok")
+
+
+def movement_apply(stock: DataFrame, moves: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """Apply movements one by one in movement order: inbound adds |qty| (creating the stock row if
+    need be, and left out where the balance would stay below zero), outbound subtracts it.
+
+    Movements without quantity, or out of a location that holds no stock row at that point, are
+    rejected whole. The result does not depend on how a feed is cut into batches.
+    """
+    order = ["movement_id", "qty", "to_location_id", "from_location_id"]
+    judged = _accepted(stock, moves, order)
+    reason = F.when(F.col("qty").isNull() | (F.col("qty") == 0), "Movement quantity must be non-zero").otherwise(
+        F.concat(F.lit("No stock record at location "), F.col("from_location_id").cast("string")))
+    amount, side = F.abs("qty").cast("decimal(14,3)"), F.struct(F.col("movement_id"), F.col("qty"), F.col("to_location_id"), F.col("from_location_id"))
+    legs = judged.filter("_ok").select("variant_id", side.alias("_when"), F.inline(F.array(
+        F.struct(F.col("to_location_id").alias("location_id"), amount.alias("delta"), F.lit(True).alias("guarded")),
+        F.struct(F.col("from_location_id").alias("location_id"), (-amount).alias("delta"), F.lit(False).alias("guarded")),
+    ))).filter(F.col("location_id").isNotNull()).select(*KEY, "_when.movement_id", "_when.qty", F.col("_when.to_location_id").alias("_to"), (~F.col("guarded")).alias("_out"), "delta", "guarded")
+    ends = ordered_balances(stock.select(*KEY, F.col("qty_on_hand").alias("balance")), legs, KEY, ["movement_id", "qty", "_to", "_out"])
     new = upsert(
-        stock, net, KEY,
-        {"qty_on_hand": lifted - F.col("s.outward"), "last_movement_ts": as_time(as_of)},
-        {"qty_on_hand": F.col("s.inward") - F.col("s.outward"), "qty_reserved": F.lit(0), "last_movement_ts": as_time(as_of),
-         "qty_available": F.col("s.inward") - F.col("s.outward")})
+        stock, ends, KEY,
+        {"qty_on_hand": F.col("s.balance"), "last_movement_ts": as_time(as_of)},
+        {"qty_on_hand": F.col("s.balance"), "qty_reserved": F.lit(0), "last_movement_ts": as_time(as_of), "qty_available": F.col("s.balance")},
+        update_if=F.col("s.applied"))
     new = new.withColumn("qty_available", (F.col("qty_on_hand") - F.col("qty_reserved")).cast("decimal(15,3)"))
-    return new, judged.filter(F.col("reject_reason").isNotNull()).select(*moves.columns, "reject_reason")
+    return new, judged.filter("NOT _ok").withColumn("reject_reason", reason).select(*moves.columns, "reject_reason")
 
 
 def movement_bulk(stock: DataFrame, moves: DataFrame, as_of) -> DataFrame:

@@ -6,11 +6,11 @@ with a foreachBatch handler.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import as_time, empty_to_null, nvl, pad_ref
+from tillweave.operators.positions import running_total
 from tillweave.plans.quality import dq_ledger_drift, issues
 from tillweave.streaming.changes import Handler, KeyedLog
 
@@ -106,22 +106,26 @@ def normalise_stream(df: DataFrame, table: str, as_of, trim_to_null: list[str] |
 
 # ---- stock ----------------------------------------------------------------------------------------------------
 
-def reservation_deltas(changes: DataFrame) -> DataFrame:
-    """Reserved quantity per location and variant: +new on insert, -old on delete, the difference
-    on update, booked at the place of the new image (the old one for deletes)."""
+def reservation_rows(changes: DataFrame) -> DataFrame:
+    """Reserved quantity by change: +new on insert, -old on delete, the difference on update, booked
+    at the place of the new image (the old one for deletes)."""
     delta = nvl("new.qty", 0) - nvl("old.qty", 0)
     gone = F.col("op") == "D"
     place = lambda f: F.when(gone, F.col(f"old.{f}")).otherwise(F.col(f"new.{f}"))
-    rows = changes.select(place("fulfil_location_id").alias("location_id"), place("variant_id").alias("variant_id"), delta.alias("delta"))
-    return rows.filter(F.col("delta") != 0).groupBy("location_id", "variant_id").agg(F.sum("delta").alias("delta"))
+    seq = F.col("seq") if "seq" in changes.columns else F.lit(0).cast("bigint")
+    rows = changes.select(place("fulfil_location_id").alias("location_id"), place("variant_id").alias("variant_id"), seq.alias("seq"), delta.alias("delta"))
+    return rows.filter(F.col("delta") != 0)
 
 
 def reservation_batch(stock: DataFrame, changes: DataFrame, as_of) -> DataFrame:
-    """Stock with a batch's reservations; below zero stops at zero once per batch. The source floors
-    after each row; within a batch the sum is floored, which is the same unless a batch dips below
-    zero on the way."""
-    got = reservation_deltas(changes)
-    new = F.greatest(nvl("qty_reserved", 0) + F.col("delta"), F.lit(0)).cast("decimal(14,3)")
+    """Stock with a batch's reservations, floored at zero after every row in order of `seq`.
+
+    With deltas d1..dn, their sum S and running sums Sk, a start of q ends at the larger of q + S
+    and S - min(Sk), so rows need not be walked and the cut into batches does not matter.
+    """
+    run = running_total(reservation_rows(changes), ["location_id", "variant_id"], [F.col("seq"), F.col("delta")], "delta", "_s")
+    got = run.groupBy("location_id", "variant_id").agg(F.sum("delta").alias("delta"), F.min("_s").alias("_least"))
+    new = F.greatest(nvl("qty_reserved", 0) + F.col("delta"), F.col("delta") - F.col("_least"), F.lit(0)).cast("decimal(14,3)")
     hit = F.col("delta").isNotNull()
     out = stock.join(got, ["location_id", "variant_id"], "left").withColumns({
         "qty_reserved": F.when(hit, new).otherwise(F.col("qty_reserved")), "last_movement_ts": F.when(hit, as_time(as_of)).otherwise(F.col("last_movement_ts"))})
@@ -131,7 +135,7 @@ def reservation_batch(stock: DataFrame, changes: DataFrame, as_of) -> DataFrame:
 def reservation_handler(store: KeyedLog, as_of) -> Handler:
     """Keeps stock reservations; a batch reads and stores only the stock rows it touches."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        here = store.read(before=batch_id, touched=reservation_deltas(batch))
+        here = store.read(before=batch_id, touched=reservation_rows(batch))
         store.append(reservation_batch(here, batch, as_of), batch_id)
 
     return run
