@@ -7,6 +7,7 @@ from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillweave.reconcile import canonical as can
 from tillweave.reconcile import compare as cmp
@@ -138,3 +139,24 @@ def test_csv_export(spark, tmp_path):
     (tmp_path / "y.csv").write_text("a,a\n1,2\n")
     with pytest.raises(ValueError):
         snap.read_export(spark, str(tmp_path / "y.csv"), ["a"])
+
+
+def test_tiny_and_huge_doubles_keep_their_digits(spark):
+    values = {1.5e-19: "0.00000000000000000015", 0.0: "0", -2.5e-7: "-0.00000025", 1e30: "1" + "0" * 30, 1234567.25: "1234567.25", 1.25e9: "1250000000", float("nan"): "NaN"}
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
+    got = [r[0] for r in df.orderBy("k").select(can._number(F.col("x"), T.DoubleType())).collect()]
+    assert got == list(values.values())
+
+
+def test_values_that_do_not_decode_are_rejected(spark):
+    lines = ['[1,{"$decimal":"1.50"}]', '[2,{"$decimal":"abc"}]', '[3,{"$decimal":"1.123456789012345"}]', "[4,null]", '[5,{"$decimal":"1.12300000000000000"}]', '[6,{"$decimal":"5e-11"}]']
+    rows, bad = snap.read_snapshot_lines(spark.createDataFrame([(x,) for x in lines], "value string"), [{"name": "id", "rule": "numeric", "scale": 0}, {"name": "x", "rule": "numeric"}])
+    assert sorted(int(r["id"]) for r in rows.collect()) == [1, 4, 5]
+    assert sorted(r["reject_reason"].split(" in ")[0] for r in bad.collect()) == ["More digits than the column holds", "More digits than the column holds", "Value does not decode"]
+
+
+@pytest.mark.parametrize("line", ["1", "1,2,3"])
+def test_ragged_exports_fail(spark, tmp_path, line):
+    (tmp_path / "x.csv").write_text(f"k,v\na,b\n{line}\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        snap.read_export(spark, str(tmp_path / "x.csv"), ["k"]).select("k").collect()

@@ -102,12 +102,22 @@ def _fixed(c: Column, scale: int) -> Column:
     return F.when(text.contains("E"), F.translate(F.format_number(c, scale), ",", "")).otherwise(text)
 
 
+def _expanded(text: Column) -> Column:
+    """Text of a double without its exponent, digit by digit; NaN and infinities stay as they are."""
+    part = lambda k: F.regexp_extract(text, r"^(-?)(\d+)\.(\d+)E(-?\d+)$", k)
+    digits, point = F.concat(part(2), part(3)), F.length(part(2)) + part(4).try_cast("int")
+    body = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits))))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits)))))
+    return F.when(part(2) != "", F.concat(part(1), body)).otherwise(text)
+
+
 def _number(c: Column, t: T.DataType) -> Column:
     if isinstance(t, T.DecimalType):
         return _strip_zeros(_fixed(c, t.scale))
     if isinstance(t, (T.DoubleType, T.FloatType)):
-        exact = c.cast("string").try_cast("decimal(38,18)")
-        return F.coalesce(_strip_zeros(_fixed(exact, 18)), c.cast("string"))
+        return _strip_zeros(_expanded(c.cast("string")))
     if isinstance(t, T.StringType):
         return _strip_zeros(c)
     return c.cast("string")
