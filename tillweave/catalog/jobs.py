@@ -240,13 +240,13 @@ FROM rt_purchase_order p""")(lambda t: proc.po_close(t, "five").select("po_id",
 
 
 def _po_requests(t):
-    return t.supplier_product.filter("variant_id % 3 = 0").select(
+    return t.supplier_product.select(
         (c("variant_id") * 1000 + c("supplier_id")).alias("request_id"), (c("supplier_id") + F.when(c("variant_id") % 30 == 0, 1_000_000).otherwise(0)).alias("supplier_id"),
         (c("variant_id") % 5).alias("warehouse_id"), as_time("2001-08-01").alias("order_date"))
 
 
 _POREQ = """(SELECT variant_id * 1000 + supplier_id AS request_id, supplier_id + CASE WHEN variant_id % 30 = 0 THEN 1000000 ELSE 0 END AS supplier_id, variant_id % 5 AS warehouse_id
-  FROM rt_supplier_product WHERE variant_id % 3 = 0)"""
+  FROM rt_supplier_product)"""
 query("job_po_create", f"""
 SELECT r.request_id, 900000000 + ROW_NUMBER() OVER (ORDER BY r.request_id) AS po_id, CONCAT('PO', LPAD(CAST(900000000 + ROW_NUMBER() OVER (ORDER BY r.request_id) AS STRING), 12, '0')) AS po_number,
   r.supplier_id, r.warehouse_id, CAST('2001-08-15' AS TIMESTAMP) AS expected_date, s.currency_code
@@ -491,14 +491,14 @@ query("job_journal_batch")(lambda t: fin.journal_batch(t.gl_journal, 50))
 
 
 def _skus(t):
-    return t.product.filter("product_id % 6 = 0").select(F.when(c("product_id") % 18 == 0, F.concat(F.lit("?"), c("sku"))).otherwise(c("sku")).alias("sku"))
+    return t.product.select(F.when(c("product_id") % 3 == 0, F.concat(F.lit("?"), c("sku"))).otherwise(c("sku")).alias("sku"))
 
 
 query("job_retire_skus", """
-SELECT p.product_id, CASE WHEN p.product_id % 6 = 0 AND p.product_id % 18 <> 0 THEN 'DISCONTINUED' ELSE p.status END AS status,
-  CASE WHEN p.product_id % 6 = 0 AND p.product_id % 18 <> 0 THEN 'N' ELSE v.is_active END AS is_active FROM rt_product p JOIN rt_product_variant v ON v.product_id = p.product_id""")(
+SELECT p.product_id, CASE WHEN p.product_id % 3 <> 0 THEN 'DISCONTINUED' ELSE p.status END AS status,
+  CASE WHEN p.product_id % 3 <> 0 THEN 'N' ELSE v.is_active END AS is_active FROM rt_product p JOIN rt_product_variant v ON v.product_id = p.product_id""")(
     lambda t: (lambda n: n.product.select("product_id", "status").join(n.product_variant.select("product_id", "is_active"), "product_id"))(cat.retire_skus(t, _skus(t))[0]))
-query("job_retire_skus_rejects", "SELECT CONCAT('?', sku) AS sku, CONCAT('Unknown SKU: ?', sku) AS reject_reason FROM rt_product WHERE product_id % 18 = 0")(lambda t: cat.retire_skus(t, _skus(t))[1])
+query("job_retire_skus_rejects", "SELECT CONCAT('?', sku) AS sku, CONCAT('Unknown SKU: ?', sku) AS reject_reason FROM rt_product WHERE product_id % 3 = 0")(lambda t: cat.retire_skus(t, _skus(t))[1])
 
 
 def _new_products(t):

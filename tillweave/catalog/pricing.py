@@ -157,7 +157,7 @@ def rule_in(t):
 
 
 for _n in range(1, 11):
-    _theme = p.RULE_THEMES[_n - 1][0]
+    _theme = p.RULE_THEMES[_n - 1]
     _seen = "f.variant_id IS NOT NULL" if _n % 5 == 0 else "TRUE"
     query(f"job_rule_evaluate_{_theme.lower()}", f"""
 SELECT l.order_id, l.line_no, l.variant_id, CASE WHEN {_seen} AND pv.is_active = 'Y' AND p.status = 'ACTIVE' AND COALESCE(p.launch_date, {NOW}) <= {NOW} THEN 'Y' ELSE 'N' END AS applies,

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tillweave.catalog.registry import d, i, query
+from tillweave.operators.scalars import beside
 from tillweave.reconcile import canonical as can
 from tillweave.reconcile import compare as cmp
 from tillweave.reconcile import schema as sch
@@ -190,8 +191,7 @@ def verdicts(t):
         if keys:
             s = cmp.compare(a, b, keys)[0].select("source_rows", "target_rows", F.when(c("refused").isNull(), c("status")).alias("parity"))
         else:
-            s = a.agg(F.count("*").alias("source_rows")).withColumn("_k", F.lit(0)).join(
-                b.agg(F.count("*").alias("target_rows")).withColumn("_k", F.lit(0)), "_k").select("source_rows", "target_rows", F.lit(None).cast("string").alias("parity"))
+            s = beside(a.agg(F.count("*").alias("source_rows")), b.agg(F.count("*").alias("target_rows"))).withColumn("parity", F.lit(None).cast("string"))
         return s.select(F.lit(name).alias("table"), "source_rows", F.lit(present).alias("target_present"), F.lit(verdict).alias("schema_verdict"), "target_rows",
                         F.lit(bool(keys)).alias("has_key"), F.lit(renderable).alias("renderable"), "parity")
 

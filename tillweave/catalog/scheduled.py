@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tillweave.catalog.registry import query
+from tillweave.operators.scalars import beside
 from tillweave.plans import batch as b
 from tillweave.session import shared_dir
 from tillweave.sources.binding import AS_OF
@@ -63,7 +64,7 @@ def month_ends(t):
     write_extract(sales_extract(t, "2001-07-10", "2001-07-10"), out)
     rows = t.spark.read.option("header", True).csv(out).agg(F.count("*").alias("rows_exported"))
     steps = t.spark.createDataFrame([("forced", *s) for s in done] + [("closed", *s) for s in stopped], "run string, step string, status string")
-    return steps.withColumn("_k", F.lit(0)).join(rows.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return beside(steps, rows)
 
 
 query("job_month_end", """

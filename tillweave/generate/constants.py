@@ -34,48 +34,48 @@ CURRENCIES = (
     ("JPY", "Japanese Yen", 0, "JPY"), ("SGD", "Singapore Dollar", 2, "SGD"), ("ZAR", "South African Rand", 2, "R"), ("CNY", "Chinese Yuan", 2, "CNY"),
 )
 
-# Code, ISO-3, name, currency, standard and reduced rate, time zone.
+# Code, ISO-3, name, currency, time zone.
 COUNTRIES = (
-    ("GB", "GBR", "United Kingdom", "GBP", "20", "5", "Europe/London"),
-    ("IE", "IRL", "Ireland", "EUR", "23", "13.5", "Europe/Dublin"),
-    ("FR", "FRA", "France", "EUR", "20", "5.5", "Europe/Paris"),
-    ("DE", "DEU", "Germany", "EUR", "19", "7", "Europe/Berlin"),
-    ("ES", "ESP", "Spain", "EUR", "21", "10", "Europe/Madrid"),
-    ("IT", "ITA", "Italy", "EUR", "22", "10", "Europe/Rome"),
-    ("PT", "PRT", "Portugal", "EUR", "23", "6", "Europe/Lisbon"),
-    ("NL", "NLD", "Netherlands", "EUR", "21", "9", "Europe/Amsterdam"),
-    ("BE", "BEL", "Belgium", "EUR", "21", "6", "Europe/Brussels"),
-    ("LU", "LUX", "Luxembourg", "EUR", "17", "8", "Europe/Luxembourg"),
-    ("AT", "AUT", "Austria", "EUR", "20", "10", "Europe/Vienna"),
-    ("CH", "CHE", "Switzerland", "CHF", "8.1", "2.6", "Europe/Zurich"),
-    ("DK", "DNK", "Denmark", "DKK", "25", "25", "Europe/Copenhagen"),
-    ("SE", "SWE", "Sweden", "SEK", "25", "12", "Europe/Stockholm"),
-    ("NO", "NOR", "Norway", "NOK", "25", "15", "Europe/Oslo"),
-    ("FI", "FIN", "Finland", "EUR", "25.5", "14", "Europe/Helsinki"),
-    ("IS", "ISL", "Iceland", "ISK", "24", "11", "Atlantic/Reykjavik"),
-    ("PL", "POL", "Poland", "PLN", "23", "8", "Europe/Warsaw"),
-    ("CZ", "CZE", "Czechia", "CZK", "21", "12", "Europe/Prague"),
-    ("SK", "SVK", "Slovakia", "EUR", "20", "10", "Europe/Bratislava"),
-    ("HU", "HUN", "Hungary", "HUF", "27", "5", "Europe/Budapest"),
-    ("RO", "ROU", "Romania", "RON", "19", "9", "Europe/Bucharest"),
-    ("BG", "BGR", "Bulgaria", "BGN", "20", "9", "Europe/Sofia"),
-    ("GR", "GRC", "Greece", "EUR", "24", "13", "Europe/Athens"),
-    ("HR", "HRV", "Croatia", "EUR", "25", "13", "Europe/Zagreb"),
-    ("SI", "SVN", "Slovenia", "EUR", "22", "9.5", "Europe/Ljubljana"),
-    ("EE", "EST", "Estonia", "EUR", "22", "9", "Europe/Tallinn"),
-    ("LV", "LVA", "Latvia", "EUR", "21", "12", "Europe/Riga"),
-    ("LT", "LTU", "Lithuania", "EUR", "21", "9", "Europe/Vilnius"),
-    ("US", "USA", "United States", "USD", "0", "0", "America/New_York"),
-    ("CA", "CAN", "Canada", "CAD", "5", "5", "America/Toronto"),
-    ("MX", "MEX", "Mexico", "MXN", "16", "8", "America/Mexico_City"),
-    ("BR", "BRA", "Brazil", "BRL", "17", "12", "America/Sao_Paulo"),
-    ("AR", "ARG", "Argentina", "ARS", "21", "10.5", "America/Argentina/Buenos_Aires"),
-    ("CL", "CHL", "Chile", "CLP", "19", "19", "America/Santiago"),
-    ("AU", "AUS", "Australia", "AUD", "10", "10", "Australia/Sydney"),
-    ("NZ", "NZL", "New Zealand", "NZD", "15", "15", "Pacific/Auckland"),
-    ("JP", "JPN", "Japan", "JPY", "10", "8", "Asia/Tokyo"),
-    ("SG", "SGP", "Singapore", "SGD", "9", "9", "Asia/Singapore"),
-    ("ZA", "ZAF", "South Africa", "ZAR", "15", "15", "Africa/Johannesburg"),
+    ("GB", "GBR", "United Kingdom", "GBP", "Europe/London"),
+    ("IE", "IRL", "Ireland", "EUR", "Europe/Dublin"),
+    ("FR", "FRA", "France", "EUR", "Europe/Paris"),
+    ("DE", "DEU", "Germany", "EUR", "Europe/Berlin"),
+    ("ES", "ESP", "Spain", "EUR", "Europe/Madrid"),
+    ("IT", "ITA", "Italy", "EUR", "Europe/Rome"),
+    ("PT", "PRT", "Portugal", "EUR", "Europe/Lisbon"),
+    ("NL", "NLD", "Netherlands", "EUR", "Europe/Amsterdam"),
+    ("BE", "BEL", "Belgium", "EUR", "Europe/Brussels"),
+    ("LU", "LUX", "Luxembourg", "EUR", "Europe/Luxembourg"),
+    ("AT", "AUT", "Austria", "EUR", "Europe/Vienna"),
+    ("CH", "CHE", "Switzerland", "CHF", "Europe/Zurich"),
+    ("DK", "DNK", "Denmark", "DKK", "Europe/Copenhagen"),
+    ("SE", "SWE", "Sweden", "SEK", "Europe/Stockholm"),
+    ("NO", "NOR", "Norway", "NOK", "Europe/Oslo"),
+    ("FI", "FIN", "Finland", "EUR", "Europe/Helsinki"),
+    ("IS", "ISL", "Iceland", "ISK", "Atlantic/Reykjavik"),
+    ("PL", "POL", "Poland", "PLN", "Europe/Warsaw"),
+    ("CZ", "CZE", "Czechia", "CZK", "Europe/Prague"),
+    ("SK", "SVK", "Slovakia", "EUR", "Europe/Bratislava"),
+    ("HU", "HUN", "Hungary", "HUF", "Europe/Budapest"),
+    ("RO", "ROU", "Romania", "RON", "Europe/Bucharest"),
+    ("BG", "BGR", "Bulgaria", "BGN", "Europe/Sofia"),
+    ("GR", "GRC", "Greece", "EUR", "Europe/Athens"),
+    ("HR", "HRV", "Croatia", "EUR", "Europe/Zagreb"),
+    ("SI", "SVN", "Slovenia", "EUR", "Europe/Ljubljana"),
+    ("EE", "EST", "Estonia", "EUR", "Europe/Tallinn"),
+    ("LV", "LVA", "Latvia", "EUR", "Europe/Riga"),
+    ("LT", "LTU", "Lithuania", "EUR", "Europe/Vilnius"),
+    ("US", "USA", "United States", "USD", "America/New_York"),
+    ("CA", "CAN", "Canada", "CAD", "America/Toronto"),
+    ("MX", "MEX", "Mexico", "MXN", "America/Mexico_City"),
+    ("BR", "BRA", "Brazil", "BRL", "America/Sao_Paulo"),
+    ("AR", "ARG", "Argentina", "ARS", "America/Argentina/Buenos_Aires"),
+    ("CL", "CHL", "Chile", "CLP", "America/Santiago"),
+    ("AU", "AUS", "Australia", "AUD", "Australia/Sydney"),
+    ("NZ", "NZL", "New Zealand", "NZD", "Pacific/Auckland"),
+    ("JP", "JPN", "Japan", "JPY", "Asia/Tokyo"),
+    ("SG", "SGP", "Singapore", "SGD", "Asia/Singapore"),
+    ("ZA", "ZAF", "South Africa", "ZAR", "Africa/Johannesburg"),
 )
 
 # Tier code, name, least points, discount, multiplier, review months.

@@ -19,16 +19,16 @@ from tillweave.sources.tables import RetailTables
 
 # Rule themes in their numbered order.
 RULE_THEMES = (
-    ("VOLUME_BREAK", "quantity break ladder"),
-    ("LOYALTY_TIER", "loyalty tier uplift"),
-    ("CLEARANCE", "end-of-life clearance markdown"),
-    ("BUNDLE", "multi-buy bundle eligibility"),
-    ("CHANNEL_PARITY", "channel price parity guard"),
-    ("MARGIN_FLOOR", "gross margin floor"),
-    ("COMPETITOR", "competitor match window"),
-    ("SEASONAL", "seasonal calendar uplift"),
-    ("SUPPLIER_FUND", "supplier funded promotion"),
-    ("BASKET_THRESHOLD", "basket value threshold"),
+    "VOLUME_BREAK",
+    "LOYALTY_TIER",
+    "CLEARANCE",
+    "BUNDLE",
+    "CHANNEL_PARITY",
+    "MARGIN_FLOOR",
+    "COMPETITOR",
+    "SEASONAL",
+    "SUPPLIER_FUND",
+    "BASKET_THRESHOLD",
 )
 
 
@@ -250,7 +250,7 @@ def _price_facts(t: RetailTables, kind: int) -> DataFrame:
 def rule_evaluate(requests: DataFrame, t: RetailTables, number: int, as_of) -> DataFrame:
     """Outcome of rule `number` (1-based) for (variant_id, qty, base_price) requests: whether it
     applies, the adjusted price and the theme code."""
-    theme, _ = RULE_THEMES[(number - 1) % len(RULE_THEMES)]
+    theme = RULE_THEMES[(number - 1) % len(RULE_THEMES)]
     kind = number % 5
     threshold, factor = 4 + number % 9, dec(f"0.{85 + number % 12:02d}")
     rows = requests.join(sellable_variants(t, as_of).withColumn("_ok", F.lit(True)), "variant_id", "left").join(
@@ -276,7 +276,7 @@ def rule_apply(t: RetailTables, list_id: int, number: int, as_of, dry_run: bool
         "price_reason_code": F.when(hit, F.substring("reason_code", 1, 20)).otherwise(F.col("price_reason_code")),
     }).select(*items.columns)
     summary = ours.agg(F.count("*").alias("n")).select(
-        F.lit(RULE_THEMES[(number - 1) % len(RULE_THEMES)][0]).alias("rule_code"), F.lit("price_list_item").alias("entity_name"),
+        F.lit(RULE_THEMES[(number - 1) % len(RULE_THEMES)]).alias("rule_code"), F.lit("price_list_item").alias("entity_name"),
         F.lit(str(list_id)).alias("entity_key"), F.lit("INFO").alias("severity"),
         F.concat(F.lit("evaluated "), F.col("n").cast("string"), F.lit(f" dry_run={'Y' if dry_run else 'N'}")).alias("detail"))
     return items.filter(F.col("price_list_id") != list_id).unionByName(changed), summary

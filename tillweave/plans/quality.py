@@ -76,13 +76,23 @@ def run_lookup_rules(df: DataFrame, t: RetailTables, entity: str, key: Column, a
 # ---- references -------------------------------------------------------------------------------------
 
 def dq_orphans(t: RetailTables, pairs=REFERENCES) -> DataFrame:
-    """Orphan count per checked reference; a NULL foreign key is no orphan."""
-    def one(child, parent, fk, pk):
-        lost = orphans(getattr(t, child).select(fk), getattr(t, parent), [fk], [pk])
-        return lost.agg(F.count("*").alias("orphans")).select(
-            F.lit(child).alias("child"), F.lit(parent).alias("parent"), F.lit(fk).alias("foreign_key"), "orphans")
+    """Orphan count per checked reference; a NULL foreign key is no orphan.
 
-    return union_all([one(*p) for p in pairs])
+    A child table is read once: its keys are counted first, so the joins to its parents see one row
+    per combination of keys and a hot key is one row.
+    """
+    def of_child(child: str) -> DataFrame:
+        refs = [(pa, fk, pk) for ch, pa, fk, pk in pairs if ch == child]
+        rows = getattr(t, child).groupBy(*dict.fromkeys(fk for _, fk, _ in refs)).agg(F.count("*").alias("_n"))
+        for k, (parent, fk, pk) in enumerate(refs):
+            known = getattr(t, parent).select(F.col(pk).alias(f"_p{k}")).distinct()
+            rows = rows.join(known, F.col(fk) == F.col(f"_p{k}"), "left")
+        lost = [F.coalesce(F.sum(F.when(F.col(fk).isNotNull() & F.col(f"_p{k}").isNull(), F.col("_n"))), F.lit(0)).alias(f"_l{k}") for k, (_, fk, _) in enumerate(refs)]
+        return rows.agg(*lost).select(F.inline(F.array(*[F.struct(
+            F.lit(child).alias("child"), F.lit(parent).alias("parent"), F.lit(fk).alias("foreign_key"), F.col(f"_l{k}").alias("orphans"))
+            for k, (parent, fk, _) in enumerate(refs)])))
+
+    return union_all([of_child(c) for c in dict.fromkeys(p[0] for p in pairs)])
 
 
 def dq_soft_refs(t: RetailTables) -> DataFrame:
