@@ -111,16 +111,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sorted_windows(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-    """All windows of some super-k-mers (doc, tag, first, words): digests, document, tag, place."""
+    """All windows of some super-k-mers: digests, document, tag, place, salted."""
     w = Words(pa.array([r[3] for r in rows], pa.string()), False, NOT_SPACE)
     at, h1 = w.windows(WINDOW)
     w.hash = mix(w.hash ^ _OTHER)
     h2 = w.windows(WINDOW)[1]
     own = np.searchsorted(w.first, at, "right") - 1
-    doc, tag, first = (np.array([r[k] for r in rows], np.int64)[own] for k in range(3))
+    doc, tag, first, salted = (np.array([r[k] for r in rows], np.int64)[own] for k in (0, 1, 2, 4))
     place = first + at - w.first[own]
     order = np.lexsort((place, tag, doc, h2, h1))
-    return tuple(x[order] for x in (h1, h2, doc, tag, place))
+    return tuple(x[order] for x in (h1, h2, doc, tag, place, salted))
 
 
 def _runs(doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> list[tuple]:
@@ -134,45 +134,42 @@ def _runs(doc: np.ndarray, tag: np.ndarray, place: np.ndarray) -> list[tuple]:
     return [(int(doc[i]), int(tag[i]), int(place[i]), int(place[j] - place[i]) + WINDOW, None, None) for i, j in zip(a, b)]
 
 
-def _sort_bucket(rows: list[tuple], salted: bool) -> list[tuple]:
-    if len(rows) < 2 and not salted:
-        return []
-    h1, h2, doc, tag, place = _sorted_windows(rows)
+def _sort_buckets(rows: list[tuple]) -> list[tuple]:
+    """Whole buckets of super-k-mers (doc, tag, first, words, salted), sorted together: windows of
+    equal content have equal minimisers, so buckets cannot disturb each other."""
+    h1, h2, doc, tag, place, salted = _sorted_windows(rows)
     new = np.ones(len(h1), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     again = doc > least
     out = _runs(doc[again], tag[again], place[again]) if again.any() else []
-    if salted:
-        rest = ~again
-        out += [(int(d), int(t), int(p), 0, a, b) for d, t, p, a, b in zip(doc[rest], tag[rest], place[rest], h1[rest].view(np.int64).tolist(), h2[rest].view(np.int64).tolist())]
+    rest = ~again & (salted > 0)
+    out += [(int(d), int(t), int(p), 0, a, b) for d, t, p, a, b in zip(doc[rest], tag[rest], place[rest], h1[rest].view(np.int64).tolist(), h2[rest].view(np.int64).tolist())]
     return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows arrive sorted by bucket; one bucket is held at a time."""
+    """Packed rows arrive sorted by bucket; full buckets are sorted together, some at a time."""
     arrow = to_arrow_schema(FOUND)
-    at, held, salt, out = None, [], False, []
+    at, held = None, []
 
-    def emit() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+    def emit() -> Iterator[pa.RecordBatch]:
+        if out := _sort_buckets(held) if held else []:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     for batch in batches:
         for bucket, _, salted, doc, tag, first, words in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket != at:
-                out += _sort_bucket(held, salt)
-                at, held, salt = bucket, [], salted
-                if len(out) > 10_000:
-                    yield emit()
-                    out = []
-            held.append((doc, tag, first, words))
-    out += _sort_bucket(held, salt)
-    if out:
-        yield emit()
+            if bucket != at and len(held) >= BUCKET:
+                yield from emit()
+                held = []
+            at = bucket
+            held.append((doc, tag, first, words, salted))
+    yield from emit()
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """Stretches of words to remove: doc_id, tag (of the text), first, n.
+def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stretches of words to remove (doc_id, tag of the text, first, n), and the texts of all
+    documents that share a minimiser with another (doc_id, tag, text), which may have such stretches.
 
     `docs` has doc_id, text and tag.
     """
@@ -184,28 +181,29 @@ def repeated(docs: DataFrame) -> DataFrame:
     salted = F.col("salts") > 1
     bucket = F.when(salted, F.xxhash64("mini", F.pmod(F.xxhash64("doc_id"), F.col("salts")))).otherwise(F.col("mini"))
     per_doc = wanted.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "n", "mini", bucket.alias("bucket"), salted.alias("salted"))).alias("wanted"))
-    packed = texts.join(per_doc, ["doc_id", "tag"]).mapInArrow(_pack, PACKED)
+    shared = stash(texts.join(per_doc, ["doc_id", "tag"]))
+    packed = shared.mapInArrow(_pack, PACKED)
     found = stash(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, FOUND))
     firsts = found.filter("n = 0")
     least = firsts.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     across = firsts.join(least, ["h1", "h2"]).filter("doc_id > lo").select("doc_id", "tag", "first", F.lit(WINDOW).alias("n"))
-    return found.filter("n > 0").select("doc_id", "tag", "first", "n").union(across)
+    return found.filter("n > 0").select("doc_id", "tag", "first", "n").union(across), shared.select("doc_id", "tag", "text")
 
 
-CLEANED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+CLEANED = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
+])
 
 
-def without_repeats(docs: DataFrame, digest_only: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and the kept words (or only their SHA-256) of every row."""
-    tagged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text").alias("tag"))
-    cuts = repeated(tagged).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "n")).alias("cuts"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *CLEANED.fields])
-    arrow = to_arrow_schema(schema)
+def _cleaned(digest_only: bool):
+    """Cuts the words given in a column `cuts` (none where there is no such column)."""
+    arrow = to_arrow_schema(CLEANED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             rows = []
-            for doc, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "cuts"))):
+            stretches = batch.column("cuts").to_pylist() if "cuts" in batch.schema.names else [None] * batch.num_rows
+            for doc, tag, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")), stretches):
                 words = (text or "").encode().split()
                 total = len(words)
                 if cuts:
@@ -214,10 +212,25 @@ def without_repeats(docs: DataFrame, digest_only: bool = False) -> DataFrame:
                     np.add.at(mark, [c["first"] + c["n"] for c in cuts], -1)
                     words = [words[k] for k in np.flatnonzero(np.cumsum(mark)[:-1] == 0)]
                 kept = b" ".join(words)
-                rows.append((doc, total, total - len(words), hashlib.sha256(kept).hexdigest() if digest_only else kept.decode()))
+                rows.append((doc, tag, total, total - len(words), hashlib.sha256(kept).hexdigest() if digest_only else kept.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return tagged.join(cuts, ["doc_id", "tag"], "left").select("doc_id", "text", "cuts").mapInArrow(run, schema)
+    return run
+
+
+def without_repeats(docs: DataFrame, digest_only: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and the kept words (or only their SHA-256) of every row.
+
+    Texts are cut only where something may be cut; for the digests of the others no text moves.
+    """
+    tagged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text").alias("tag"))
+    stretches, texts = repeated(tagged)
+    cuts = stretches.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "n")).alias("cuts"))
+    changed = texts.join(cuts, ["doc_id", "tag"]).mapInArrow(_cleaned(digest_only), CLEANED).dropDuplicates(["doc_id", "tag"])
+    changed = changed.select("doc_id", "tag", F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept"))
+    whole = tagged.mapInArrow(_cleaned(digest_only), CLEANED)
+    out = whole.join(changed, ["doc_id", "tag"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("_removed", "n_removed").alias("n_removed"), F.coalesce("_kept", "kept").alias("kept"))
 
 
 def report(docs: DataFrame) -> DataFrame:
