@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tillweave.catalog.registry import d, day, i, query
+from tillweave.catalog.registry import d, day, i, month, query
 from tillweave.catalog.views import NOW
 from tillweave.plans import mviews
 from tillweave.session import shared_dir
@@ -98,6 +98,24 @@ SELECT o.store_id, {day('o.order_ts')} AS sales_date, o.currency_code, COUNT(*)
 FROM rt_sales_order o JOIN {_AFTER} l ON l.order_id = o.order_id GROUP BY 1, 2, 3""")(streamed_daily)
 
 
+def streamed_monthly(t):
+    stored, changes, lines = line_changes(t)
+    start = mviews.sales_monthly_category(t.replace(sales_order_line=stored.withColumn("line_total", F.lit(0))))
+    store = ch.SumLog(t.spark, fresh(t, "mv_monthly"), start)
+    orders = t.sales_order.select("order_id", "order_ts", "currency_code", "channel_code")
+    categories = (t.product_variant.select("variant_id", "product_id").join(t.product.select("product_id", "category_id"), "product_id")
+                  .join(t.product_category.select("category_id", "category_code"), "category_id").drop("product_id"))
+    ch.run_stream(feed(t, changes, lines), rf.refresh_handler(store, lambda b: rf.monthly_deltas(b, orders, categories), rf.MONTHLY), f"monthly_{uuid.uuid4().hex[:8]}")
+    return rf.stored(store, rf.MONTHLY)
+
+
+query("inc_fast_refresh_monthly", f"""
+SELECT {month('o.order_ts')} AS month_start, c.category_id, c.category_code, o.currency_code, o.channel_code, COUNT(*) AS line_count, {d('SUM(l.qty)')} AS total_qty, COUNT(*) AS total_qty_cnt,
+  {d('SUM(l.qty * l.unit_price - l.discount_amount)')} AS net_amount, COUNT(*) AS net_amount_cnt, {d('SUM(l.tax_amount)')} AS tax_amount, COUNT(*) AS tax_amount_cnt
+FROM rt_sales_order o JOIN {_AFTER.replace("SELECT order_id,", "SELECT order_id, variant_id,")} l ON l.order_id = o.order_id JOIN rt_product_variant pv ON pv.variant_id = l.variant_id
+JOIN rt_product p ON p.product_id = pv.product_id JOIN rt_product_category c ON c.category_id = p.category_id GROUP BY 1, 2, 3, 4, 5""")(streamed_monthly)
+
+
 def streamed_stock(t):
     cols = ["location_id", "variant_id", "qty_on_hand", "qty_reserved", "reorder_point"]
     stock = t.inventory_stock.select(*cols)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillweave.functions.values import day_of
+from tillweave.functions.values import day_of, month_of
 from tillweave.streaming.changes import Handler, SumLog
 
 
@@ -64,6 +64,14 @@ def daily_deltas(line_changes: DataFrame, orders: DataFrame) -> DataFrame:
         "total_qty": F.col("qty"), "gross_amount": F.col("qty") * F.col("unit_price"), "discount_amount": F.col("discount_amount"), "tax_amount": F.col("tax_amount")})
 
 
+def monthly_deltas(line_changes: DataFrame, orders: DataFrame, categories: DataFrame) -> DataFrame:
+    """Deltas of the monthly category aggregate; `categories` has variant_id, category_id, category_code."""
+    rows = signed(line_changes).select("row.*", "sign")
+    heads = orders.select("order_id", month_of("order_ts").alias("month_start"), "currency_code", "channel_code")
+    net = F.col("qty") * F.col("unit_price") - F.col("discount_amount")
+    return deltas(rows.join(heads, "order_id").join(categories, "variant_id"), MONTHLY, {"total_qty": F.col("qty"), "net_amount": net, "tax_amount": F.col("tax_amount")})
+
+
 def stock_deltas(stock_changes: DataFrame) -> DataFrame:
     """Deltas of the stock aggregate; the below-reorder flag is a measure like the quantities."""
     rows = signed(stock_changes).select("row.*", "sign")
