@@ -175,3 +175,18 @@ def report(conversations: DataFrame) -> DataFrame:
     segments = render(fold(as_events(table)), ["opened", "message"])
     return digests(read_back(segments), ["opened", "message"])
 
+
+def _control_sql() -> str:
+    return "|".join("".join(c if c.isalnum() else "\\" + c for c in x) for x in CONTROLS)
+
+
+REPORT_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(role) + len(text) + len(role || text) - len(replace(role || text, '\\', '')) + len(role) - len(replace(role, chr(10), ''))
+  + 2 * (len(regexp_extract_all(role, '{_control_sql()}')) + len(regexp_extract_all(text, '{_control_sql()}'))) AS escaped FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = '{TRAINED}' THEN len(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = '{TRAINED}' THEN text END, '' ORDER BY turn, text), '')) AS loss_sha256,
+  CAST(sum(escaped + {len(START + MIDDLE + END)}) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
+"""

@@ -221,3 +221,19 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("_found.n_hit") > 0).alias("contaminated"),
         F.coalesce(F.array_max(F.transform("_found.matches", lambda m: m["length"])), F.lit(0)).cast("bigint").alias("longest"),
     )
+
+
+_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' +'), lambda x: x <> '')"
+REPORT_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS ws FROM benchmark),
+bw AS (SELECT item, i AS at, least(len(ws), {WINDOW}) AS size, ws[i:i + least(len(ws), {WINDOW}) - 1] AS w FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, i, s.size, ws[i:i + s.size - 1] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) x, (SELECT DISTINCT size FROM bw) s WHERE i + s.size - 1 <= len(ws)),
+hit AS (SELECT dw.doc_id, dw.i, dw.size, bw.item, dw.i - bw.at AS diagonal FROM dw JOIN bw ON bw.w = dw.w),
+word AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS k FROM hit) GROUP BY doc_id),
+run AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, diagonal, size ORDER BY i) AS g FROM (SELECT DISTINCT * FROM hit)),
+long AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, max(i) - min(i) + size AS n FROM run GROUP BY doc_id, item, diagonal, size, g) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item COLLATE "C") AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(word.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(item.n, 0) AS BIGINT) AS n_items, sha256(coalesce(item.items, '')) AS items_sha256,
+  coalesce(word.n, 0) > 0 AS contaminated, CAST(coalesce(long.longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN word ON word.doc_id = d.doc_id LEFT JOIN item ON item.doc_id = d.doc_id LEFT JOIN long ON long.doc_id = d.doc_id
+"""

@@ -108,7 +108,7 @@ def report(docs: DataFrame, seed: str = "mix") -> DataFrame:
     return made.select("doc_id", F.col(f"{m}.size").alias("size"), F.col(f"{m}.source_size").alias("source_size"), F.col(f"{m}.target").alias("target"), (F.col(f"{m}.size") * F.col(f"{m}.copies")).alias("taken"))
 
 
-_WORDS = r"CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS BIGINT)"
+_WORDS = r"CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT)"
 REPORT_SQL = f"""
 WITH d AS (SELECT doc_id, source, {_WORDS} AS size, md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), '-'), '/', md5(coalesce(text, '')))) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

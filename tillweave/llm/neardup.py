@@ -34,7 +34,7 @@ from tillweave.session import stash
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 20, 5
 PIECE = 4 << 20
-BLOCK = 1 << 17  # shingles of one block of a bucket
+BLOCK = 1 << 16  # shingles of one block of a bucket
 SCREEN = PERCENT / 100 - 0.25  # seven standard errors below the threshold at 100 minima
 
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)

@@ -56,4 +56,6 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_licence_scan, op2_chat_formatting, op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op8_repeated_passages, op9_decontamination, op10_url_filters)
 }
-ORACLES: dict[str, str] = {"op6_mix_sources": mixing.REPORT_SQL}
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": chat.REPORT_SQL, "op6_mix_sources": mixing.REPORT_SQL, "op8_repeated_passages": repeats.REPORT_SQL, "op9_decontamination": decontam.REPORT_SQL,
+}

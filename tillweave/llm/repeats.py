@@ -39,7 +39,7 @@ from tillweave.llm.words import NOT_SPACE, Words, mix, pieces
 from tillweave.session import stash
 
 WINDOW, MINIMISER = 50, 10
-BUCKET = 2048  # super-k-mers of one minimiser that are sorted together
+BUCKET = 512  # super-k-mers of one minimiser that are sorted together
 PIECE = 4 << 20
 _OTHER = np.uint64(0x632BE59BD9B4E019)
 
@@ -236,3 +236,15 @@ def without_repeats(docs: DataFrame, digest_only: bool = False) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: words, removed words, digest of what is kept."""
     return without_repeats(docs, digest_only=True).withColumnRenamed("kept", "kept_sha256")
+
+
+REPORT_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+place AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d WHERE len(ws) >= {WINDOW}),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS h FROM place),
+cut AS (SELECT DISTINCT w.doc_id, w.i + o.o AS k FROM win w JOIN (SELECT h, min(doc_id) AS least FROM win GROUP BY h) f ON f.h = w.h AND f.least < w.doc_id, (SELECT unnest(range(0, {WINDOW})) AS o) o),
+word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM d),
+kept AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.k) AS text, count(*) AS n FROM word w ANTI JOIN cut c ON c.doc_id = w.doc_id AND c.k = w.k GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(len(d.ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
