@@ -19,14 +19,14 @@ ORACLES: dict[str, str] = {}
 def plain(df: DataFrame) -> DataFrame:
     """Reduce column types to the few that compare alike in any engine.
 
-    Whole numbers become bigint, decimals a double of their value at scale 4, dates and zoned
+    Whole numbers become bigint, decimals the nearest double of all their digits, dates and zoned
     timestamps plain timestamps, intervals seconds or months.
     """
     out = []
     for f in df.schema.fields:
         c, t = F.col(f"`{f.name}`"), f.dataType
         if isinstance(t, T.DecimalType):
-            c = (F.round(c, 4) if t.scale > 4 else c).cast("double")
+            c = c.cast("double")
         elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(t, T.FloatType):
@@ -41,16 +41,9 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-_TABLES: dict[tuple[int, str], RetailTables] = {}
-
-
 def tables(spark: SparkSession, folder: str) -> RetailTables:
-    """The bound tables of a folder; plans only, built once per session and folder."""
-    key = (id(spark), folder)
-    if key not in _TABLES or _TABLES[key].spark is not spark:
-        _TABLES[key] = RetailTables(spark, folder)
-    configure(spark)
-    return _TABLES[key]
+    """The bound tables of a folder, listed anew for each call; plans only."""
+    return RetailTables(configure(spark), folder)
 
 
 def query(name: str, sql: str | None = None):
@@ -74,8 +67,8 @@ def query(name: str, sql: str | None = None):
 
 
 def d(expr: str) -> str:
-    """A decimal as it appears in plain(): a double of its value at scale 4."""
-    return f"CAST(ROUND({expr}, 4) AS DOUBLE)"
+    """A decimal as it appears in plain()."""
+    return f"CAST({expr} AS DOUBLE)"
 
 
 def i(expr: str) -> str:
