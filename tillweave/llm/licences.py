@@ -128,7 +128,10 @@ def training_rows(docs: DataFrame) -> DataFrame:
     variants = fixed.select("label", tokens(F.col("text")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("v"))
     dropped = F.filter("w", lambda x, i: (F.col("v") == 0) | (F.pmod(F.xxhash64(x, i, F.col("v")), F.lit(12)) > 0))
     positive = variants.select("label", dropped.alias("w"), (F.pmod(F.xxhash64("w", "v"), F.lit(5)) == 0).alias("held_out"))
-    chosen = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter("text IS NOT NULL").orderBy(F.md5("text")).limit(SAMPLE)
+    # digests are picked first, so that neither texts nor copies crowd the pick; SAMPLE rows are broadcast
+    keyed = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("k"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    least = keyed.select("k").distinct().orderBy("k").limit(SAMPLE)
+    chosen = keyed.join(F.broadcast(least), "k", "left_semi").groupBy("k").agg(F.min("text").alias("text"))
     plain = chosen.select(F.explode(paragraphs(F.col("text"))).alias("w"))
     negative = plain.filter(likeness(grams(F.col("w"), (3,))) < 0.5).select(F.lit(NONE).alias("label"), "w", (F.pmod(F.xxhash64("w"), F.lit(5)) == 0).alias("held_out"))
     return positive.union(negative)
