@@ -90,10 +90,12 @@ def product_price_rank(t: RetailTables) -> DataFrame:
     second = top_k(rows.select("category_id", "list_price", "sku"), ["category_id"],
                    [order_nulls("list_price", desc=True), F.col("sku").desc()], 2)
     second = second.filter("rn = 2").select("category_id", F.col("sku").alias("second_priciest_sku"))
+    # positions are found once; the ascending ranks are the descending ones seen from the other end
     ranked = rank_cols(rows, ["category_id"], [By("list_price", desc=True)],
-                       {"price_rank": "rank", "price_dense_rank": "dense_rank"}, ["product_id"])
-    ranked = rank_cols(ranked, ["category_id"], [By("list_price")],
-                       {"price_percentile": "percent_rank", "price_cume_dist": "cume_dist"}, ["product_id"])
+                       {"price_rank": "rank", "price_dense_rank": "dense_rank", "_upto": "cume_dist"}, ["product_id"])
+    ranked = with_part_total(ranked, ["category_id"], {"_n": F.count("*")})
+    n, last = F.col("_n"), F.round(F.col("_upto") * F.col("_n")).cast("bigint")
+    ranked = ranked.withColumns({"price_percentile": F.when(n > 1, (n - last) / (n - 1)).otherwise(0.0), "price_cume_dist": (n - F.col("price_rank") + 1) / n})
     return ranked.join(tops, "category_id").join(second, "category_id", "left").select(
         "product_id", "sku", "product_name", "category_id", "category_name", "list_price", "unit_cost", "margin_pct",
         "price_rank", "price_dense_rank", "price_percentile", "price_cume_dist", "category_max_price",
