@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tillweave.llm import decontam, mixing, neardup, quality, sharding
 from tillweave.session import shared_dir
 
+#: Similarity of five-word shingles from which texts are near copies here; op5 has its own, 85.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and keep most of their text when cleaned line by line."""
@@ -22,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return neardup.deduplicate(docs)
+    """One document of each group of near copies, linked at `NEAR_PERCENT`."""
+    return neardup.deduplicate(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Near-duplicates: many universal hash minima with banding, links confirmed on full sets,
 components by alternating large-star and small-star.
 
-1. Each text's set of five-word shingles (64-bit hashes) gives its size, a digest and `BANDS` band
-   values of `ROWS` minima each. Texts with equal sets become one representative.
+1. Each text's set of five-word shingles (64-bit hashes) gives its size, a digest and band values of
+   a few minima each, as many as the threshold needs. Texts with equal sets become one representative.
 2. Representatives that share a band value form a bucket. Buckets with the same members are kept
-   once. A pair of similarity 0.85 shares no bucket with a chance below 10**-5.
+   once. A pair at the threshold shares no bucket with a chance below `MISS`.
 3. The sets of bucket members travel to their buckets, where the signatures screen pairs and the
    full sets confirm them. Only a spanning forest of the confirmed links leaves a bucket, not its
    pairs. A bucket with more shingles than `BLOCK` is split into blocks, every two of which meet
@@ -19,7 +19,10 @@ keeps one; an empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,33 @@ from tillweave.llm.words import NOT_SPACE, Words, fresh, mix, pieces
 from tillweave.session import stash
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 20, 5
+MISS = 1e-5  # chance that a pair at the threshold shares no band
+MOST_ROWS, MOST_BANDS = 5, 24
 PIECE = 4 << 20
 BLOCK = 1 << 16  # shingles of one block of a bucket
-SCREEN = PERCENT / 100 - 0.25  # seven standard errors below the threshold at 100 minima
 
-_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+class Banding(NamedTuple):
+    bands: int
+    rows: int
+    screen: int  # equal minima that a linked pair has, seven standard errors below the threshold
+
+
+@cache
+def banding(percent: int) -> Banding:
+    """The most rows a band that miss few enough pairs of this similarity: 20 x 5 at 85, 22 x 4 at 80."""
+    p = percent / 100
+    for rows in range(MOST_ROWS, 0, -1):
+        bands = max(1, math.ceil(math.log(MISS) / math.log(max(1e-300, 1 - p**rows))))
+        if bands <= MOST_BANDS:
+            break
+    n = bands * rows
+    return Banding(bands, rows, max(0, math.floor(n * p - 7 * math.sqrt(n * p * (1 - p)))))
+
+
+@cache
+def _seeds(n: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, n), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -61,19 +85,19 @@ def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return h, cut
 
 
-def minima(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Signatures (a row a text) of texts with at least one shingle."""
-    out = np.empty((len(cut) - 1, BANDS * ROWS), np.uint64)
-    for k in range(BANDS * ROWS):
-        out[:, k] = np.minimum.reduceat(h * _SEEDS[0, k] + _SEEDS[1, k], cut[:-1])
+def minima(h: np.ndarray, cut: np.ndarray, n: int) -> np.ndarray:
+    """Signatures (a row a text, `n` minima each) of texts with at least one shingle."""
+    out, seeds = np.empty((len(cut) - 1, n), np.uint64), _seeds(n)
+    for k in range(n):
+        out[:, k] = np.minimum.reduceat(h * seeds[0, k] + seeds[1, k], cut[:-1])
     return out
 
 
-def _bands(signature: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(signature), BANDS), np.uint64)
-    for k in range(ROWS):
-        out = mix(out * np.uint64(3) + signature[:, k::ROWS])
-    return mix(out + np.arange(BANDS, dtype=np.uint64))
+def _bands(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    out = np.zeros((len(signature), bands), np.uint64)
+    for k in range(rows):
+        out = mix(out * np.uint64(3) + signature[:, k::rows])
+    return mix(out + np.arange(bands, dtype=np.uint64))
 
 
 SETS = T.StructType([
@@ -92,17 +116,20 @@ def _unique(h: np.ndarray, cut: np.ndarray) -> tuple[list[np.ndarray], np.ndarra
     return sets, n, d1, d2
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    arrow = to_arrow_schema(SETS)
-    for batch in pieces(batches, "text", PIECE):
-        h, cut = shingles(Words(batch.column("text"), True, NOT_SPACE))
-        _, n, d1, d2 = _unique(h, cut)
-        some = np.flatnonzero(n)
-        bands = _bands(minima(h, np.append(cut[:-1][some], len(h)))) if len(some) else np.zeros((0, BANDS), np.uint64)
-        offsets = np.zeros(len(n) + 1, np.int32)
-        offsets[1:] = np.cumsum(np.where(n > 0, BANDS, 0))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), lists.cast(arrow.field(4).type)], schema=arrow)
+def _describe(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, (bands, rows, _) = to_arrow_schema(SETS), banding(percent)
+        for batch in pieces(batches, "text", PIECE):
+            h, cut = shingles(Words(batch.column("text"), True, NOT_SPACE))
+            _, n, d1, d2 = _unique(h, cut)
+            some = np.flatnonzero(n)
+            values = _bands(minima(h, np.append(cut[:-1][some], len(h)), bands * rows), bands, rows) if len(some) else np.zeros((0, bands), np.uint64)
+            offsets = np.zeros(len(n) + 1, np.int32)
+            offsets[1:] = np.cumsum(np.where(n > 0, bands, 0))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(values.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), lists.cast(arrow.field(4).type)], schema=arrow)
+
+    return run
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +169,8 @@ def link(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list
     column = (np.cumsum(shared) - 1)[code[use]]
     owner, width = owner[use], int(shared.sum())
     cut = np.searchsorted(owner, np.arange(k + 1))
-    signature = minima(joined, np.append(0, np.cumsum(n))) if k > 2 else None
+    bands, per_band, screen = banding(percent)
+    signature = minima(joined, np.append(0, np.cumsum(n)), bands * per_band) if k > 2 else None
 
     def common(rows: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of some sets with all sets, from slices of the shared shingles."""
@@ -184,29 +212,32 @@ def link(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list
             alike = np.zeros((len(rows), k), np.int32)
             for c in range(signature.shape[1]):
                 alike += signature[rows, c][:, None] == signature[None, :, c]
-            rows = rows[(alike >= SCREEN * signature.shape[1]).sum(axis=1) > 1]  # itself is one
+            rows = rows[(alike >= screen).sum(axis=1) > 1]  # itself is one
         if len(rows):
             confirmed(rows)
     return [(ids[i], ids[label[i]]) for i in range(k) if label[i] != i]
 
 
-def _link_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_tasks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Members arrive sorted by task; one task's members are held at a time."""
-    arrow = to_arrow_schema(LINKS)
-    at, ids, sets, found = None, [], [], []
-    for batch in batches:
-        for task, rep, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if task != at:
-                found += link(ids, sets) if len(ids) > 1 else []
-                at, ids, sets = task, [], []
-            ids.append(rep)
-            sets.append(np.frombuffer(body, np.uint64))
-        if len(found) > 10_000:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(LINKS)
+        at, ids, sets, found = None, [], [], []
+        for batch in batches:
+            for task, rep, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if task != at:
+                    found += link(ids, sets, percent) if len(ids) > 1 else []
+                    at, ids, sets = task, [], []
+                ids.append(rep)
+                sets.append(np.frombuffer(body, np.uint64))
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=arrow)
+                found = []
+        found += link(ids, sets, percent) if len(ids) > 1 else []
+        if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=arrow)
-            found = []
-    found += link(ids, sets) if len(ids) > 1 else []
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=arrow)
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -233,10 +264,10 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.union(edges.select("v", "v").distinct())
 
 
-def with_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def with_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; texts link at `percent` of Jaccard similarity."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = stash(texts.mapInArrow(_describe, SETS))
+    sets = stash(texts.mapInArrow(_describe(percent), SETS))
     reps = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2", "n").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
     reps = stash(reps)
     banded = reps.select("rep", "d1", "n", F.explode("bands").alias("bucket"))
@@ -249,7 +280,7 @@ def with_components(docs: DataFrame) -> DataFrame:
     pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.xxhash64("bucket", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
     wanted = member.select("rep", "d1", pair.alias("tasks")).groupBy("rep", "d1").agg(F.flatten(F.collect_list("tasks")).alias("tasks"))
     found = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(_members, MEMBERS)
-    links = found.repartition("task").sortWithinPartitions("task").mapInArrow(_link_tasks, LINKS)
+    links = found.repartition("task").sortWithinPartitions("task").mapInArrow(_link_tasks(percent), LINKS)
     reached = components(links).withColumnRenamed("node", "rep")
     of_rep = reps.select("d1", "d2", "n", "rep").join(reached, "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("_c"))
     out = sets.join(of_rep, ["d1", "d2", "n"], "left")
@@ -257,15 +288,15 @@ def with_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "d1", "d2")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: set size, component, and whether it is the one that stays."""
-    out = with_components(docs)
+    out = with_components(docs, percent)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, columns unchanged; documents with a NULL doc_id stay."""
-    gone = stash(with_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = stash(with_components(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     stay = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     name = fresh(docs.columns, "_nth")
     first = stay.filter(F.col("doc_id").isNotNull()).withColumn(name, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))

@@ -30,7 +30,7 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.report(_table(spark, folder, "documents"))
+    return neardup.report(_table(spark, folder, "documents"), 85)
 
 
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
