@@ -20,7 +20,8 @@ NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep most of their text when cleaned line by line."""
+    """Documents that pass the base rules and keep most of their text when cleaned line by line,
+    without their failing lines."""
     return quality.accepted(docs)
 
 

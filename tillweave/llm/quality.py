@@ -103,18 +103,18 @@ def measures(text: Column) -> Column:
 
 def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with a struct `_quality` of the counts, `base_failed` and `kept`."""
-    name = fresh(docs.columns, "_quality")
     # a lambda's variable holds the struct, so later uses do not compute it again
-    def judged(m: Column) -> Column:
-        n, repeated = m["words"]["n_words"], m["words"]["n_repeat_words"]
-        failed = (n < LEAST_WORDS) | (100 * repeated > REPEATED * n)
-        return F.struct(
-            n.alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["lines"]["n_dup_lines"].alias("n_dup_lines"),
-            repeated.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & (100 * m["lines"]["lost_chars"] <= LOST * m["word_chars"])).alias("kept"),
-            m["lines"]["lost_chars"].alias("lost_chars"),
-        )
+    return docs.withColumn(fresh(docs.columns, "_quality"), let(measures(F.col(text)), _judged))
+
 
-    return docs.withColumn(name, let(measures(F.col(text)), judged))
+def _judged(m: Column) -> Column:
+    n, repeated = m["words"]["n_words"], m["words"]["n_repeat_words"]
+    failed = (n < LEAST_WORDS) | (100 * repeated > REPEATED * n)
+    return F.struct(
+        n.alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["lines"]["n_dup_lines"].alias("n_dup_lines"),
+        repeated.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & (100 * m["lines"]["lost_chars"] <= LOST * m["word_chars"])).alias("kept"),
+        m["lines"]["lost_chars"].alias("lost_chars"),
+    )
 
 
 def clean_text(text: Column) -> Column:
@@ -123,10 +123,13 @@ def clean_text(text: Column) -> Column:
 
 
 def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that pass, columns and texts unchanged."""
-    judged = with_quality(docs, text)
-    name = judged.columns[-1]
-    return judged.filter(F.col(name)["kept"]).drop(name)
+    """The documents that pass, their texts without the failing lines, other columns unchanged."""
+    def cleaned(q: Column) -> Column:
+        return F.when(q["kept"], F.array(F.when(q["lost_chars"] > 0, clean_text(F.col(text))).otherwise(F.col(text))))
+
+    # one text or none from each row, since a filter beside a new column would judge every text twice
+    one = F.explode(let(let(measures(F.col(text)), _judged), cleaned))
+    return docs.select(*[one.alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
