@@ -7,11 +7,15 @@
    of the sample share. The model is a sparse multinomial logistic regression.
 3. A fifth of the rows is held out. On it a temperature is chosen by log loss, and the confidence
    below which a paragraph counts as `unknown` by the precision above it.
-4. Every paragraph of every document is looked at: one that holds no word of any feature cannot
-   score and stays `none`; the others are scored in pieces of `SPAN` words.
+4. Every paragraph (line with a word) of every document is looked at, and every run of lines
+   without a blank one between them as a whole, since notices are often wrapped. What holds no word
+   of any feature cannot score and stays `none`; the rest is scored in pieces of `SPAN` words.
 5. A predicted family is confirmed where a template of it shares enough word trigrams with the
    piece; unconfirmed or unsure predictions are `unknown`.
 
+A notice found in a run of lines counts once, and its lines that no family is confirmed for do not
+count beside it; one that a line of the run shows already is not counted again.
+
 Defined cases: NULL and empty texts have no paragraphs and no licence; repeated rows each give a
 row; ties between families go to the first by name; an empty table gives no rows (the model is then
 fitted on templates only).
@@ -98,12 +102,22 @@ def grams(w: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Words of each paragraph (line with a word), long ones in overlapping pieces."""
+    """(run, joined, w): words of each line with a word and of each run of several such lines with no
+    blank line between, long ones in overlapping pieces."""
     def pieces(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(w) - STEP - 1, F.lit(0)), F.lit(STEP))
         return F.when(F.size(w) <= SPAN, F.array(w)).otherwise(F.transform(starts, lambda s: F.slice(w, s + 1, SPAN)))
 
-    return F.flatten(F.transform(F.filter(F.split(text, "\n"), has_word), lambda line: let(tokens(line), pieces)))
+    def of_run(lines: Column, k: Column) -> Column:
+        def marked(ws: Column, joined: bool) -> Column:
+            return F.transform(ws, lambda w: F.struct(k.alias("run"), F.lit(joined).alias("joined"), w.alias("w")))
+
+        own = F.flatten(F.transform(lines, lambda line: let(tokens(line), pieces)))
+        whole = F.when(F.size(lines) > 1, let(tokens(F.array_join(lines, "\n")), pieces)).otherwise(F.array().cast("array<array<string>>"))
+        return F.concat(marked(own, False), marked(whole, True))
+
+    runs = F.split(text, r"\n(?:[\x20\x09\x0B-\x0D]*\n)+")
+    return F.flatten(F.transform(runs, lambda run, k: let(F.filter(F.split(run, "\n"), has_word), lambda lines: of_run(lines, k))))
 
 
 def likeness(g: Column, family: Column | None = None) -> Column:
@@ -132,7 +146,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
     keyed = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("k"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     least = keyed.select("k").distinct().orderBy("k").limit(SAMPLE)
     chosen = keyed.join(F.broadcast(least), "k", "left_semi").groupBy("k").agg(F.min("text").alias("text"))
-    plain = chosen.select(F.explode(paragraphs(F.col("text"))).alias("w"))
+    plain = chosen.select(F.explode(paragraphs(F.col("text"))).alias("p")).select("p.w")
     negative = plain.filter(likeness(grams(F.col("w"), (3,))) < 0.5).select(F.lit(NONE).alias("label"), "w", (F.pmod(F.xxhash64("w"), F.lit(5)) == 0).alias("held_out"))
     return positive.union(negative)
 
@@ -184,11 +198,11 @@ def scan(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | N
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_doc"), row.alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     lines = held.select(
         "_doc", "_row", F.size(F.filter(F.split("_text", "\n"), has_word)).cast("bigint").alias("_n"),
-        F.explode_outer(let(paragraphs(F.col("_text")), lambda ps: F.filter(ps, lambda w: F.arrays_overlap(w, anchors)))).alias("w"),
-    )
-    narrow = lines.select("_row", "_doc", "_n", "w", F.when(F.col("w").isNotNull(), grams(F.col("w"))).otherwise(F.array().cast("array<string>")).alias("g"))
+        F.explode_outer(let(paragraphs(F.col("_text")), lambda ps: F.filter(ps, lambda p: F.arrays_overlap(p["w"], anchors)))).alias("_p"),
+    ).select("_doc", "_row", "_n", F.struct("_p.run", "_p.joined").alias("_at"), F.col("_p.w").alias("w"))
+    narrow = lines.select("_row", "_doc", "_n", "_at", "w", F.when(F.col("w").isNotNull(), grams(F.col("w"))).otherwise(F.array().cast("array<string>")).alias("g"))
     raw = vector_to_array("rawPrediction").alias("raw")
-    scored = model.logistic.transform(model.features.transform(narrow)).select("_row", "_doc", "_n", "w", "g", raw)
+    scored = model.logistic.transform(model.features.transform(narrow)).select("_row", "_doc", "_n", "_at", "w", "g", raw)
     p = scored.withColumn("p", F.when(F.col("w").isNotNull(), _softmax(F.col("raw"), F.lit(model.temperature))))
     top = p.withColumn("top", F.array_max("p")).withColumn("said", F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("p", F.col("top")).cast("int")))
     alike = top.withColumn("like", F.when(F.col("said").isin(NONE, UNKNOWN), 0.0).otherwise(likeness(grams(F.col("w"), (3,)), F.col("said"))))
@@ -196,14 +210,30 @@ def scan(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | N
     family = F.when(F.col("said") == NONE, None).when(~F.col("said").isin(UNKNOWN) & sure, F.col("said")).otherwise(F.when(F.col("said").isNotNull(), UNKNOWN))
     judged = alike.withColumn("family", F.when(F.col("w").isNotNull(), family))
     best = F.struct((F.col("family") != UNKNOWN).alias("known"), F.col("top"), F.col("family"), F.col("like"))
-    grouped = judged.groupBy("_row").agg(F.first("_doc").alias("_doc"), F.first("_n").alias("_n"), F.count("family").alias("k"), F.max(F.when(F.col("family").isNotNull(), best)).alias("b"))
+    hit = F.when(F.col("family").isNotNull(), F.struct("_at.run", "_at.joined", "family"))
+    grouped = judged.groupBy("_row").agg(F.first("_doc").alias("_doc"), F.first("_n").alias("_n"), F.collect_list(hit).alias("_hits"), F.max(F.when(F.col("family").isNotNull(), best)).alias("b"))
     made = F.struct(
-        F.col("_n").alias("n_paragraphs"), F.col("k").alias("n_licence"), F.col("b.family").alias("licence"), F.round("b.top", 6).alias("probability"), F.round("b.like", 6).alias("likeness"),
+        F.col("_n").alias("n_paragraphs"), _count(F.col("_hits")).alias("n_licence"), F.col("b.family").alias("licence"), F.round("b.top", 6).alias("probability"), F.round("b.like", 6).alias("likeness"),
         F.coalesce(F.col("b.known"), F.lit(False)).alias("confirmed"),
     )
     return grouped.select("_doc.*", made.alias(name))
 
 
+def _count(hits: Column) -> Column:
+    """Notices among the scored pieces of a document, each counted once."""
+    lines, wholes = F.filter(hits, lambda x: ~x["joined"]), F.array_distinct(F.filter(hits, lambda x: x["joined"]))
+
+    def of(ls: Column, ws: Column) -> Column:
+        covered = F.transform(F.filter(ws, lambda x: x["family"] != UNKNOWN), lambda x: x["run"])
+        known = F.transform(ls, lambda x: F.struct(x["run"], x["family"]))
+        scored = F.transform(ls, lambda x: x["run"])
+        own = F.filter(ls, lambda x: (x["family"] != UNKNOWN) | ~F.array_contains(covered, x["run"]))
+        more = F.filter(ws, lambda x: F.when(x["family"] == UNKNOWN, ~F.array_contains(scored, x["run"]) & ~F.array_contains(covered, x["run"])).otherwise(~F.array_contains(known, F.struct(x["run"], x["family"]))))
+        return (F.size(own) + F.size(more)).cast("bigint")
+
+    return F.when(F.size(hits) == 0, F.lit(0).cast("bigint")).otherwise(let(lines, lambda ls: let(wholes, lambda ws: of(ls, ws))))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: paragraphs, licence paragraphs, family, probability, likeness."""
     found = scan(docs.select("doc_id", "text"), fit(docs), carry=["doc_id"])
