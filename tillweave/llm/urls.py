@@ -3,9 +3,10 @@
 Edges run from a page's host to the hosts it links to (absolute links of its html, relative ones
 lead to the host itself) and between a host and its parent domain where both have pages, in both
 directions, since subdomains of a site vouch for each other. Trust is personalised PageRank from
-the hosts that allow rules cover; distrust is the same walk along reversed edges from the hosts
-most of whose pages block rules hit, because who links to a bad host is suspect. A host whose distrust
-exceeds its trust by `MARGIN` is blocked; the threshold is applied per host.
+the hosts that allow rules cover; distrust is the same walk along reversed edges from every host with
+a page that block rules hit, each by the blocked share of its pages, because who links to a bad host
+is suspect. Walks go on until no rank changes by `TOLERANCE` of an even share. A host whose distrust
+exceeds its trust by more than `MARGIN` (0: any excess) is blocked; the threshold is applied per host.
 
 Ranks are tables of one row per host, edges are aggregated to one row per pair of hosts, and each
 round aggregates before it joins, so a host with a third of all pages is one row here.
@@ -26,7 +27,8 @@ from tillweave.session import stash
 # The rules, as (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
-DAMPING, ROUNDS, KEEP_EVERY = 0.85, 12, 4
+DAMPING, KEEP_EVERY = 0.85, 4
+TOLERANCE = 1e-6  # of the rank of an even share, 1 / hosts
 MARGIN = 0.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,22 +80,31 @@ def edges_of(pages: DataFrame) -> DataFrame:
     return links.union(both).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tolerance: float = 0.0) -> DataFrame:
     """(host, rank): personalised PageRank; seeds (host, share) sum to 1, ranks start there.
 
-    What reaches a host without edges out ends there. The ranks are written every `KEEP_EVERY`
-    rounds, which cuts the lineage.
+    What reaches a host without edges out ends there. Without `rounds` the walk goes on until no
+    rank changes by more than `tolerance` in a round. The ranks are written every `KEEP_EVERY`
+    rounds, which cuts the lineage; only then is the change looked at.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = stash(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("part")))
     rank = seeds.select("host", F.col("share").alias("rank"))
     restart = seeds.select("host", (F.col("share") * (1 - DAMPING)).alias("rank"))
-    for k in range(rounds):
+    k = 0
+    while rounds is None or k < rounds:
+        k += 1
         moved = share.join(rank, share["src"] == rank["host"]).select(F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("part")).alias("rank"))
-        rank = moved.union(restart).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if (k + 1) % KEEP_EVERY == 0:
-            rank = stash(rank)
-    return rank
+        arrived = moved.union(restart)
+        if k % KEEP_EVERY:
+            rank = arrived.groupBy("host").agg(F.sum("rank").alias("rank"))
+            continue
+        beside_old = arrived.withColumn("old", F.lit(0.0)).union(rank.select("host", F.lit(0.0), "rank"))
+        kept = stash(beside_old.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
+        rank = kept.select("host", "rank")
+        if rounds is None and (kept.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) <= tolerance:
+            break
+    return rank.filter("rank > 0")
 
 
 def scores(pages: DataFrame) -> DataFrame:
@@ -104,17 +115,20 @@ def scores(pages: DataFrame) -> DataFrame:
         F.count_if(F.col("_listed") == "allow").alias("good"), F.count_if(F.col("_listed") == "block").alias("bad"), F.count("*").alias("pages"),
     ))
 
-    def even(chosen: DataFrame) -> DataFrame:
-        one = chosen.select(F.col("_host").alias("host"))
-        return stash(beside(one, one.agg(F.count("*").alias("_n"))).select("host", (1.0 / F.col("_n")).alias("share")))
+    nodes = stash(edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("_host")).distinct())
+    tolerance = TOLERANCE / max(1, nodes.count())
 
-    trust = pagerank(edges, even(seeds.filter("good > bad")))
-    distrust = pagerank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), even(seeds.filter("2 * bad > pages")))
+    def shares(chosen: DataFrame, weight: Column) -> DataFrame:
+        one = chosen.select(F.col("_host").alias("host"), weight.alias("_w"))
+        return stash(beside(one, one.agg(F.sum("_w").alias("_n"))).select("host", (F.col("_w") / F.col("_n")).alias("share")))
+
+    trust = pagerank(edges, shares(seeds.filter("good > bad"), F.lit(1.0)), tolerance=tolerance)
+    reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    distrust = pagerank(reverse, shares(seeds.filter("bad > 0"), F.col("bad") / F.col("pages")), tolerance=tolerance)
     ranks = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "rank"))
-    nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("_host")).distinct()
     ranks = nodes.join(ranks.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host", "left")
     scaled = beside(ranks, nodes.agg(F.count("*").alias("_n")))
-    return scaled.select("host", *[(F.coalesce(F.round(F.col(c), 12), F.lit(0.0)) * F.col("_n")).alias(c) for c in ("trust", "distrust")])
+    return scaled.select("host", *[F.coalesce(F.round(F.col(c) * F.col("_n"), 12), F.lit(0.0)).alias(c) for c in ("trust", "distrust")])
 
 
 def with_verdicts(pages: DataFrame) -> DataFrame:
