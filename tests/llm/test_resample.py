@@ -91,7 +91,7 @@ def test_empty_tables(make, spark):
 
 def test_drawn_documents(make, spark):
     rows = [(k, ("the harbour master of words " if k % 3 else "numbers and sums and proofs ") * 5, f"s{k % 4}") for k in range(200)]
-    target = spark.createDataFrame([(1, "numbers and proofs")], "item_id long, text string")
+    target = spark.createDataFrame([(1, "numbers and proofs " * 500)], "item_id long, text string")
     docs = make(rows)
     drawn = resample.resample(docs, target)
     want = {r.doc_id for r in resample.ranked(docs, target).filter("rank is not null").collect()}

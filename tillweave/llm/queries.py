@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillweave.llm import audit, chat, decontam, licences, mixing, neardup, pii, quality, repeats, resample, sharding, urls
+from tillweave.llm import ann, audit, chat, decontam, licences, mixing, neardup, pii, quality, repeats, resample, sharding, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,12 +57,16 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resample.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.report(_table(spark, folder, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op2_chat_formatting, op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op8_repeated_passages, op9_decontamination, op10_url_filters, op11_importance_resampling, op13_filter_audit)
+    f.__name__: f for f in (op1_licence_scan, op2_chat_formatting, op3_quality_rules, op4_pii, op5_near_duplicates, op6_mix_sources, op7_sharding, op8_repeated_passages, op9_decontamination, op10_url_filters, op11_importance_resampling, op12_nearest_neighbours, op13_filter_audit)
 }
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.REPORT_SQL, "op6_mix_sources": mixing.REPORT_SQL, "op8_repeated_passages": repeats.REPORT_SQL, "op9_decontamination": decontam.REPORT_SQL, "op11_importance_resampling": resample.REPORT_SQL, "op13_filter_audit": audit.REPORT_SQL,
