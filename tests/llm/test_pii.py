@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,6 +28,17 @@ def test_numbers_match_the_patterns(text):
     assert sorted(pii.base_spans(text)) == sorted(want)
 
 
+def test_long_runs_of_digits():
+    """Runs beyond the length that int() takes, in time that grows with the text."""
+    zeros = "0" * 5000
+    assert pii.base_spans(zeros + "1.2.3.4") == [(0, 5007, "ip")] and pii.base_spans("9" * 5000 + ".2.3.4") == []
+    assert pii.base_spans(f"{zeros}.{zeros}.1.255.7.0.0.0") == [(0, 10007, "ip"), (10008, 10015, "ip")]
+    start = time.perf_counter()
+    for text in ("7" * 1_000_000, "1.2.3 " * 200_000, "1.2." * 250_000, "+1" + " " * 1_000_000, "0" * 500_000 + "." + "0" * 500_000 + ".1.1"):
+        pii.spans(text)
+    assert time.perf_counter() - start < 10
+
+
 def test_checks():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")

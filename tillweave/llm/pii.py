@@ -30,7 +30,8 @@ REACH = 40  # characters before a span in which words count
 # The base patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Runs of digits with single dots between, taken as a whole and never given back; four make an ip.
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -78,12 +79,24 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, last
 
 
+def ips(text: str) -> Iterator[tuple[int, int]]:
+    """The ip pattern, leftmost and not overlapping: each four neighbours of a chain of digit runs."""
+    for m in DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x := p.lstrip("0")) <= 3 and int(x or "0") <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "@" in text:
         out += [(s, e, "email") for s, e in emails(text)]
     if text.count(".") >= 3:
-        out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(s, e, "ip") for s, e in ips(text)]
     if _MANY.search(text):
         out += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
