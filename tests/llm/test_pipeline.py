@@ -13,7 +13,7 @@ def test_stages_follow_each_other(spark, table, tmp_path):
         if name == "quality_rules":
             kept = sorted(r.doc_id for r in quality.report(before).filter("kept").collect())
         if name == "near_duplicates":
-            kept = sorted(r.doc_id for r in neardup.report(before).filter("kept").collect())
+            kept = sorted(r.doc_id for r in neardup.report(before, corpus_pipeline.NEAR_PERCENT).filter("kept").collect())
         if name == "decontamination":
             kept = sorted(r.doc_id for r in decontam.report(before, table("benchmark")).filter("NOT contaminated").collect())
         if name in ("quality_rules", "near_duplicates", "decontamination"):

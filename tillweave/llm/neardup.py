@@ -13,8 +13,8 @@ components by alternating large-star and small-star.
 
 Defined cases: texts without words have an empty set and link with nothing; a text of one to four
 words is one shingle; a NULL doc_id links with nothing, has a NULL component and is kept; rows of
-one doc_id with different texts are linked by their texts; of repeated equal rows `deduplicate`
-keeps one; an empty table gives no rows; other columns are kept.
+one doc_id with different texts are linked by their texts; `deduplicate` judges these texts apart,
+and keeps one of rows that repeat a doc_id and its text; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -295,9 +295,17 @@ def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, columns unchanged; documents with a NULL doc_id stay."""
-    gone = stash(with_components(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    stay = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    name = fresh(docs.columns, "_nth")
-    first = stay.filter(F.col("doc_id").isNotNull()).withColumn(name, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return first.filter(F.col(name) == 1).drop(name).unionByName(stay.filter(F.col("doc_id").isNull()))
+    """One row of each component, the one with the smallest doc_id, columns unchanged; rows with a
+    NULL doc_id stay.
+
+    Here a row is what its doc_id and text make it: two texts of one doc_id are judged by what each
+    links with, and of rows with equal doc_id and text one stays.
+    """
+    row, nth = fresh(docs.columns, "_row"), fresh(docs.columns, "_nth")
+    keyed = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    known = keyed.filter(F.col(row).isNotNull())
+    classes = with_components(known.select(F.col(row).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias(row), "component_id")
+    least = known.select(row, "doc_id").join(classes.distinct(), row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("least"))
+    stay = known.join(stash(least.select(F.col("least")[row].alias(row))), row, "left_semi")
+    first = stay.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1)))).filter(F.col(nth) == 1)
+    return first.drop(row, nth).unionByName(keyed.filter(F.col(row).isNull()).drop(row))
