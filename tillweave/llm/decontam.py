@@ -166,31 +166,37 @@ def _merged(old: dict, new: dict) -> dict:
     return {"n_words": new["n_words"], "n_hit": sum(x["end"] - x["start"] for x in hits), "hits": hits, "matches": [*old["matches"], *new["matches"]]}
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Block]:
-    """The items in blocks of about `block_bytes`; all rows of an item are in the same one."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(F.col("text").isNotNull())
+def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The items in blocks of about `block_bytes`, read one at a time. The rows of one item may be
+    dealt to several blocks, so an item_id that many rows share makes no block larger."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
-    out = []
     for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        out.append(Block([r[0] for r in rows], [r[1] for r in rows], window))
-    return out or [Block([], [], window)]
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        yield Block([r[0] for r in rows], [r[1] for r in rows], window)
+    if not n:
+        yield Block([], [], window)
 
 
 def with_findings(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, name: str = "_found", block_bytes: int = BLOCK_BYTES, only_clean: bool = False) -> DataFrame:
-    """`docs` with a struct `name` of word counts, hit spans (in words) and longest verbatim matches.
+    """`docs` with a struct of word counts, hit spans (in words) and longest verbatim matches; a
+    taken `name` gets an underscore.
 
     With `only_clean`, documents with a hit are left out. Blocks beyond the first read the result
-    of the one before from the shared folder, so one block is in memory at a time.
+    of the one before from the shared folder, and a block is given up once its pass is written, so
+    one block is in memory at a time.
     """
-    blocks = benchmark_blocks(benchmark, window, block_bytes)
-    spark, out = docs.sparkSession, docs
-    for k, block in enumerate(blocks):
-        schema = T.StructType([*docs.schema.fields, T.StructField(name, FOUND)])
-        arrow, shared, again = to_arrow_schema(schema), spark.sparkContext.broadcast(block.__dict__), k > 0
+    spark, out, name = docs.sparkSession, docs, fresh(docs.columns, name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, FOUND)])
+    arrow, shared = to_arrow_schema(schema), None
+    for k, block in enumerate(benchmark_blocks(benchmark, window, block_bytes)):
+        if shared is not None:
+            out = stash(out)
+            shared.destroy()
+        shared, again = spark.sparkContext.broadcast(block.__dict__), k > 0
 
-        def run(batches: Iterator[pa.RecordBatch], arrow=arrow, shared=shared, again=again) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, again=again) -> Iterator[pa.RecordBatch]:
             block = Block.of(shared.value)
             for batch in pieces(batches, text, SHARD_BYTES):
                 found = _scan(batch, text, block)
@@ -201,8 +207,6 @@ def with_findings(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, arrow.field(len(arrow) - 1).type)], schema=arrow).filter(keep)
 
         out = out.mapInArrow(run, schema)
-        if k + 1 < len(blocks):
-            out = stash(out)
     return out
 
 
