@@ -23,7 +23,8 @@ def test_a_long_chain(spark):
     n = 25
     rows = [(0, "http://h0.net/es/", "")] + [(k, f"http://h{k}.org/", LINK(f"h{k - 1}." + ("net" if k == 1 else "org"))) for k in range(1, n)]
     got = report(spark, rows)
-    assert all(r.verdict == "block" for r in got.values())
+    # what is left of a whole seed after k hops
+    assert {k: r.verdict for k, r in got.items()} == {k: "block" if 0.85**k > urls.MARGIN else "allow" for k in range(n)}
     # a host hands all it has to the one that links to it; the restart feeds the first host alone
     want = {k: 0.15 * 0.85**k * n for k in range(n)}
     assert {k: r.distrust for k, r in got.items()} == pytest.approx(want, rel=1e-3)
@@ -34,3 +35,17 @@ def test_small_ranks_are_not_cut(spark, monkeypatch):
     monkeypatch.setattr(urls, "pagerank", lambda edges, seeds, *a, **k: seeds.selectExpr("host", "share * 1e-11 AS rank"))
     got = report(spark, [(k, f"http://h{k}.net/es/", "") for k in range(50)])
     assert all(r.distrust == pytest.approx(1e-11, rel=0.1, abs=0) for r in got.values())
+
+
+def test_one_blocked_page_in_fifty(spark):
+    """The host stays allowed and so does who links to it; with ten of fifty both go."""
+    for bad, verdict in ((1, "allow"), (10, "block")):
+        rows = [(k, f"http://shop.net/{'fr' if k < bad else 'en'}/{k}", "") for k in range(50)] + [(100, "http://fan.org/", LINK("shop.net")), (101, "http://worst.net/es/", "")]
+        got = report(spark, rows)
+        assert all(got[k].verdict == ("block" if k < bad else verdict) for k in range(50)) and got[100].verdict == verdict
+
+
+def test_taken_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/", "", "x")], "page_id long, url string, html string, _url string")
+    out = urls.with_verdicts(pages)
+    assert out.columns == [*pages.columns, "_url_"] and out.first()["_url_"].host == "a.org"

@@ -5,8 +5,12 @@ lead to the host itself) and between a host and its parent domain where both hav
 directions, since subdomains of a site vouch for each other. Trust is personalised PageRank from
 the hosts that allow rules cover; distrust is the same walk along reversed edges from every host with
 a page that block rules hit, each by the blocked share of its pages, because who links to a bad host
-is suspect. Walks go on until no rank changes by `TOLERANCE` of an even share. A host whose distrust
-exceeds its trust by more than `MARGIN` (0: any excess) is blocked; the threshold is applied per host.
+is suspect. Walks go on until no rank changes by `TOLERANCE` of an even share.
+
+The threshold is applied per host, to ranks in units of what a wholly blocked (or trusted) host gets
+as a seed: a host is blocked where its distrust exceeds its trust by more than `MARGIN` of that. So
+a host with one blocked page in fifty stays, as does who links to it; a host with a fifth of its
+pages blocked goes, and so does one whose links lead to a wholly blocked host alone.
 
 Ranks are tables of one row per host, edges are aggregated to one row per pair of hosts, and each
 round aggregates before it joins, so a host with a third of all pages is one row here.
@@ -21,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillweave.llm.words import fresh
 from tillweave.operators.scalars import beside
 from tillweave.session import stash
 
@@ -29,7 +34,7 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 
 DAMPING, KEEP_EVERY = 0.85, 4
 TOLERANCE = 1e-6  # of the rank of an even share, 1 / hosts
-MARGIN = 0.0
+MARGIN = 0.1  # of a wholly blocked host's own share
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -108,8 +113,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tole
 
 
 def scores(pages: DataFrame) -> DataFrame:
-    """(host, trust, distrust) of every host with pages or links; ranks times the number of hosts,
-    so that 1 is an even share whatever the size of the graph."""
+    """(host, trust, distrust, excess) of every host with pages or links; ranks times the number of
+    hosts, so that 1 is an even share whatever the size of the graph. `excess` is distrust less
+    trust in units of what one whole seed gets of the restart."""
     edges = stash(edges_of(pages))
     seeds = stash(pages.filter("_host <> ''").groupBy("_host").agg(
         F.count_if(F.col("_listed") == "allow").alias("good"), F.count_if(F.col("_listed") == "block").alias("bad"), F.count("*").alias("pages"),
@@ -117,6 +123,8 @@ def scores(pages: DataFrame) -> DataFrame:
 
     nodes = stash(edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("_host")).distinct())
     tolerance = TOLERANCE / max(1, nodes.count())
+    blocked = F.col("bad") / F.col("pages")
+    whole = seeds.agg(F.sum(F.when(F.col("good") > F.col("bad"), 1.0)).alias("_good"), F.sum(F.when(F.col("bad") > 0, blocked)).alias("_bad"))
 
     def shares(chosen: DataFrame, weight: Column) -> DataFrame:
         one = chosen.select(F.col("_host").alias("host"), weight.alias("_w"))
@@ -124,24 +132,28 @@ def scores(pages: DataFrame) -> DataFrame:
 
     trust = pagerank(edges, shares(seeds.filter("good > bad"), F.lit(1.0)), tolerance=tolerance)
     reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = pagerank(reverse, shares(seeds.filter("bad > 0"), F.col("bad") / F.col("pages")), tolerance=tolerance)
+    distrust = pagerank(reverse, shares(seeds.filter("bad > 0"), blocked), tolerance=tolerance)
     ranks = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "rank"))
     ranks = nodes.join(ranks.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host", "left")
-    scaled = beside(ranks, nodes.agg(F.count("*").alias("_n")))
-    return scaled.select("host", *[F.coalesce(F.round(F.col(c) * F.col("_n"), 12), F.lit(0.0)).alias(c) for c in ("trust", "distrust")])
+    scaled = beside(beside(ranks, nodes.agg(F.count("*").alias("_n"))), whole)
+    of_seed = lambda c, n: F.coalesce(F.col(c) * F.col(n) / (1 - DAMPING), F.lit(0.0))
+    excess = F.round(of_seed("distrust", "_bad") - of_seed("trust", "_good"), 9).alias("excess")
+    return scaled.select("host", *[F.coalesce(F.round(F.col(c) * F.col("_n"), 12), F.lit(0.0)).alias(c) for c in ("trust", "distrust")], excess)
 
 
 def with_verdicts(pages: DataFrame) -> DataFrame:
-    """Pages with host, path, rule, verdict, trust and distrust in a struct `_url`."""
+    """Pages with host, path, rule, verdict, trust and distrust in a struct `_url`; a taken name gets
+    an underscore."""
+    name = fresh(pages.columns, "_url")
     listed = judged(pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_page"), "url", "html"))
     known = stash(scores(listed))  # one row per host, of a size the planner knows
     made = listed.join(known.withColumnRenamed("host", "_host"), "_host", "left")
-    method = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > MARGIN, "block").otherwise("allow")
+    method = F.when(F.coalesce("excess", F.lit(0.0)) > MARGIN, "block").otherwise("allow")
     found = F.struct(
         F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.coalesce("_listed", method).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
-    return made.select("_page.*", found.alias("_url"))
+    return made.select("_page.*", found.alias(name))
 
 
 def report(pages: DataFrame) -> DataFrame:
