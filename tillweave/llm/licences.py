@@ -1,16 +1,18 @@
 """Licence scan: a trained classifier of paragraphs, in DataFrame and MLlib operations only.
 
-1. Training rows: the templates below with words dropped at random (by hash), texts that sound like
-   licences of no known family, and paragraphs of a bounded sample of documents (`SAMPLE` of them,
+1. Training rows: the templates and titles below with words dropped at random (by hash), texts that
+   sound like licences of no known family, ordinary sentences with words of licences, and paragraphs of a bounded sample of documents (`SAMPLE` of them,
    least digest first) as the class `none`, unless they repeat a template.
 2. Features: word bigrams and trigrams of the licence rows, without those that ordinary paragraphs
    of the sample share. The model is a sparse multinomial logistic regression.
 3. A fifth of the rows is held out. On it a temperature is chosen by log loss, and the confidence
    below which a paragraph counts as `unknown` by the precision above it.
-4. Every paragraph (line with a word) of every document is looked at, and every run of lines
-   without a blank one between them as a whole, since notices are often wrapped. What holds no word
-   of any feature cannot score and stays `none`; the rest is scored in pieces of `SPAN` words.
-5. A predicted family is confirmed where a template of it shares enough word trigrams with the
+4. A document can only score if it holds a feature. Its words are read once for that: either a word
+   that is rare in ordinary text and part of a feature, or a whole feature of common words.
+5. Of the others every paragraph (line with a word) is looked at, and every run of lines without a
+   blank one between them as a whole, since notices are often wrapped. A piece without any feature
+   stays `none`; the rest is scored in pieces of `SPAN` words.
+6. A predicted family is confirmed where a template of it shares enough word trigrams with the
    piece; unconfirmed or unsure predictions are `unknown`.
 
 A notice found in a run of lines counts once, and its lines that no family is confirmed for do not
@@ -38,6 +40,7 @@ SAMPLE, SAMPLE_CHARS = 400, 4000  # documents, and characters of each, that trai
 VOCABULARY = 4096  # features at most
 VARIANTS = 25  # training rows per template
 SPAN, STEP = 96, 48  # words of a scored piece, and between the starts of two
+RARE = 200  # an anchor is in one of so many ordinary paragraphs at most
 PRECISION = 0.99
 CONFIRMED = 0.6  # share of a template's trigrams
 NONE, UNKNOWN = "none", "unknown"
@@ -69,6 +72,22 @@ TEMPLATES = [
     ("reserved", "All rights reserved."),
     ("reserved", "Copyright by the authors. All rights reserved. No part of this text may be reproduced without permission."),
 ]
+# Titles and tags by which licences are named.
+TITLES = [
+    ("AGPL", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3"), ("AGPL", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD", "BSD 3-Clause License"), ("BSD", "BSD 2-Clause License"), ("BSD", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("CC0", "CC0 1.0 Universal"), ("EPL", "Eclipse Public License v 2.0"), ("GPL", "GNU GENERAL PUBLIC LICENSE Version 3"), ("GPL", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("ISC", "The ISC License (ISC)"), ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1"), ("LGPL", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("MIT", "The MIT License (MIT)"), ("MIT", "SPDX-License-Identifier: MIT"), ("MPL-2.0", "Mozilla Public License Version 2.0"), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+]
+# Ordinary sentences with words of licences.
+ORDINARY = [
+    "We discussed the license of the fishing boat with the harbour master.", "Drivers need a valid license to use the public roads.", "The work was made available to the general public without charge.",
+    "You may copy the file to any folder of your own.", "The software is subject to the rules of the school.", "They were granted permission to use the library after hours.",
+    "The terms of the agreement were published by the foundation in May.", "Copies of the text may be obtained from the source.", "Members can see the conditions under which the product was released.",
+    "The program was distributed to all members of the society without restriction.", "He lost his license in the city and can not work as a driver.", "Part of the form was reproduced in the national statistics.",
+]
 # Texts in the manner of licences, of no family above.
 OTHERS = [
     "Licensed under the Orchard Community License, version 1.", "Released under the Riverside Data License.", "Use of this product is governed by the end user license agreement.",
@@ -85,7 +104,8 @@ class Model(NamedTuple):
     logistic: LogisticRegressionModel
     temperature: float
     confidence: float
-    anchors: list[str]  # every feature holds one of these words
+    anchors: list[str]  # words that are rare in ordinary text; every feature holds one,
+    common: list[str]  # or is one of these
     accuracy: float  # on the held-out rows
 
 
@@ -122,12 +142,14 @@ def paragraphs(text: Column) -> Column:
 
 def likeness(g: Column, family: Column | None = None) -> Column:
     """Largest share of the trigrams of a template (of the family) that `g` holds."""
-    def share(t: Column) -> Column:
-        own = F.size(F.array_intersect(g, t["grams"])) / F.size(t["grams"])
-        return own if family is None else F.when(t["family"] == family, own).otherwise(0.0)
+    known = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, _trigrams(t))).alias("grams")) for f, t in [*TEMPLATES, *TITLES]])
+    if family is not None:
+        known = F.filter(known, lambda t: t["family"] == family)
 
-    known = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, _trigrams(t))).alias("grams")) for f, t in TEMPLATES])
-    return F.array_max(F.transform(known, share))
+    def shares(own: Column) -> Column:  # `own` is computed once, not once per template
+        return F.array_max(F.transform(known, lambda t: F.size(F.array_intersect(own, t["grams"])) / F.size(t["grams"])))
+
+    return F.coalesce(let(g, shares), F.lit(0.0))
 
 
 def _trigrams(text: str) -> list[str]:
@@ -138,7 +160,7 @@ def _trigrams(text: str) -> list[str]:
 def training_rows(docs: DataFrame) -> DataFrame:
     """(label, words, held_out), a bounded number of rows."""
     spark = docs.sparkSession
-    fixed = spark.createDataFrame([*TEMPLATES, *[(UNKNOWN, t) for t in OTHERS]], "label string, text string")
+    fixed = spark.createDataFrame([*TEMPLATES, *TITLES, *[(UNKNOWN, t) for t in OTHERS], *[(NONE, t) for t in ORDINARY]], "label string, text string")
     variants = fixed.select("label", tokens(F.col("text")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("v"))
     dropped = F.filter("w", lambda x, i: (F.col("v") == 0) | (F.pmod(F.xxhash64(x, i, F.col("v")), F.lit(12)) > 0))
     positive = variants.select("label", dropped.alias("w"), (F.pmod(F.xxhash64("w", "v"), F.lit(5)) == 0).alias("held_out"))
@@ -159,7 +181,10 @@ def fit(docs: DataFrame) -> Model:
     best = counted.filter("p >= 5 AND n * 50 < p").orderBy(F.desc("p"), "gram").limit(VOCABULARY)
     vocabulary = [r[0] for r in best.collect()]
     common = {r[0]: r[1] for r in rows.filter((F.col("label") == NONE)).select(F.explode(F.array_distinct("w")).alias("x")).filter(F.col("x").isin(sorted({x for g in vocabulary for x in g.split()}))).groupBy("x").count().collect()}
-    anchors = sorted({min(g.split(), key=lambda x: (common.get(x, 0), x)) for g in vocabulary})
+    plain = max(1, rows.filter(F.col("label") == NONE).count())
+    rarest = {g: min(g.split(), key=lambda x: (common.get(x, 0), x)) for g in vocabulary}
+    anchors = sorted({x for x in rarest.values() if common.get(x, 0) * RARE <= plain})
+    usual = sorted(g for g, x in rarest.items() if x not in anchors)
     classes = [NONE, *sorted({f for f, _ in TEMPLATES}), UNKNOWN]
     features = CountVectorizerModel.from_vocabulary(vocabulary, "g", "features", binary=True)
     at = F.array_position(F.array(*map(F.lit, classes)), F.col("label")).cast("double") - 1
@@ -174,7 +199,7 @@ def fit(docs: DataFrame) -> Model:
     levels = named.withColumn("level", F.explode(F.array(*[F.lit(x / 20) for x in range(8, 20)]))).filter("top >= level")
     good = levels.groupBy("level").agg(F.avg((F.col("said") == F.col("label")).cast("double")).alias("right")).filter(F.col("right") >= PRECISION).orderBy("level").first()
     right = sure.agg(F.avg((F.col("said") == F.col("label")).cast("double"))).first()[0]
-    return Model(features, classes, weights, temperature, float(good["level"]) if good else 0.95, anchors, float(right or 0.0))
+    return Model(features, classes, weights, temperature, float(good["level"]) if good else 0.95, anchors, usual, float(right or 0.0))
 
 
 def _softmax(raw: Column, temperature: Column) -> Column:
@@ -194,13 +219,11 @@ def scan(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | N
     carry = docs.columns if carry is None else carry
     name = fresh(docs.columns, "_licence")
     row = F.monotonically_increasing_id()
-    anchors = F.array(*map(F.lit, model.anchors)) if model.anchors else F.array().cast("array<string>")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_doc"), row.alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    lines = held.select(
-        "_doc", "_row", F.size(F.filter(F.split("_text", "\n"), has_word)).cast("bigint").alias("_n"),
-        F.explode_outer(let(paragraphs(F.col("_text")), lambda ps: F.filter(ps, lambda p: F.arrays_overlap(p["w"], anchors)))).alias("_p"),
-    ).select("_doc", "_row", "_n", F.struct("_p.run", "_p.joined").alias("_at"), F.col("_p.w").alias("w"))
-    narrow = lines.select("_row", "_doc", "_n", "_at", "w", F.when(F.col("w").isNotNull(), grams(F.col("w"))).otherwise(F.array().cast("array<string>")).alias("g"))
+    nothing = F.array().cast("array<struct<run:int,joined:boolean,w:array<string>>>")
+    found = F.when(_may_hold(F.col("_text"), model), let(paragraphs(F.col("_text")), lambda ps: F.filter(ps, lambda p: _holds(p["w"], model)))).otherwise(nothing)
+    lines = held.select("_doc", "_row", F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("bigint").alias("_n"), F.explode_outer(found).alias("_p"))
+    narrow = lines.select("_row", "_doc", "_n", F.struct("_p.run", "_p.joined").alias("_at"), F.col("_p.w").alias("w"), F.when(F.col("_p.w").isNotNull(), grams(F.col("_p.w"))).otherwise(F.array().cast("array<string>")).alias("g"))
     raw = vector_to_array("rawPrediction").alias("raw")
     scored = model.logistic.transform(model.features.transform(narrow)).select("_row", "_doc", "_n", "_at", "w", "g", raw)
     p = scored.withColumn("p", F.when(F.col("w").isNotNull(), _softmax(F.col("raw"), F.lit(model.temperature))))
@@ -210,28 +233,44 @@ def scan(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | N
     family = F.when(F.col("said") == NONE, None).when(~F.col("said").isin(UNKNOWN) & sure, F.col("said")).otherwise(F.when(F.col("said").isNotNull(), UNKNOWN))
     judged = alike.withColumn("family", F.when(F.col("w").isNotNull(), family))
     best = F.struct((F.col("family") != UNKNOWN).alias("known"), F.col("top"), F.col("family"), F.col("like"))
-    hit = F.when(F.col("family").isNotNull(), F.struct("_at.run", "_at.joined", "family"))
-    grouped = judged.groupBy("_row").agg(F.first("_doc").alias("_doc"), F.first("_n").alias("_n"), F.collect_list(hit).alias("_hits"), F.max(F.when(F.col("family").isNotNull(), best)).alias("b"))
+    # per run of lines first: sets of families, so a text of very many notices is no long list
+    whole, known = F.col("_at.joined"), F.col("family") != UNKNOWN
+    per_run = judged.groupBy("_row", "_at.run").agg(
+        F.first("_doc").alias("_doc"), F.first("_n").alias("_n"), F.max(F.when(F.col("family").isNotNull(), best)).alias("b"),
+        F.collect_set(F.when(~whole & known, F.col("family"))).alias("own"), F.count_if(~whole & known).alias("n_own"), F.count_if(~whole & ~known).alias("n_unsure"),
+        F.collect_set(F.when(whole & known, F.col("family"))).alias("wrapped"), F.max(whole & ~known).alias("unsure"),
+    )
+    covered, scored_lines = F.size("wrapped") > 0, F.col("n_own") + F.col("n_unsure") > 0
+    notices = (
+        F.col("n_own") + F.when(covered, 0).otherwise(F.col("n_unsure")) + F.size(F.array_except("wrapped", "own"))
+        + F.when(F.coalesce("unsure", F.lit(False)) & ~scored_lines & ~covered, 1).otherwise(0)
+    )
+    grouped = per_run.groupBy("_row").agg(F.first("_doc").alias("_doc"), F.first("_n").alias("_n"), F.sum(notices).cast("bigint").alias("_hits"), F.max("b").alias("b"))
     made = F.struct(
-        F.col("_n").alias("n_paragraphs"), _count(F.col("_hits")).alias("n_licence"), F.col("b.family").alias("licence"), F.round("b.top", 6).alias("probability"), F.round("b.like", 6).alias("likeness"),
+        F.col("_n").alias("n_paragraphs"), F.col("_hits").alias("n_licence"), F.col("b.family").alias("licence"), F.round("b.top", 6).alias("probability"), F.round("b.like", 6).alias("likeness"),
         F.coalesce(F.col("b.known"), F.lit(False)).alias("confirmed"),
     )
     return grouped.select("_doc.*", made.alias(name))
 
 
-def _count(hits: Column) -> Column:
-    """Notices among the scored pieces of a document, each counted once."""
-    lines, wholes = F.filter(hits, lambda x: ~x["joined"]), F.array_distinct(F.filter(hits, lambda x: x["joined"]))
+def _may_hold(text: Column, model: Model) -> Column:
+    """Whether a text holds an anchor or a feature of common words; never false where it holds a feature.
+    Latin letters and digits are split off here, which is quicker and finds no fewer words."""
+    return let(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: _has(w, model))
+
+
+def _has(w: Column, model: Model) -> Column:
+    found = F.arrays_overlap(w, F.array(*map(F.lit, model.anchors))) if model.anchors else F.lit(False)
+    if not model.common:
+        return found
+    joined = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    return found | let(joined, lambda t: F.exists(F.array(*[F.lit(f" {g} ") for g in model.common]), lambda g: F.contains(t, g)))
 
-    def of(ls: Column, ws: Column) -> Column:
-        covered = F.transform(F.filter(ws, lambda x: x["family"] != UNKNOWN), lambda x: x["run"])
-        known = F.transform(ls, lambda x: F.struct(x["run"], x["family"]))
-        scored = F.transform(ls, lambda x: x["run"])
-        own = F.filter(ls, lambda x: (x["family"] != UNKNOWN) | ~F.array_contains(covered, x["run"]))
-        more = F.filter(ws, lambda x: F.when(x["family"] == UNKNOWN, ~F.array_contains(scored, x["run"]) & ~F.array_contains(covered, x["run"])).otherwise(~F.array_contains(known, F.struct(x["run"], x["family"]))))
-        return (F.size(own) + F.size(more)).cast("bigint")
 
-    return F.when(F.size(hits) == 0, F.lit(0).cast("bigint")).otherwise(let(lines, lambda ls: let(wholes, lambda ws: of(ls, ws))))
+def _holds(w: Column, model: Model) -> Column:
+    """Whether a piece holds a feature: quickly if it can, then exactly."""
+    vocabulary = F.array(*map(F.lit, model.features.vocabulary)) if model.features.vocabulary else F.array().cast("array<string>")
+    return _has(w, model) & F.arrays_overlap(grams(w), vocabulary)
 
 
 def report(docs: DataFrame) -> DataFrame:
