@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillweave.session import stash
+from tillweave.sources.extracts import publish, published
 from tillweave.streaming import changes as ch
 from tillweave.streaming import handlers as h
 from tillweave.streaming import refresh as rf
@@ -22,20 +23,42 @@ def feed(spark, path, rows, files):
     return ch.read_changes(spark, path, ch.change_schema(df), 1)
 
 
-@pytest.mark.parametrize("files", [1, 3])
+EMPTY = "g string, n bigint, v bigint, v_cnt bigint"
+
+
+def kept(spark, tmp_path, start, rows, files):
+    start.write.parquet(str(tmp_path / "mv"))
+    store = rf.KeptSums(spark, SPEC, start.schema, str(tmp_path / "cp"))
+    deltas = rf.image_deltas(feed(spark, str(tmp_path / "in"), rows, files), SPEC, {"v": F.col("v")})
+    return store, store.run(spark.readStream.schema(start.schema).parquet(str(tmp_path / "mv")), deltas, f"q{uuid.uuid4().hex[:6]}")
+
+
+@pytest.mark.parametrize("files", [1, 3, 7])
 def test_fast_refresh_equals_recompute(spark, tmp_path, files):
     rows = [(i, "abc"[i % 3], None if i % 5 == 0 else i) for i in range(60)]
-    empty = spark.createDataFrame([], "g string, n bigint, v bigint, v_cnt bigint")
-    store = ch.SumLog(spark, str(tmp_path / "mv"), empty)
-    stream = feed(spark, str(tmp_path / "in"), rows, files)
-    to_delta = lambda b: rf.deltas(rf.signed(b).select("row.*", "sign"), SPEC, {"v": F.col("v")})
-    ch.run_stream(stream, rf.refresh_handler(store, to_delta, SPEC), f"q{uuid.uuid4().hex[:6]}", str(tmp_path / "cp"))
-    want = {}
+    store, _ = kept(spark, tmp_path, spark.createDataFrame([("b", 2, 7, 1), ("z", 1, None, 0)], EMPTY), rows, files)
+    want = {"b": (2, 7, 1), "z": (1, None, 0)}
     for i, g, v in rows:
         if i % 3:
             n, s, c = want.get(g, (0, None, 0))
             want[g] = (n + 1, (s or 0) + v if v is not None else s, c + (v is not None))
-    assert {r["g"]: (r["n"], r["v"], r["v_cnt"]) for r in rf.stored(store, SPEC).collect()} == want
+    assert {r["g"]: (r["n"], r["v"], r["v_cnt"]) for r in store.read().collect()} == want
+
+
+def test_a_batch_does_not_read_earlier_ones(spark, tmp_path):
+    """Rows read and groups touched stay the same from batch to batch while the state grows."""
+    images = "struct<id:int,g:string,v:int>"
+    for k in range(8):
+        df = spark.createDataFrame([(i, f"g{k}", 1) for i in range(10)], "id int, g string, v int")
+        df.select(F.lit("I").alias("op"), F.lit(k).cast("bigint").alias("seq"), F.lit(None).cast(images).alias("old"), F.struct("id", "g", "v").alias("new")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start = spark.createDataFrame([], EMPTY)
+    start.write.parquet(str(tmp_path / "mv"))
+    store = rf.KeptSums(spark, SPEC, start.schema, str(tmp_path / "cp"))
+    stream = ch.read_changes(spark, str(tmp_path / "in"), ch.change_schema(df), 1)
+    query = store.run(spark.readStream.schema(start.schema).parquet(str(tmp_path / "mv")), rf.image_deltas(stream, SPEC, {"v": F.col("v")}), "reads")
+    seen = [(p.numInputRows, p.stateOperators[0].numRowsUpdated) for p in query.recentProgress if p.numInputRows]
+    assert len(seen) == 8 and all(x == seen[0] for x in seen)
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal == 8 and store.read().count() == 8
 
 
 def test_diff_round_trip(spark):
@@ -45,13 +68,28 @@ def test_diff_round_trip(spark):
     assert got == [("D", 3), ("I", 4), ("U", 2)]
 
 
-def test_refresh_modes_fall_back():
-    fail = lambda: (_ for _ in ()).throw(RuntimeError("no log"))
-    assert rf.refresh("?", fail, lambda: "full") == ("full", "COMPLETE") and rf.refresh("F", lambda: "fast", None) == ("fast", "FAST")
-    with pytest.raises(RuntimeError):
-        rf.refresh("F", fail, lambda: "full")
+def test_refresh_modes_fall_back(spark, tmp_path):
+    path = str(tmp_path / "mv")
+    old, new = spark.range(10).withColumnRenamed("id", "k"), spark.range(100, 400).withColumnRenamed("id", "k")
+    read = lambda: sorted(r["k"] for r in published(spark, path).collect())
+    # fails on an executor after other rows were written
+    broken = lambda: new.repartition(6).select(F.when(F.col("k") == 399, F.raise_error(F.lit("lost"))).otherwise(F.col("k")).cast("bigint").alias("k"))
+    publish(old, path)
+    with pytest.raises(Exception, match="lost"):
+        rf.refresh("F", path, lambda: new, broken)
+    assert read() == list(range(10))  # the attempt left the copy alone
+    assert rf.refresh("?", path, lambda: new, broken) == "COMPLETE" and read() == list(range(100, 400))
+    assert rf.refresh("F", path, lambda: old, lambda: published(spark, path).filter("k < 103")) == "FAST" and read() == [100, 101, 102]
+    assert rf.refresh("?", path, lambda: old, lambda: new, lambda: False) == "COMPLETE" and read() == list(range(10))
+    assert rf.refresh("C", path, lambda: old.limit(0), lambda: new) == "COMPLETE" and read() == []
     with pytest.raises(ValueError):
-        rf.refresh("F", None, lambda: "full")
+        rf.refresh("F", path, lambda: new)
+
+
+def test_log_reaches_back(spark):
+    log = lambda seqs: spark.createDataFrame([(k,) for k in seqs], "seq long")
+    assert rf.covers(log([3, 4, 5]), 2) and rf.covers(log([1, 2]), 2) and rf.covers(log([]), 0)
+    assert not rf.covers(log([4, 5]), 2) and not rf.covers(log([3, 5]), 2)
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):

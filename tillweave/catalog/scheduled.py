@@ -12,7 +12,7 @@ from tillweave.operators.scalars import beside
 from tillweave.plans import batch as b
 from tillweave.session import shared_dir
 from tillweave.sources.binding import AS_OF
-from tillweave.sources.extracts import job_run, sales_extract, write_extract
+from tillweave.sources.extracts import job_run, published, sales_extract, write_extract
 
 c = F.col
 
@@ -42,7 +42,7 @@ def refreshed(t):
     """Published aggregates with their row counts."""
     out = fresh(t, "reporting")
     done = b.refresh_reporting(t, AS_OF, out)
-    frames = [b.current(t.spark, f"{out}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name in done]
+    frames = [published(t.spark, done[name]).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name in done]
     first = frames[0]
     for f in frames[1:]:
         first = first.unionByName(f)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tillweave.catalog.registry import d, day, i, month, query
 from tillweave.catalog.views import NOW
+from tillweave.operators.positions import assign_ids
 from tillweave.plans import mviews
-from tillweave.session import shared_dir
+from tillweave.session import shared_dir, stash
 from tillweave.sources.binding import AS_OF
-from tillweave.sources.extracts import write_dynamic
+from tillweave.sources.extracts import publish, published, write_dynamic
 from tillweave.streaming import changes as ch
 from tillweave.streaming import handlers as h
 from tillweave.streaming import refresh as rf
@@ -69,26 +71,37 @@ FROM rt_sales_order WHERE NOT (order_id % 11 = 0 AND order_id % 13 = 0) AND (ord
 # ---- incremental aggregates --------------------------------------------------------------------------------
 
 LINE = ["order_id", "line_no", "variant_id", "qty", "unit_price", "discount_amount", "tax_amount"]
+HEAD = ["store_id", "order_ts", "currency_code", "channel_code", "category_id", "category_code"]
 
 
 def line_changes(t):
-    """The lines of odd orders are stored; a stream then adds the even ones and deletes every fifth."""
-    lines = t.sales_order_line.select(*LINE)
-    stored = lines.filter("order_id % 2 = 1")
-    typed = as_inserts(lines)
-    gone = stored.filter("order_id % 5 = 0").select(F.lit("D").alias("op"), F.struct(*LINE).alias("old"), F.lit(None).cast(typed.schema["new"].dataType).alias("new"))
-    moved = stored.filter("order_id % 5 = 1").select(F.lit("U").alias("op"), F.struct(*LINE).alias("old"), F.struct(
-        "order_id", "line_no", "variant_id", (c("qty") + 1).cast("decimal(12,3)").alias("qty"), "unit_price", "discount_amount", "tax_amount").alias("new"))
-    return stored, as_inserts(lines.filter("order_id % 2 = 0")).unionByName(gone).unionByName(moved), lines
+    """The lines of odd orders are stored; a stream then adds the even ones, deletes every fifth and
+    changes others. The images carry what the aggregates group by, as the capture wrote it."""
+    categories = (t.product_variant.select("variant_id", "product_id").join(t.product.select("product_id", "category_id"), "product_id")
+                  .join(t.product_category.select("category_id", "category_code"), "category_id").drop("product_id"))
+    lines = t.sales_order_line.select(*LINE).join(t.sales_order.select("order_id", *HEAD[:4]), "order_id").join(categories, "variant_id").select(*LINE, *HEAD)
+    stored = t.sales_order_line.filter("order_id % 2 = 1")
+    insert, gone, moved = c("order_id") % 2 == 0, c("order_id") % 5 == 0, c("order_id") % 5 == 1
+    row, nothing = F.struct(*LINE, *HEAD), F.lit(None)
+    more = F.struct(*[(c(n) + 1).cast("decimal(12,3)").alias(n) if n == "qty" else c(n) for n in (*LINE, *HEAD)])
+    changes = lines.select(
+        F.when(insert, "I").when(gone, "D").when(moved, "U").alias("op"), F.when(~insert, row).otherwise(nothing).alias("old"),
+        F.when(insert, row).when(moved, more).alias("new")).filter("op IS NOT NULL")
+    return t.replace(sales_order_line=stored), changes, lines
+
+
+def kept(t, start, spec, deltas, name: str):
+    """A stored first copy and a stream of deltas, summed in the state of a streaming query."""
+    path = fresh(t, f"mv_{name}")
+    start.write.parquet(path)
+    store = rf.KeptSums(t.spark, spec, start.schema, fresh(t, f"state_{name}"))
+    store.run(t.spark.readStream.schema(start.schema).parquet(path), deltas, f"{name}_{uuid.uuid4().hex[:8]}")
+    return store.read()
 
 
 def streamed_daily(t):
-    stored, changes, lines = line_changes(t)
-    start = mviews.sales_daily_store(t.replace(sales_order_line=stored.withColumn("line_total", F.lit(0))))
-    store = ch.SumLog(t.spark, fresh(t, "mv_daily"), start)
-    orders = t.sales_order.select("order_id", "store_id", "order_ts", "currency_code")
-    ch.run_stream(feed(t, changes, lines), rf.refresh_handler(store, lambda b: rf.daily_deltas(b, orders), rf.DAILY), f"daily_{uuid.uuid4().hex[:8]}")
-    return rf.stored(store, rf.DAILY)
+    before, changes, lines = line_changes(t)
+    return kept(t, mviews.sales_daily_store(before), rf.DAILY, rf.daily_deltas(feed(t, changes, lines)), "daily")
 
 
 _AFTER = "(SELECT order_id, CASE WHEN order_id % 2 = 1 AND order_id % 5 = 1 THEN qty + 1 ELSE qty END AS qty, unit_price, discount_amount, tax_amount FROM rt_sales_order_line WHERE order_id % 2 = 0 OR order_id % 5 <> 0)"
@@ -99,14 +112,8 @@ FROM rt_sales_order o JOIN {_AFTER} l ON l.order_id = o.order_id GROUP BY 1, 2,
 
 
 def streamed_monthly(t):
-    stored, changes, lines = line_changes(t)
-    start = mviews.sales_monthly_category(t.replace(sales_order_line=stored.withColumn("line_total", F.lit(0))))
-    store = ch.SumLog(t.spark, fresh(t, "mv_monthly"), start)
-    orders = t.sales_order.select("order_id", "order_ts", "currency_code", "channel_code")
-    categories = (t.product_variant.select("variant_id", "product_id").join(t.product.select("product_id", "category_id"), "product_id")
-                  .join(t.product_category.select("category_id", "category_code"), "category_id").drop("product_id"))
-    ch.run_stream(feed(t, changes, lines), rf.refresh_handler(store, lambda b: rf.monthly_deltas(b, orders, categories), rf.MONTHLY), f"monthly_{uuid.uuid4().hex[:8]}")
-    return rf.stored(store, rf.MONTHLY)
+    before, changes, lines = line_changes(t)
+    return kept(t, mviews.sales_monthly_category(before), rf.MONTHLY, rf.monthly_deltas(feed(t, changes, lines)), "monthly")
 
 
 query("inc_fast_refresh_monthly", f"""
@@ -116,16 +123,20 @@ FROM rt_sales_order o JOIN {_AFTER.replace("SELECT order_id,", "SELECT order_id,
 JOIN rt_product p ON p.product_id = pv.product_id JOIN rt_product_category c ON c.category_id = p.category_id GROUP BY 1, 2, 3, 4, 5""")(streamed_monthly)
 
 
+STOCK = ["location_id", "variant_id", "qty_on_hand", "qty_reserved", "reorder_point"]
+LOW = F.when(c("reorder_point").isNotNull() & (c("qty_on_hand") < c("reorder_point") + c("qty_reserved")), 1).otherwise(0).cast("bigint")
+MEASURES = {"qty_on_hand": c("qty_on_hand"), "qty_reserved": c("qty_reserved"), "below_reorder": LOW}
+
+
+def stock_changes(t):
+    stock = t.inventory_stock.select(*STOCK)
+    less = F.struct("location_id", "variant_id", (c("qty_on_hand") - 100).cast("decimal(14,3)").alias("qty_on_hand"), "qty_reserved", "reorder_point")
+    return stock, stock.filter("variant_id % 4 = 0").select(F.lit("U").alias("op"), F.struct(*STOCK).alias("old"), less.alias("new"))
+
+
 def streamed_stock(t):
-    cols = ["location_id", "variant_id", "qty_on_hand", "qty_reserved", "reorder_point"]
-    stock = t.inventory_stock.select(*cols)
-    changes = stock.filter("variant_id % 4 = 0").select(F.lit("U").alias("op"), F.struct(*cols).alias("old"), F.struct(
-        "location_id", "variant_id", (c("qty_on_hand") - 100).cast("decimal(14,3)").alias("qty_on_hand"), "qty_reserved", "reorder_point").alias("new"))
-    measures = {"qty_on_hand": c("qty_on_hand"), "qty_reserved": c("qty_reserved"), "below_reorder": F.when(
-        c("reorder_point").isNotNull() & (c("qty_on_hand") < c("reorder_point") + c("qty_reserved")), 1).otherwise(0).cast("bigint")}
-    store = ch.SumLog(t.spark, fresh(t, "mv_stock"), rf.complete(stock, rf.STOCK, measures))
-    ch.run_stream(feed(t, changes, stock), rf.refresh_handler(store, rf.stock_deltas, rf.STOCK), f"stock_{uuid.uuid4().hex[:8]}")
-    return rf.stored(store, rf.STOCK)
+    stock, changes = stock_changes(t)
+    return kept(t, rf.complete(stock, rf.STOCK, MEASURES), rf.STOCK, rf.stock_deltas(feed(t, changes, stock)), "stock")
 
 
 query("inc_fast_refresh_stock", f"""
@@ -133,11 +144,32 @@ SELECT variant_id, COUNT(*) AS location_count, {d('SUM(q)')} AS qty_on_hand, COU
   {i('SUM(CASE WHEN reorder_point IS NOT NULL AND q < reorder_point + qty_reserved THEN 1 ELSE 0 END)')} AS below_reorder, COUNT(*) AS below_reorder_cnt
 FROM (SELECT *, CASE WHEN variant_id % 4 = 0 THEN qty_on_hand - 100 ELSE qty_on_hand END AS q FROM rt_inventory_stock) GROUP BY 1""")(streamed_stock)
 
+
+def refreshed_by_mode(t):
+    """The stock aggregate published, then refreshed from a numbered change log in every mode; one
+    fast attempt meets a purged log, one fails on the executors while it writes."""
+    stock, changes = stock_changes(t)
+    log = stash(assign_ids(changes, [c("old.location_id"), c("old.variant_id")], name="seq"))
+    first = stash(rf.complete(stock, rf.STOCK, MEASURES))
+    now = stock.withColumn("qty_on_hand", F.when(c("variant_id") % 4 == 0, (c("qty_on_hand") - 100).cast("decimal(14,3)")).otherwise(c("qty_on_hand")))
+    delta = rf.deltas(rf.signed(log).select("row.*", "sign"), rf.STOCK, MEASURES)
+
+    def attempt(case: str, mode: str, fast: bool = True, purged: int = 0, broken: bool = False):
+        path = fresh(t, "mv_mode")
+        publish(first, path)
+        merged = rf.fast_refresh(published(t.spark, path), delta, rf.STOCK)
+        if broken:  # some of the groups are written before the fault
+            merged = merged.withColumn("location_count", F.when(c("variant_id") % 64 == 1, F.raise_error(F.lit("lost"))).otherwise(c("location_count")).cast("bigint"))
+        done = rf.refresh(mode, path, lambda: rf.complete(now, rf.STOCK, MEASURES), (lambda: merged) if fast else None, lambda: rf.covers(log.filter(c("seq") > purged), 0))
+        return published(t.spark, path).agg(F.count("*").alias("groups"), F.sum("qty_on_hand").alias("qty_on_hand")).select(F.lit(case).alias("attempt"), F.lit(done).alias("mode"), "groups", "qty_on_hand")
+
+    made = [attempt("complete", "C"), attempt("fast", "F"), attempt("either", "?"), attempt("not additive", "?", fast=False), attempt("log purged", "?", purged=1), attempt("write fails", "?", broken=True)]
+    return functools.reduce(lambda a, b: a.unionByName(b), made)
+
+
 query("inc_refresh_modes", f"""
-SELECT 'COMPLETE' AS mode, COUNT(DISTINCT customer_id) AS groups FROM rt_customer UNION ALL SELECT 'FAST', COUNT(DISTINCT variant_id) FROM rt_inventory_stock""")(
-    lambda t: (lambda rfm, st: rfm[0].agg(F.count("*").alias("groups")).select(F.lit(rfm[1]).alias("mode"), "groups").unionByName(
-        st[0].agg(F.count("*").alias("groups")).select(F.lit(st[1]).alias("mode"), "groups")))(
-        rf.refresh("?", None, lambda: mviews.customer_rfm(t, AS_OF)), rf.refresh("?", lambda: mviews.stock_position(t), None)))
+SELECT v.attempt, v.mode, s.groups, s.qty_on_hand FROM (SELECT COUNT(DISTINCT variant_id) AS groups, {d('SUM(CASE WHEN variant_id % 4 = 0 THEN qty_on_hand - 100 ELSE qty_on_hand END)')} AS qty_on_hand FROM rt_inventory_stock) s,
+(VALUES ('complete', 'COMPLETE'), ('fast', 'FAST'), ('either', 'FAST'), ('not additive', 'COMPLETE'), ('log purged', 'COMPLETE'), ('write fails', 'COMPLETE')) v(attempt, mode)""")(refreshed_by_mode)
 
 # ---- audit ----------------------------------------------------------------------------------------------------
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +13,7 @@ from tillweave.operators import hierarchy as tree
 from tillweave.operators.merge import upsert_delete
 from tillweave.plans import mviews
 from tillweave.plans.families import SYSTEMS
-from tillweave.sources.extracts import job_run, sales_extract, write_extract
+from tillweave.sources.extracts import job_run, publish, published, sales_extract, write_extract
 from tillweave.sources.tables import RetailTables
 
 
@@ -129,21 +127,6 @@ def reconcile_count(t: RetailTables, system: str, start: str, stop: str) -> Data
 
 # ---- reporting refresh, export, month end ------------------------------------------------------------
 
-def swap_in(df: DataFrame, path: str) -> str:
-    """Write to a fresh folder beside `path` and point `path`'s marker at it; readers of the old
-    copy are undisturbed, and a failed write leaves the marker alone."""
-    target = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(target)
-    marker = df.sparkSession.createDataFrame([(target,)], "path string").coalesce(1)
-    marker.write.mode("overwrite").parquet(os.path.join(path, "_current"))
-    return target
-
-
-def current(spark, path: str) -> DataFrame:
-    """The copy `swap_in` published last."""
-    return spark.read.parquet(spark.read.parquet(os.path.join(path, "_current")).first()["path"])
-
-
 def reporting_views(t: RetailTables, as_of) -> dict[str, DataFrame]:
     """The refresh group followed by the two standalone aggregates."""
     return {
@@ -158,7 +141,8 @@ def refresh_reporting(t: RetailTables, as_of, out: str) -> dict[str, str]:
     done = {}
     with job_run(t.spark, "REFRESH_REPORTING", f"{out}/job_run_log") as run:
         for name, df in reporting_views(t, as_of).items():
-            done[name] = swap_in(df, f"{out}/{name}")
+            done[name] = f"{out}/{name}"
+            publish(df, done[name])
         run.rows, run.message = len(done), "method=C"
     return done
 
@@ -200,16 +184,16 @@ def month_end(t: RetailTables, period_id: int, day: str, as_of, out: str, force:
         bad = rejects.first()
         if bad is not None:
             raise RuntimeError(bad["reject_reason"])
-        swap_in(periods, f"{out}/gl_period")
+        publish(periods, f"{out}/gl_period")
         return 1
 
     def post() -> int:
         start = as_time(day)
         orders = t.sales_order.filter((F.col("order_ts") >= start) & (F.col("order_ts") < start + F.expr("INTERVAL 1 DAY")))
         journals, lines, _ = finance.sales_journal(orders, t.gl_period, 0, as_of)
-        swap_in(journals, f"{out}/gl_journal")
-        swap_in(lines, f"{out}/gl_journal_line")
-        return current(t.spark, f"{out}/gl_journal").count()
+        publish(journals, f"{out}/gl_journal")
+        publish(lines, f"{out}/gl_journal_line")
+        return published(t.spark, f"{out}/gl_journal").count()
 
     def export() -> int:
         path = f"{out}/sales_{day.replace('-', '')}"

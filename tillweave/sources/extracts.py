@@ -201,3 +201,17 @@ def job_run(spark: SparkSession, name: str, path: str, swallow: bool = False):
         done = datetime.datetime.now(datetime.timezone.utc)
         row = (name, started, done, (done - started).total_seconds(), status, run.rows, error or run.message)
         spark.createDataFrame([row], RUN_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Replace the published copy at `path` by Spark's dynamic partition overwrite: rows are staged
+    and the old copy goes when the job commits, so a failed write leaves it alone, and `df` may read
+    it. An extra row marks the copy, because an overwrite without rows would replace nothing."""
+    filler = df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields], F.lit(True).alias("_filler"))
+    rows = df.withColumn("_filler", F.lit(False)).union(filler).withColumn("_copy", F.lit("current"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_copy").parquet(path)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The copy published last."""
+    return spark.read.parquet(path).filter(~F.col("_filler")).drop("_filler", "_copy")

@@ -116,7 +116,3 @@ class KeyedLog(_Log):
     def compact(self, path: str) -> "KeyedLog":
         """A new log whose first copy is the current state."""
         return KeyedLog(self.spark, path, self.keys, self.read())
-
-
-class SumLog(_Log):
-    """Additive rows: a batch stores its signed deltas and reading sums them."""

@@ -1,19 +1,22 @@
 """Incremental upkeep of the additive aggregates from change batches.
 
-A change is its new image counted +1 and its old image counted -1. A batch of changes is summed
-per group first, so the merge with the stored aggregate sees one row per touched group; a group
-whose count reaches zero disappears.
+A change is its new image counted +1 and its old image counted -1. Images are summed per group
+before the shuffle, so the stored aggregate sees one row per task and touched group; a group whose
+count reaches zero disappears.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tillweave.functions.values import day_of, month_of
-from tillweave.streaming.changes import Handler, SumLog
+from tillweave.sources.extracts import publish
 
 
 @dataclass(frozen=True)
@@ -47,36 +50,87 @@ def deltas(rows: DataFrame, spec: AggregateSpec, measures: dict[str, Column]) ->
     return rows.groupBy(*spec.keys).agg(*cols)
 
 
+def image_deltas(changes: DataFrame, spec: AggregateSpec, measures: dict[str, Column], keys: dict[str, Column] | None = None) -> DataFrame:
+    """Rows to be summed, one per image of a change: keys, the sign as count, signed measures and
+    their counts. The images carry all that the keys need, so no table is joined per batch."""
+    sign = F.col("sign")
+    cols = [sign.cast("bigint").alias(spec.count)]
+    for n in spec.sums:
+        cols += [(measures[n] * sign).alias(n), F.when(measures[n].isNotNull(), sign).otherwise(0).cast("bigint").alias(f"{n}_cnt")]
+    rows = signed(changes).select("row.*", "sign")
+    return rows.select(*[(keys or {}).get(k, F.col(k)).alias(k) for k in spec.keys], *cols)
+
+
+def numbers(spec: AggregateSpec) -> list[str]:
+    return [spec.count, *[x for n in spec.sums for x in (n, f"{n}_cnt")]]
+
+
+class KeptSums:
+    """An additive aggregate whose groups live in Spark's state store.
+
+    One streaming aggregation sums the first copy and then the deltas of every micro-batch; a batch
+    touches the groups its changes name and nothing else, however many batches came before. The
+    aggregate is read back from the state of the last committed batch. Exactly-once and recovery
+    are those of the query's checkpoint, which lies in the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, spec: AggregateSpec, schema: T.StructType, checkpoint: str):
+        self.spark, self.spec, self.checkpoint = spark, spec, checkpoint
+        self.schema = T.StructType([schema[n] for n in (*spec.keys, *numbers(spec))])
+
+    def _typed(self, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+
+    def run(self, start: DataFrame, deltas: DataFrame, name: str) -> StreamingQuery:
+        """Sum both streams until they are drained; `start` has the stored rows."""
+        rows = self._typed(start).union(self._typed(deltas))
+        total = rows.groupBy(*self.spec.keys).agg(*[F.sum(n).alias(n) for n in numbers(self.spec)])
+        writer = total.writeStream.outputMode("update").format("noop").option("checkpointLocation", self.checkpoint).queryName(name)
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+
+    def read(self) -> DataFrame:
+        """The groups as of the last batch: empty ones are gone, a sum over no values is NULL."""
+        state = self.spark.read.format("statestore").load(self.checkpoint)
+        fields = []
+        for n in numbers(self.spec):  # a decimal sum keeps a second field in the state
+            fields.append(n)
+            if isinstance(self.schema[n].dataType, T.DecimalType):
+                fields.append(f"_{n}_empty")
+        stored = state.schema["value"].dataType.fields
+        value = F.col("value").cast(T.StructType([T.StructField(n, f.dataType) for n, f in zip(fields, stored, strict=True)]))
+        rows = state.select("key.*", value.alias("_v")).select(*self.spec.keys, *[F.col(f"_v.{n}").alias(n) for n in numbers(self.spec)])
+        rows = self._typed(rows).filter(F.col(self.spec.count) != 0)
+        return rows.withColumns({n: F.when(F.col(f"{n}_cnt") != 0, F.col(n)) for n in self.spec.sums})
+
+
 def fast_refresh(mv: DataFrame, delta: DataFrame, spec: AggregateSpec) -> DataFrame:
     """Stored aggregate plus deltas; empty groups go, and a sum over no values is NULL again."""
-    numbers = [spec.count, *[x for n in spec.sums for x in (n, f"{n}_cnt")]]
-    both = mv.select(*spec.keys, *numbers).unionByName(delta.select(*spec.keys, *[F.col(n).cast(mv.schema[n].dataType).alias(n) for n in numbers]))
-    total = both.groupBy(*spec.keys).agg(*[F.sum(n).cast(mv.schema[n].dataType).alias(n) for n in numbers]).filter(F.col(spec.count) != 0)
-    return total.withColumns({n: F.when(F.col(f"{n}_cnt") != 0, F.col(n)) for n in spec.sums}).select(*spec.keys, *numbers)
+    cols = numbers(spec)
+    both = mv.select(*spec.keys, *cols).unionByName(delta.select(*spec.keys, *[F.col(n).cast(mv.schema[n].dataType).alias(n) for n in cols]))
+    total = both.groupBy(*spec.keys).agg(*[F.sum(n).cast(mv.schema[n].dataType).alias(n) for n in cols]).filter(F.col(spec.count) != 0)
+    return total.withColumns({n: F.when(F.col(f"{n}_cnt") != 0, F.col(n)) for n in spec.sums}).select(*spec.keys, *cols)
 
 
-def daily_deltas(line_changes: DataFrame, orders: DataFrame) -> DataFrame:
-    """Deltas of the daily store aggregate from order line changes; the header is joined to the
-    batch, which is small beside the order table."""
-    rows = signed(line_changes).select("row.*", "sign")
-    heads = orders.select("order_id", "store_id", day_of("order_ts").alias("sales_date"), "currency_code")
-    return deltas(rows.join(heads, "order_id"), DAILY, {
-        "total_qty": F.col("qty"), "gross_amount": F.col("qty") * F.col("unit_price"), "discount_amount": F.col("discount_amount"), "tax_amount": F.col("tax_amount")})
+def daily_deltas(line_changes: DataFrame) -> DataFrame:
+    """Deltas of the daily store aggregate; the line images carry their order's store, time and currency."""
+    return image_deltas(line_changes, DAILY, {
+        "total_qty": F.col("qty"), "gross_amount": F.col("qty") * F.col("unit_price"), "discount_amount": F.col("discount_amount"), "tax_amount": F.col("tax_amount")},
+        {"sales_date": day_of("order_ts")})
 
 
-def monthly_deltas(line_changes: DataFrame, orders: DataFrame, categories: DataFrame) -> DataFrame:
-    """Deltas of the monthly category aggregate; `categories` has variant_id, category_id, category_code."""
-    rows = signed(line_changes).select("row.*", "sign")
-    heads = orders.select("order_id", month_of("order_ts").alias("month_start"), "currency_code", "channel_code")
+def monthly_deltas(line_changes: DataFrame) -> DataFrame:
+    """Deltas of the monthly category aggregate; the line images carry their order's time, currency
+    and channel and their variant's category."""
     net = F.col("qty") * F.col("unit_price") - F.col("discount_amount")
-    return deltas(rows.join(heads, "order_id").join(categories, "variant_id"), MONTHLY, {"total_qty": F.col("qty"), "net_amount": net, "tax_amount": F.col("tax_amount")})
+    return image_deltas(line_changes, MONTHLY, {"total_qty": F.col("qty"), "net_amount": net, "tax_amount": F.col("tax_amount")}, {"month_start": month_of("order_ts")})
 
 
 def stock_deltas(stock_changes: DataFrame) -> DataFrame:
     """Deltas of the stock aggregate; the below-reorder flag is a measure like the quantities."""
-    rows = signed(stock_changes).select("row.*", "sign")
     low = F.col("reorder_point").isNotNull() & (F.col("qty_on_hand") < F.col("reorder_point") + F.col("qty_reserved"))
-    return deltas(rows, STOCK, {
+    return image_deltas(stock_changes, STOCK, {
         "qty_on_hand": F.col("qty_on_hand"), "qty_reserved": F.col("qty_reserved"), "below_reorder": F.when(low, 1).otherwise(0).cast("bigint")})
 
 
@@ -85,34 +139,33 @@ def complete(rows: DataFrame, spec: AggregateSpec, measures: dict[str, Column])
     return deltas(rows.withColumn("sign", F.lit(1)), spec, measures)
 
 
-def refresh(mode: str, fast, full) -> tuple[DataFrame, str]:
-    """Refresh by mode: F fast, C complete, ? fast where possible and complete otherwise.
+def covers(log: DataFrame, since: int) -> bool:
+    """Whether a change log holds every change after number `since`: none purged, none missing."""
+    got = log.filter(F.col("seq") > since).agg(F.min("seq"), F.max("seq"), F.count_distinct("seq")).first()
+    return got[0] is None or (got[0] == since + 1 and got[1] - got[0] + 1 == got[2])
+
+
+def refresh(mode: str, path: str, full: Callable[[], DataFrame], fast: Callable[[], DataFrame] | None = None, eligible: Callable[[], bool] = lambda: True) -> str:
+    """Refresh the published copy at `path` by mode: F fast, C complete, ? fast where possible and
+    complete otherwise. Returns what was done, FAST or COMPLETE.
 
-    `fast` is None for aggregates that cannot be kept from deltas (ranks, quintiles, extremes), and
-    a callable otherwise; a fast refresh that raises falls back only under '?'.
+    The attempt is the write itself: a fast refresh that fails at any point of its run, also on an
+    executor half-way through, leaves the published copy as it was, and under '?' the complete one
+    follows. `fast` is None for aggregates that cannot be kept from deltas (ranks, quintiles,
+    extremes); `eligible` says whether the change log reaches back to the published copy.
     """
-    if mode == "C" or (mode == "?" and fast is None):
-        return full(), "COMPLETE"
-    if fast is None:
-        raise ValueError("this aggregate can only be refreshed completely")
-    try:
-        return fast(), "FAST"
-    except Exception:
-        if mode != "?":
-            raise
-        return full(), "COMPLETE"
-
-
-def refresh_handler(store: SumLog, to_delta, spec: AggregateSpec) -> Handler:
-    """foreachBatch handler that keeps an aggregate: each batch appends its summed deltas, a row per
-    touched group, and leaves what is stored alone."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        store.append(to_delta(batch), batch_id)
-
-    return run
-
-
-def stored(log: SumLog, spec: AggregateSpec) -> DataFrame:
-    """The aggregate as of the last batch; publish it or compact the log with it from time to time."""
-    rows = log.rows().drop("batch_no")
-    return fast_refresh(rows, rows.limit(0), spec)
+    if mode not in ("F", "C", "?"):
+        raise ValueError(f"no refresh mode {mode}")
+    if mode != "C":
+        possible = fast is not None and eligible()
+        if mode == "F" and not possible:
+            raise ValueError("this aggregate can only be refreshed completely")
+        if possible:
+            try:
+                publish(fast(), path)
+                return "FAST"
+            except Exception:
+                if mode == "F":
+                    raise
+    publish(full(), path)
+    return "COMPLETE"
