@@ -6,7 +6,6 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tillweave.session import stash
 from tillweave.sources.extracts import publish, published
 from tillweave.streaming import changes as ch
 from tillweave.streaming import handlers as h
@@ -92,39 +91,45 @@ def test_log_reaches_back(spark):
     assert not rf.covers(log([4, 5]), 2) and not rf.covers(log([3, 5]), 2)
 
 
-def test_repeated_batch_replaces_itself(spark, tmp_path):
-    store = ch.KeyedLog(spark, str(tmp_path / "a"), ["k"], spark.createDataFrame([(1, 1), (2, 5)], "k int, x int"))
-    for _ in range(2):  # the same batch runs twice
-        here = store.read(before=0, touched=spark.createDataFrame([(1,)], "k int"))
-        store.append(here.withColumn("x", F.col("x") + 1), 0)
-    assert sorted(map(tuple, store.read().collect())) == [(1, 2), (2, 5)]
-    assert sorted(map(tuple, store.compact(str(tmp_path / "b")).read().collect())) == [(1, 2), (2, 5)]
+IMAGE = "named_struct('fulfil_location_id', 1L, 'variant_id', v, 'qty', CAST({} AS DECIMAL(12,3)))"
 
 
-def test_reservations_floor_at_zero(spark):
-    stock = spark.createDataFrame([(1, 1, 10, 3)], "location_id long, variant_id long, a int, b int").select(
-        "location_id", "variant_id", F.col("a").cast("decimal(14,3)").alias("qty_on_hand"), F.col("b").cast("decimal(14,3)").alias("qty_reserved"),
-        F.lit(None).cast("timestamp_ntz").alias("last_movement_ts"), F.lit(7).cast("decimal(15,3)").alias("qty_available"))
-    kind = "struct<fulfil_location_id:bigint,variant_id:bigint,qty:decimal(12,3)>"
-    changes = spark.createDataFrame([("D",)], "op string").select("op", F.struct(F.lit(1).cast("bigint").alias("fulfil_location_id"), F.lit(1).cast("bigint").alias("variant_id"), F.lit(5).cast("decimal(12,3)").alias("qty")).alias("old"), F.lit(None).cast(kind).alias("new"))
-    row = h.reservation_batch(stock, changes, "2024-01-01").first()
-    assert int(row["qty_reserved"]) == 0 and int(row["qty_available"]) == 10
-
-
-def test_reservations_do_not_depend_on_batches(spark):
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_reservations_do_not_depend_on_batches(spark, tmp_path, batches):
+    """Every change floors at zero, in order of seq; rows lie in files in any order."""
     rnd = random.Random(4)
     stock = spark.createDataFrame([(1, v, v * 4 - 4) for v in range(4)], "location_id long, variant_id long, b int").select(
         "location_id", "variant_id", F.lit(50).cast("decimal(14,3)").alias("qty_on_hand"), F.greatest("b", F.lit(0)).cast("decimal(14,3)").alias("qty_reserved"),
         F.lit(None).cast("timestamp_ntz").alias("last_movement_ts"), F.lit(0).cast("decimal(15,3)").alias("qty_available"))
-    rows = [(k, rnd.choice("IDU"), rnd.randrange(4), rnd.randrange(1, 9), rnd.randrange(1, 9)) for k in range(80)]
+    rows = [(k, rnd.choice("IDU"), rnd.randrange(3), rnd.randrange(1, 9), rnd.randrange(1, 9)) for k in range(84)] + [(90, "I", 9, 1, 1)]
     want = {v: max(v * 4 - 4, 0) for v in range(4)}
-    for _, op, v, old, new in rows:
+    for _, op, v, old, new in rows[:-1]:
         want[v] = max(want[v] + {"I": new, "D": -old, "U": new - old}[op], 0)
-    image = lambda q: f"named_struct('fulfil_location_id', 1L, 'variant_id', v, 'qty', CAST({q} AS DECIMAL(12,3)))"
-    for n in (1, 3, 7):
-        now = stock
-        for k in range(n):
-            part = spark.createDataFrame(rows[k * 80 // n : (k + 1) * 80 // n], "seq long, op string, v long, o int, n int")
-            changes = part.selectExpr("seq", "op", f"IF(op <> 'I', {image('o')}, NULL) AS old", f"IF(op <> 'D', {image('n')}, NULL) AS new")
-            now = stash(h.reservation_batch(now, changes, "2024-01-01"))
-        assert {r["variant_id"]: int(r["qty_reserved"]) for r in now.collect()} == want
+    for k in range(batches):
+        part = rows[k * 85 // batches : (k + 1) * 85 // batches]
+        rnd.shuffle(part)
+        made = spark.createDataFrame(part, "seq long, op string, v long, o int, n int").selectExpr("op", "seq", f"IF(op <> 'I', {IMAGE.format('o')}, NULL) AS old", f"IF(op <> 'D', {IMAGE.format('n')}, NULL) AS new")
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = ch.run_kept(h.reservation_state(stream), str(tmp_path / "cp"), f"reserve{batches}")
+    assert len([p for p in query.recentProgress if p.numInputRows]) == batches
+    out = h.with_reservations(stock, ch.read_state(spark, str(tmp_path / "cp"), ["total", "floor"]), "2024-01-01").collect()
+    assert {r["variant_id"]: int(r["qty_reserved"]) for r in out} == want
+    assert all(int(r["qty_available"]) == 50 - want[r["variant_id"]] and (r["last_movement_ts"] is None) == (r["variant_id"] == 3) for r in out)
+
+
+def test_a_query_goes_on_from_its_state(spark, tmp_path):
+    """A second run of the same checkpoint reads the new files only and keeps what was there."""
+    orders = spark.createDataFrame([(1, "CART"), (2, "CART"), (3, "SHIPPED")], "order_id long, status string")
+    orders.write.parquet(str(tmp_path / "orders"))
+    kind = "struct<order_id:long,status:string>"
+    pay = lambda i: spark.createDataFrame([("U", 1, (i, "OPEN"), (i, "CAPTURED"))], f"op string, seq long, old {kind}, new {kind}")
+    seen = {}
+    for i in (1, 3):
+        pay(i).coalesce(1).write.mode("append").parquet(str(tmp_path / "pay"))
+        streams = spark.readStream.schema(orders.schema).parquet(str(tmp_path / "orders")), spark.readStream.schema(pay(1).schema).parquet(str(tmp_path / "pay"))
+        query = ch.run_kept(h.payment_state(*streams), str(tmp_path / "cp"), f"pay{i}")
+        seen[i] = sum(p.numInputRows for p in query.recentProgress)
+    assert seen == {1: 4, 3: 1}
+    state = ch.read_state(spark, str(tmp_path / "cp"), ["status", "paid"])
+    assert sorted(map(tuple, h.captured_orders(state).collect())) == [(1, "PLACED"), (2, "CART"), (3, "SHIPPED")]

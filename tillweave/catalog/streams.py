@@ -225,11 +225,24 @@ SELECT order_id AS promotion_id, 'Promotion end_ts must be after start_ts' AS re
 # ---- stock, ledger, payments ----------------------------------------------------------------------------------------
 
 
+def in_state(t, rows, name: str, values: list[str]):
+    """What a stateful stream keeps once its input is drained."""
+    where = fresh(t, f"state_{name}")
+    ch.run_kept(rows, where, f"{name}_{uuid.uuid4().hex[:8]}")
+    return ch.read_state(t.spark, where, values)
+
+
+def as_stream(t, df, name: str):
+    """A table written once and read as a stream."""
+    path = fresh(t, name)
+    df.write.parquet(path)
+    return t.spark.readStream.schema(df.schema).parquet(path)
+
+
 def reserved(t):
     lines = t.sales_order_line.filter(c("fulfil_location_id").isNotNull()).select("order_id", "line_no", "variant_id", "qty", "fulfil_location_id")
-    store = ch.KeyedLog(t.spark, fresh(t, "stock"), ["location_id", "variant_id"], t.inventory_stock)
-    ch.run_stream(feed(t, as_inserts(lines), lines), h.reservation_handler(store, AS_OF), f"reserve_{uuid.uuid4().hex[:8]}")
-    return store.read().select("location_id", "variant_id", "qty_reserved", "qty_available")
+    state = in_state(t, h.reservation_state(feed(t, as_inserts(lines), lines)), "reserve", ["total", "floor"])
+    return h.with_reservations(t.inventory_stock, state, AS_OF).select("location_id", "variant_id", "qty_reserved", "qty_available")
 
 
 query("inc_reservation_delta", f"""
@@ -256,9 +269,8 @@ WHERE l.s <> a.points_balance""")(drift)
 def captured(t):
     old = t.order_payment.select("payment_id", "order_id", "status")
     changes = ch.diff_changes(old, old.withColumn("status", F.when(c("payment_id") % 2 == 0, "CAPTURED").otherwise(c("status"))), ["payment_id"])
-    store = ch.KeyedLog(t.spark, fresh(t, "orders"), ["order_id"], t.sales_order.select("order_id", "status"))
-    ch.run_stream(feed(t, changes, old), h.payment_handler(store), f"pay_{uuid.uuid4().hex[:8]}")
-    return store.read()
+    orders = as_stream(t, t.sales_order.select("order_id", "status"), "orders")
+    return h.captured_orders(in_state(t, h.payment_state(orders, feed(t, changes, old)), "pay", ["status", "paid"]))
 
 
 query("inc_payment_capture", """
@@ -275,13 +287,14 @@ SELECT 'STATEMENT' AS rule_code, CONCAT('rows=', CAST(COUNT(*) AS STRING), ' I='
 
 
 def ordered(t):
-    """Journal lines streamed through two ordered handlers."""
+    """Journal lines streamed through two steps, faults before descriptions."""
     lines = t.gl_journal_line.select("journal_id", "line_no", "debit_amount", "credit_amount", "currency_code", "fx_rate")
     heads = t.gl_journal.select("journal_id", "status", F.when(c("journal_id") % 4 == 0, "kept").alias("description"))
-    store, out = ch.KeyedLog(t.spark, fresh(t, "journals"), ["journal_id"], heads), fresh(t, "faults")
-    ch.run_stream(feed(t, as_inserts(lines), lines), h.check_lines_handler(out, store), f"lines_{uuid.uuid4().hex[:8]}")
-    faults = t.spark.read.parquet(out).groupBy("rule_code").agg(F.count("*").alias("n"))
-    return store.read().groupBy(F.coalesce("description", F.lit("<null>")).startswith("Journal ").cast("string").alias("rule_code")).agg(F.count("*").alias("n")).unionByName(faults)
+    added = feed(t, as_inserts(lines), lines)
+    faults = drained(t, added, h.line_faults, "faults").groupBy("rule_code").agg(F.count("*").alias("n"))
+    state = in_state(t, h.journal_state(as_stream(t, heads, "journals"), added), "journals", ["status", "description", "touched"])
+    described = F.coalesce("description", F.lit("<null>")).startswith("Journal ").cast("string").alias("rule_code")
+    return h.described_journals(state).groupBy(described).agg(F.count("*").alias("n")).unionByName(faults)
 
 
 query("inc_ordered_handlers", """

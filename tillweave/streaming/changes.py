@@ -56,63 +56,21 @@ def run_stream(stream: DataFrame, handler: Handler, name: str, checkpoint: str |
     return query
 
 
-def chain(handlers: list[Handler]) -> Handler:
-    """Handlers run one after another on the same batch, in the order given."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        try:
-            for h in handlers:
-                h(kept, batch_id)
-        finally:
-            kept.unpersist()
-
-    return run
-
-
-class _Log:
-    """A table kept as a first copy plus one folder per batch, never rewritten by a batch.
-
-    A batch that runs again after a failure overwrites its own folder and nothing else, and looks
-    only at folders of earlier batches, so a half-written one is never read. Nothing is held in
-    the driver: the batches present are found by partition discovery.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, start: DataFrame | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
-        if start is not None:
-            start.write.mode("overwrite").parquet(self._at(-1))
-        self.schema = start.schema if start is not None else spark.read.parquet(self._at(-1)).schema
-        self._with_batch = T.StructType([*self.schema.fields, T.StructField("batch_no", T.LongType())])
-
-    def _at(self, batch_id: int) -> str:
-        return f"{self.path}/batch_no={batch_id + 1}"
-
-    def rows(self, before: int | None = None) -> DataFrame:
-        """All stored rows with their folder number `batch_no`; only those of earlier batches if asked."""
-        all_ = self.spark.read.schema(self._with_batch).parquet(self.path)
-        return all_ if before is None else all_.filter(F.col("batch_no") <= before)
-
-    def append(self, df: DataFrame, batch_id: int) -> None:
-        df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.mode("overwrite").parquet(self._at(batch_id))
-
-
-class KeyedLog(_Log):
-    """Rows by unique key; a batch stores the rows it changed and the newest one counts."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], start: DataFrame | None = None):
-        super().__init__(spark, path, start)
-        self.keys = keys
-
-    def read(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame:
-        """The current rows, or those of some keys: a batch then reduces only what it touches."""
-        rows = self.rows(before)
-        if touched is not None:
-            rows = rows.join(touched.select(*self.keys).distinct(), self.keys, "left_semi")
-        names = self.schema.names
-        rest = [n for n in names if n not in self.keys]
-        top = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("_row"))
-        return top.select(*self.keys, *[F.col(f"_row.{n}").alias(n) for n in rest]).select(*names)
-
-    def compact(self, path: str) -> "KeyedLog":
-        """A new log whose first copy is the current state."""
-        return KeyedLog(self.spark, path, self.keys, self.read())
+def run_kept(rows: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
+    """Run a stateful stream until its input is drained; what it keeps stays in Spark's state store,
+    from which `read_state` reads it."""
+    query = rows.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def read_state(spark: SparkSession, checkpoint: str, names: list[str]) -> DataFrame:
+    """Keys and values of the state as of the last committed batch; `names` are those of the values,
+    in the order in which the stateful operator holds them."""
+    state = spark.read.format("statestore").load(checkpoint)
+    held = state.schema["value"].dataType
+    while len(held.fields) == 1 and isinstance(held.fields[0].dataType, T.StructType):  # a struct kept by a function per group
+        state = state.withColumn("value", F.col(f"value.{held.fields[0].name}"))
+        held = state.schema["value"].dataType
+    value = F.col("value").cast(T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, held.fields)]))
+    return state.select(*[F.col(f"key.{k.name}").alias(k.name) for k in state.schema["key"].dataType.fields], value.alias("_v")).select(*state.schema["key"].dataType.names, *[F.col(f"_v.{n}").alias(n) for n in names])

@@ -1,18 +1,18 @@
 """Change-driven jobs: audit rows, normalisation on ingest, reservations, alerts, payments, routes.
 
-Each takes a (batch or streaming) frame of changes and returns rows; the ones that keep state come
-with a foreachBatch handler.
+Each takes a (batch or streaming) frame of changes and returns rows. The ones that keep state return
+a stateful stream, whose state is read back when it is wanted.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import as_time, empty_to_null, nvl, pad_ref
-from tillweave.operators.positions import running_total
 from tillweave.plans.quality import dq_ledger_drift, issues
-from tillweave.streaming.changes import Handler, KeyedLog
+from tillweave.streaming.changes import Handler
 
 # Columns whose values form the audit image of a table.
 AUDIT_IMAGES = {
@@ -117,30 +117,42 @@ def reservation_rows(changes: DataFrame) -> DataFrame:
     return rows.filter(F.col("delta") != 0)
 
 
-def reservation_batch(stock: DataFrame, changes: DataFrame, as_of) -> DataFrame:
-    """Stock with a batch's reservations, floored at zero after every row in order of `seq`.
+RESERVED = "total bigint, floor bigint"  # thousandths
 
-    With deltas d1..dn, their sum S and running sums Sk, a start of q ends at the larger of q + S
-    and S - min(Sk), so rows need not be walked and the cut into batches does not matter.
+
+def reservation_state(changes: DataFrame) -> DataFrame:
+    """What the changes so far do to the reservation of each place, kept as state per key.
+
+    A change by d takes a reservation q to max(q + d, 0). Any row of such steps takes q to
+    max(q + total, floor), and a further step of (t, f) makes that (total + t, max(floor + t, f)),
+    so the state is two numbers. The rows of a key inside one micro-batch are taken in order of
+    `seq`, whatever the cut into batches; at most a batch's rows of one key are sorted at once.
     """
-    run = running_total(reservation_rows(changes), ["location_id", "variant_id"], [F.col("seq"), F.col("delta")], "delta", "_s")
-    got = run.groupBy("location_id", "variant_id").agg(F.sum("delta").alias("delta"), F.min("_s").alias("_least"))
-    new = F.greatest(nvl("qty_reserved", 0) + F.col("delta"), F.col("delta") - F.col("_least"), F.lit(0)).cast("decimal(14,3)")
-    hit = F.col("delta").isNotNull()
+    thousandths = (F.col("delta") * 1000).cast("bigint").alias("delta")
+
+    def step(key, frames, state):
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        run = rows["delta"].to_numpy().cumsum()
+        t, f = int(run[-1]), int(run[-1] - run.min())
+        total, floor = state.get if state.exists else (0, None)
+        new = (total + t, f if floor is None else max(floor + t, f))
+        state.update(new)
+        yield pd.DataFrame([(*key, *new)], columns=["location_id", "variant_id", "total", "floor"])
+
+    rows = reservation_rows(changes).select("location_id", "variant_id", "seq", thousandths)
+    return rows.groupBy("location_id", "variant_id").applyInPandasWithState(step, f"location_id bigint, variant_id bigint, {RESERVED}", RESERVED, "update", "NoTimeout")
+
+
+def with_reservations(stock: DataFrame, state: DataFrame, as_of) -> DataFrame:
+    """Stock with its reservations as the state has them."""
+    got = state.select("location_id", "variant_id", *[(F.col(n).cast("decimal(20,0)") / 1000).cast("decimal(14,3)").alias(f"_{n}") for n in ("total", "floor")])
+    hit = F.col("_total").isNotNull()
+    new = F.greatest(nvl("qty_reserved", 0) + F.col("_total"), F.col("_floor"), F.lit(0)).cast("decimal(14,3)")
     out = stock.join(got, ["location_id", "variant_id"], "left").withColumns({
         "qty_reserved": F.when(hit, new).otherwise(F.col("qty_reserved")), "last_movement_ts": F.when(hit, as_time(as_of)).otherwise(F.col("last_movement_ts"))})
     return out.withColumn("qty_available", (F.col("qty_on_hand") - F.col("qty_reserved")).cast("decimal(15,3)")).select(*stock.columns)
 
 
-def reservation_handler(store: KeyedLog, as_of) -> Handler:
-    """Keeps stock reservations; a batch reads and stores only the stock rows it touches."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        here = store.read(before=batch_id, touched=reservation_rows(batch))
-        store.append(reservation_batch(here, batch, as_of), batch_id)
-
-    return run
-
-
 def negative_alert(changes: DataFrame) -> DataFrame:
     """An issue per inserted or updated stock row whose availability is negative."""
     free = F.col("new.qty_on_hand") - F.col("new.qty_reserved")
@@ -157,21 +169,19 @@ def ledger_drift_batch(changes: DataFrame, ledger: DataFrame, accounts: DataFram
     return dq_ledger_drift(accounts.join(touched, "loyalty_id", "left_semi"), ledger.join(touched, "loyalty_id", "left_semi"))
 
 
-def payment_capture_batch(orders: DataFrame, payments: DataFrame) -> DataFrame:
-    """Orders after a batch of payment changes: a CART whose payment became CAPTURED is PLACED."""
-    done = payments.filter((F.col("op") == "U") & (F.col("new.status") == "CAPTURED") & (F.col("old.status") != "CAPTURED")).select(
-        F.col("new.order_id").alias("order_id"), F.lit(True).alias("_paid")).distinct()
-    paid = F.col("_paid") & (F.col("status") == "CART")
-    return orders.join(done, "order_id", "left").withColumn("status", F.when(paid, "PLACED").otherwise(F.col("status"))).select(*orders.columns)
+def payment_state(orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """Status of each order and whether a payment of it became CAPTURED, as a streaming aggregate;
+    `orders` has each order once, `payments` are changes."""
+    done = payments.filter((F.col("op") == "U") & (F.col("new.status") == "CAPTURED") & (F.col("old.status") != "CAPTURED"))
+    rows = orders.select("order_id", "status", F.lit(False).alias("paid")).unionByName(
+        done.select(F.col("new.order_id").alias("order_id"), F.lit(None).cast("string").alias("status"), F.lit(True).alias("paid")))
+    return rows.groupBy("order_id").agg(F.max("status").alias("status"), F.max("paid").alias("paid"))
 
 
-def payment_handler(store: KeyedLog) -> Handler:
-    """Keeps order statuses; a batch reads and stores only the orders whose payments it carries."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        here = store.read(before=batch_id, touched=batch.select(F.col("new.order_id").alias("order_id")))
-        store.append(payment_capture_batch(here, batch), batch_id)
-
-    return run
+def captured_orders(state: DataFrame) -> DataFrame:
+    """A CART whose payment became CAPTURED is PLACED; payments of unknown orders change nothing."""
+    paid = F.col("paid") & (F.col("status") == "CART")
+    return state.filter("status IS NOT NULL").select("order_id", F.when(paid, "PLACED").otherwise(F.col("status")).alias("status"))
 
 
 def channel_route(changes: DataFrame, channels: tuple[str, ...] = ("WEB", "APP")) -> DataFrame:
@@ -197,25 +207,26 @@ def append_handler(path: str, to_rows) -> Handler:
     return run
 
 
-def check_lines_handler(path: str, journals: KeyedLog) -> Handler:
-    """Journal line batches in two ordered steps: faults of the lines first, then descriptions of
-    draft journals the lines belong to."""
-    from tillweave.streaming.changes import chain
-
-    def faults(batch: DataFrame) -> DataFrame:
-        both = (F.col("new.debit_amount") > 0) & (F.col("new.credit_amount") > 0)
-        rate = F.col("new.fx_rate").isNull() & (F.col("new.currency_code") != "GBP")
-        key = F.concat_ws("/", "new.journal_id", "new.line_no")
-        added = batch.filter(F.col("op") == "I")
-        return issues(added.filter(both), "LINE_BOTH_SIDES", "GL_JOURNAL_LINE", key, "both sides").unionByName(
-            issues(added.filter(rate), "LINE_NEEDS_RATE", "GL_JOURNAL_LINE", key, "no rate"))
-
-    def describe(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.filter(F.col("op") == "I").select(F.col("new.journal_id").alias("journal_id")).distinct()
-        here = journals.read(before=batch_id, touched=seen)
-        text = F.concat(F.lit("Journal "), F.col("journal_id").cast("string"))
-        draft = F.col("status") == "DRAFT"
-        journals.append(here.withColumn(
-            "description", F.when(draft, F.substring(nvl("description", text), 1, 300)).otherwise(F.col("description"))), batch_id)
-
-    return chain([append_handler(path, faults), describe])
+def line_faults(batch: DataFrame) -> DataFrame:
+    """Faults of added journal lines, the first of two ordered steps."""
+    both = (F.col("new.debit_amount") > 0) & (F.col("new.credit_amount") > 0)
+    rate = F.col("new.fx_rate").isNull() & (F.col("new.currency_code") != "GBP")
+    key = F.concat_ws("/", "new.journal_id", "new.line_no")
+    added = batch.filter(F.col("op") == "I")
+    return issues(added.filter(both), "LINE_BOTH_SIDES", "GL_JOURNAL_LINE", key, "both sides").unionByName(
+        issues(added.filter(rate), "LINE_NEEDS_RATE", "GL_JOURNAL_LINE", key, "no rate"))
+
+
+def journal_state(journals: DataFrame, lines: DataFrame) -> DataFrame:
+    """The second step: journals and whether a line of theirs was added, as a streaming aggregate."""
+    text = F.lit(None).cast("string")
+    rows = journals.select("journal_id", "status", "description", F.lit(False).alias("touched")).unionByName(
+        lines.filter(F.col("op") == "I").select(F.col("new.journal_id").alias("journal_id"), text.alias("status"), text.alias("description"), F.lit(True).alias("touched")))
+    return rows.groupBy("journal_id").agg(F.max("status").alias("status"), F.max("description").alias("description"), F.max("touched").alias("touched"))
+
+
+def described_journals(state: DataFrame) -> DataFrame:
+    """Draft journals that lines were added to have a description."""
+    text = F.substring(nvl("description", F.concat(F.lit("Journal "), F.col("journal_id").cast("string"))), 1, 300)
+    drafted = F.col("touched") & (F.col("status") == "DRAFT")
+    return state.filter("status IS NOT NULL").select("journal_id", "status", F.when(drafted, text).otherwise(F.col("description")).alias("description"))

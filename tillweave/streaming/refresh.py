@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillweave.functions.values import day_of, month_of
 from tillweave.sources.extracts import publish
+from tillweave.streaming.changes import read_state, run_kept
 
 
 @dataclass(frozen=True)
@@ -85,22 +86,16 @@ class KeptSums:
         """Sum both streams until they are drained; `start` has the stored rows."""
         rows = self._typed(start).union(self._typed(deltas))
         total = rows.groupBy(*self.spec.keys).agg(*[F.sum(n).alias(n) for n in numbers(self.spec)])
-        writer = total.writeStream.outputMode("update").format("noop").option("checkpointLocation", self.checkpoint).queryName(name)
-        query = writer.trigger(availableNow=True).start()
-        query.awaitTermination()
-        return query
+        return run_kept(total, self.checkpoint, name)
 
     def read(self) -> DataFrame:
         """The groups as of the last batch: empty ones are gone, a sum over no values is NULL."""
-        state = self.spark.read.format("statestore").load(self.checkpoint)
         fields = []
         for n in numbers(self.spec):  # a decimal sum keeps a second field in the state
             fields.append(n)
             if isinstance(self.schema[n].dataType, T.DecimalType):
                 fields.append(f"_{n}_empty")
-        stored = state.schema["value"].dataType.fields
-        value = F.col("value").cast(T.StructType([T.StructField(n, f.dataType) for n, f in zip(fields, stored, strict=True)]))
-        rows = state.select("key.*", value.alias("_v")).select(*self.spec.keys, *[F.col(f"_v.{n}").alias(n) for n in numbers(self.spec)])
+        rows = read_state(self.spark, self.checkpoint, fields)
         rows = self._typed(rows).filter(F.col(self.spec.count) != 0)
         return rows.withColumns({n: F.when(F.col(f"{n}_cnt") != 0, F.col(n)) for n in self.spec.sums})
 
