@@ -133,3 +133,26 @@ def test_a_query_goes_on_from_its_state(spark, tmp_path):
     assert seen == {1: 4, 3: 1}
     state = ch.read_state(spark, str(tmp_path / "cp"), ["status", "paid"])
     assert sorted(map(tuple, h.captured_orders(state).collect())) == [(1, "PLACED"), (2, "CART"), (3, "SHIPPED")]
+
+
+def test_mixed_audit_rows(spark):
+    """Changes of several tables in one frame; a table with two rules gives two rows, one without none."""
+    def change(table, op, old, new, kind):
+        df = spark.createDataFrame([(op, old, new)], f"op string, old struct<{kind}>, new struct<{kind}>")
+        return h.as_mixed(df, table)
+
+    frames = [
+        change("loyalty_account", "U", (7, "GOLD", None), (7, "GOLD", 12), "loyalty_id:long,tier_code:string,points_balance:long"),
+        change("gl_journal_line", "D", (3, 2), None, "journal_id:long,line_no:int"),
+        change("order_payment", "U", (1, "OPEN"), (1, "OPEN"), "payment_id:long,status:string"),
+        change("order_payment", "U", (2, "OPEN"), (2, "CAPTURED"), "payment_id:long,status:string"),
+        change("coupon", "D", (5, "X1", None, 4), None, "coupon_id:long,coupon_code:string,promotion_id:long,redemption_count:long"),
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    assert sorted(map(tuple, h.audit_mixed(out).collect()), key=str) == sorted([
+        ("LOYALTY_ACCOUNT", "7", "U", "GOLD|", "GOLD|12"), ("LOYALTY_ACCOUNT", "7", "U", "see application journal", "see application journal"),
+        ("GL_JOURNAL_LINE", "3/2", "D", None, None), ("ORDER_PAYMENT", "2", "U", "OPEN", "CAPTURED"),
+        ("COUPON", "5", "D", "X1|promo=|redemptions=4", None), ("COUPON", "5", "D", "see application journal", None)], key=str)
+    assert len(h.AUDIT_RULES) == 14

@@ -188,11 +188,70 @@ def audited(t):
 
 
 _IMG = "CONCAT(customer_ref, '|', last_name, '|', {0})"
-query("inc_audit", f"""
+query("inc_audit_customer", f"""
 SELECT 'CUSTOMER' AS table_name, CAST(customer_id AS STRING) AS pk_value, op AS action_type, CASE WHEN op <> 'I' THEN {_IMG.format('status')} END AS old_row, CASE WHEN op <> 'D' THEN {_IMG.format('ns')} END AS new_row
 FROM (SELECT *, CASE WHEN customer_id % 5 = 0 THEN 'I' WHEN customer_id % 7 = 0 THEN 'D' WHEN ns <> status THEN 'U' END AS op FROM (
   SELECT *, CASE WHEN customer_id % 3 = 0 THEN 'CLOSED' ELSE status END AS ns FROM rt_customer) WHERE NOT (customer_id % 5 = 0 AND customer_id % 7 = 0)) WHERE op IS NOT NULL""")(audited)
 
+# table, SQL of its rows, the number that decides whether a row is new (0), gone (1) or changed (2), and what changes
+AUDITED = [
+    ("customer", "SELECT customer_id, customer_ref, last_name, status FROM rt_customer", "customer_id", {"status": "'CLOSED'"}),
+    ("loyalty_account", "SELECT loyalty_id, tier_code, points_balance FROM rt_loyalty_account", "loyalty_id", {"points_balance": "points_balance + 5"}),
+    ("gl_journal_line", "SELECT journal_id, line_no FROM rt_gl_journal_line", "journal_id", {}),
+    ("store", "SELECT store_id, closed_date FROM rt_store", "store_id", {"closed_date": "CAST('2001-02-03' AS TIMESTAMP)"}),
+    ("order_payment", "SELECT payment_id, status FROM rt_order_payment", "payment_id", {"status": "'CAPTURED'"}),
+    ("coupon", "SELECT coupon_id, coupon_code, promotion_id, redemption_count FROM rt_coupon", "coupon_id", {}),
+    ("customer_address", "SELECT customer_id, primary_address_id AS address_id, 'HOME' AS address_type FROM rt_customer", "customer_id", {}),
+    ("supplier_product", "SELECT supplier_id, variant_id FROM rt_supplier_product", "variant_id", {}),
+    ("promotion_product", "SELECT DISTINCT o.promotion_id, l.variant_id FROM rt_sales_order o JOIN rt_sales_order_line l ON l.order_id = o.order_id WHERE o.promotion_id IS NOT NULL", "variant_id", {}),
+    ("price_list_item", "SELECT price_list_id, variant_id FROM rt_price_list_item", "variant_id", {}),
+    ("gl_period", "SELECT period_id FROM rt_gl_period", "period_id", {}),
+    ("exchange_rate", "SELECT rate_date, from_currency, to_currency FROM rt_exchange_rate", "EXTRACT(MONTH FROM rate_date)", {}),
+]
+
+
+def audited_frames(t):
+    orders = t.sales_order.filter(c("promotion_id").isNotNull()).select("order_id", "promotion_id")
+    made = {"customer_address": t.customer.select("customer_id", c("primary_address_id").alias("address_id"), F.lit("HOME").alias("address_type")),
+            "promotion_product": orders.join(t.sales_order_line.select("order_id", "variant_id"), "order_id").select("promotion_id", "variant_id").distinct()}
+    for table, _, number, sets in AUDITED:
+        df = made[table] if table in made else getattr(t, table)
+        kind = F.expr(f"pmod({number}, 3)")
+        new = F.struct(*[F.expr(sets[n]).cast(df.schema[n].dataType).alias(n) if n in sets else F.col(n) for n in df.columns])
+        yield table, df.select(F.element_at(F.array(F.lit("I"), F.lit("D"), F.lit("U")), (kind + 1).cast("int")).alias("op"), F.when(kind > 0, F.struct(*df.columns)).alias("old"), F.when(kind == 0, F.struct(*df.columns)).when(kind == 2, new).alias("new"))
+
+
+def audited_all(t):
+    """Changes of all audited tables in one stream."""
+    path = fresh(t, "mixed")
+    mixed = functools.reduce(lambda a, b: a.unionByName(b), [h.as_mixed(df, table) for table, df in audited_frames(t)])
+    mixed.write.parquet(path)
+    stream = t.spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", in_batches(t.spark, path, BATCHES)).parquet(path)
+    return drained(t, stream, h.audit_mixed, "audit").drop("batch", "batch_id")
+
+
+def _audit_sql() -> str:
+    sources, parts = {a[0]: a for a in AUDITED}, []
+    for r in h.AUDIT_RULES:
+        table, rows, number, sets = sources[r.table]
+
+        def text(side, parts_, sets=sets):
+            if parts_ is None or isinstance(parts_, str):
+                return "CAST(NULL AS VARCHAR)" if parts_ is None else f"'{parts_}'"
+            value = lambda f: (sets.get(f.split(":")[0], f.split(":")[0]) if side == "new" else f.split(":")[0])
+            cell = lambda f: f"COALESCE(CAST(CAST({value(f)} AS DATE) AS VARCHAR), '')" if ":" in f else f"COALESCE(CAST({value(f)} AS VARCHAR), '')"
+            return " || ".join(f"'{p}' || {cell(f)}" for p, f in parts_)
+
+        key = " || '/' || ".join(f"COALESCE(CAST(CAST({k[:-5]} AS DATE) AS VARCHAR), '')" if k.endswith(":date") else f"COALESCE(CAST({k} AS VARCHAR), '')" for k in r.key)
+        when = {"store": "closed_date IS NULL", "order_payment": "status <> 'CAPTURED'"}.get(r.table, "TRUE")
+        fresh_image = text("old", r.new)  # a new row shows its own values
+        parts.append(f"""SELECT '{table.upper()}' AS table_name, {key} AS pk_value, op AS action_type, CASE WHEN op <> 'I' THEN {text('old', r.old)} END AS old_row,
+  CASE WHEN op = 'I' THEN {fresh_image} WHEN op = 'U' THEN {text('new', r.new)} END AS new_row FROM (SELECT *, ['I', 'D', 'U'][CAST({number} % 3 AS INT) + 1] AS op FROM ({rows})) WHERE op IN ({', '.join(repr(o) for o in r.ops)}) AND {when}""")
+    return "\nUNION ALL ".join(parts)
+
+
+query("inc_audit", _audit_sql())(audited_all)
+
 query("inc_audit_payment", """
 SELECT CAST(payment_id AS STRING) AS pk_value, status AS old_row, 'CAPTURED' AS new_row FROM rt_order_payment WHERE payment_id % 3 = 0 AND status <> 'CAPTURED'""")(
     lambda t: h.audit_payment_status(ch.diff_changes(t.order_payment, t.order_payment.withColumn("status", F.when(c("payment_id") % 3 == 0, "CAPTURED").otherwise(c("status"))), ["payment_id"]))

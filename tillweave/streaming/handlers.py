@@ -6,6 +6,9 @@ a stateful stream, whose state is read back when it is wanted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +65,79 @@ def audit_store_closing(changes: DataFrame) -> DataFrame:
                                   F.concat(F.lit("closed_date="), F.date_format("new.closed_date", "yyyy-MM-dd"))))
 
 
+@dataclass(frozen=True)
+class AuditRule:
+    """What one trigger writes: key fields, and per image either (prefix, field) pairs, a fixed text
+    or nothing; `when` limits the changes that are written. Fields named like `f:date` are dates."""
+
+    table: str
+    key: tuple[str, ...]
+    old: tuple[tuple[str, str], ...] | str | None = None
+    new: tuple[tuple[str, str], ...] | str | None = None
+    ops: str = "IUD"
+    when: Callable[[Callable[[str, str], Column]], Column] | None = None
+
+    @property
+    def fields(self) -> set[str]:
+        images = [f for image in (self.old, self.new) if isinstance(image, tuple) for _, f in image]
+        return {f.split(":")[0] for f in (*self.key, *images)}
+
+
+def _bars(*fields: str) -> tuple[tuple[str, str], ...]:
+    return tuple(("|" if k else "", f) for k, f in enumerate(fields))
+
+
+_CUSTOMER, _LOYALTY, _STATUS = _bars("customer_ref", "last_name", "status"), _bars("tier_code", "points_balance"), (("", "status"),)
+_ELSEWHERE = "see application journal"
+# The audited tables, their keys and images.
+AUDIT_RULES = [
+    AuditRule("customer", ("customer_id",), _CUSTOMER, _CUSTOMER),
+    AuditRule("loyalty_account", ("loyalty_id",), _LOYALTY, _LOYALTY),
+    AuditRule("gl_journal_line", ("journal_id", "line_no")),
+    AuditRule("store", ("store_id",), "closed_date=NULL", (("closed_date=", "closed_date:date"),), "U", lambda f: f("new", "closed_date:date").isNotNull() & f("old", "closed_date:date").isNull()),
+    AuditRule("order_payment", ("payment_id",), _STATUS, _STATUS, "U", lambda f: f("new", "status") != f("old", "status")),
+    AuditRule("coupon", ("coupon_id",), (("", "coupon_code"), ("|promo=", "promotion_id"), ("|redemptions=", "redemption_count")), None, "D"),
+    *[AuditRule(table, key, _ELSEWHERE, _ELSEWHERE) for table, key in (
+        ("customer_address", ("customer_id", "address_id", "address_type")), ("supplier_product", ("supplier_id", "variant_id")), ("promotion_product", ("promotion_id", "variant_id")),
+        ("price_list_item", ("price_list_id", "variant_id")), ("loyalty_account", ("loyalty_id",)), ("coupon", ("coupon_id",)), ("gl_period", ("period_id",)),
+        ("exchange_rate", ("rate_date:date", "from_currency", "to_currency")),
+    )],
+]
+
+
+def as_mixed(changes: DataFrame, table: str, rules: list[AuditRule] = AUDIT_RULES) -> DataFrame:
+    """Changes of one table in the form that all tables share: table_name, op, and both images as
+    VARIANT, with the fields its rules name."""
+    wanted = set().union(*[r.fields for r in rules if r.table == table])
+    image = lambda side: F.when(F.col(side).isNotNull(), F.to_variant_object(F.struct(*[F.col(f"{side}.{f.name}") for f in changes.schema[side].dataType.fields if f.name in wanted]))).alias(side)
+    return changes.select(F.lit(table).alias("table_name"), "op", image("old"), image("new"))
+
+
+def audit_mixed(changes: DataFrame, rules: list[AuditRule] = AUDIT_RULES) -> DataFrame:
+    """The audit rows of a stream in which changes of all tables lie mixed, one per change and rule."""
+
+    def field(side: str, name: str) -> Column:
+        name, _, kind = name.partition(":")
+        value = F.try_variant_get(F.col(side), f"$.{name}", "timestamp" if kind else "string")
+        return F.date_format(value, "yyyy-MM-dd") if kind else value
+
+    def image(side: str, parts) -> Column:
+        nothing = F.lit(None).cast("string")
+        if parts is None:
+            return nothing
+        text = F.lit(parts) if isinstance(parts, str) else F.concat(*[x for prefix, name in parts for x in (F.lit(prefix), nvl(field(side, name), ""))])
+        return F.when(F.col(side).isNotNull(), text)
+
+    def of(rule: AuditRule) -> Column:
+        key = F.concat_ws("/", *[nvl(F.when(F.col("op") == "D", field("old", k)).otherwise(field("new", k)), "") for k in rule.key])
+        hit = (F.col("table_name") == rule.table) & F.col("op").isin(*rule.ops)
+        if rule.when is not None:
+            hit = hit & F.coalesce(rule.when(field), F.lit(False))
+        return F.when(hit, F.struct(*audit_row(rule.table, key, F.col("op"), image("old", rule.old), image("new", rule.new))))
+
+    return changes.select(F.inline(F.filter(F.array(*map(of, rules)), lambda r: r.isNotNull())))
+
+
 # ---- normalisation on ingest ---------------------------------------------------------------------------
 
 def normalise_rules(table: str, as_of) -> tuple[dict[str, Column], dict[str, Column]]:
