@@ -14,6 +14,7 @@ from tillweave.operators import hierarchy as h
 from tillweave.operators import joins as j
 from tillweave.operators import merge as m
 from tillweave.operators import positions as p
+from tillweave.session import stash
 
 
 def skewed(spark, n=600, seed=3):
@@ -131,7 +132,7 @@ def test_asof_matches_brute_force(spark):
     asks = [(i, rnd.choice("abc"), base + dt.timedelta(hours=rnd.randrange(6000))) for i in range(300)]
     right = spark.createDataFrame([(k, d, v) for (k, d), v in quotes.items()], "k string, d timestamp_ntz, v int")
     left = spark.createDataFrame(asks, "id int, k string, at timestamp_ntz")
-    got = {r["id"]: r["v"] for r in j.asof(left, right, ["k"], "at", "d", ["v"]).collect()}
+    got = {r["id"]: r["v"] for r in j.asof(left, ["k"], "at", (right, "d", ["v"])).collect()}
     for i, k, at in asks:
         known = [d for (kk, d) in quotes if kk == k and d <= at]
         assert got[i] == (quotes[(k, max(known))] if known else None)
@@ -145,3 +146,37 @@ def test_dynamic_predicate_must_be_a_condition(spark):
     assert filter_text(df, None).count() == 5 and filter_text(df, "id > 2").count() == 2
     with pytest.raises(ValueError):
         filter_text(df, "id + 1")
+
+
+def test_asof_with_a_hot_key(spark):
+    """One key holds most rows and fills several slices; times tie, and some slices hold no quote."""
+    rnd = random.Random(5)
+    asks = [(k, rnd.choice("aaaaaaaab") if k % 50 else None, rnd.randrange(1000) if k % 40 else None) for k in range(1500)]
+    quotes = [(key, at, rnd.randrange(10**6)) for key in "ab" for at in sorted(rnd.sample(range(1000), 12))] + [(None, 1, 1), ("a", None, 2), ("c", 3, 3)]
+    stamp = lambda df: df.withColumn("at", F.timestamp_seconds("at").cast("timestamp_ntz"))
+    left = stamp(spark.createDataFrame(asks, "id long, key string, at long")).repartition(5)
+    right = stamp(spark.createDataFrame(quotes, "key string, at long, v long"))
+    late = right.filter("v % 2 = 0").withColumnRenamed("v", "w")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = j.asof(left, ["key"], "at", (right, "at", ["v"]), (late, "at", ["w"])).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+    def newest(key, at, even):
+        fit = [(t, v) for k, t, v in quotes if None not in (key, at, k, t) and k == key and t <= at and (v % 2 == 0 or not even)]
+        return max(fit)[1] if fit else None
+
+    assert sorted((r.id, r.v, r.w) for r in out) == [(i, newest(k, t, False), newest(k, t, True)) for i, k, t in asks]
+
+
+def test_climb_by_doubling(spark, monkeypatch):
+    """A line of 5,000 in 14 rounds at most; rings, missing parents and lone nodes."""
+    n, kept = 5000, []
+    line = spark.createDataFrame([(k, k - 1 if k else None) for k in range(n)], "id long, up long")
+    monkeypatch.setattr(h, "stash", lambda df: kept.append(1) or stash(df))
+    folded = h.climb(line, "id", "up", {"depth": F.lit(1)}, {"depth": F.col("depth") + F.col("_up_depth")})
+    assert len(kept) <= 15 and folded.filter("depth <> id + 1 OR _up IS NOT NULL").isEmpty() and folded.count() == n
+    odd = [(1, 2), (2, 3), (3, 1), (4, 3), (5, 4), (6, 99), (7, 7), (8, None), (9, 8), (10, None)]
+    got = {r.id: r.depth for r in h.depth_all(spark.createDataFrame(odd, "id long, up long"), "id", "up").collect()}
+    assert got == {1: 3, 2: 3, 3: 3, 4: 4, 5: 5, 6: 1, 7: 1, 8: 1, 9: 2, 10: 1}

@@ -115,10 +115,41 @@ def path_all(df: DataFrame, id: str, parent: str, name: str, sep: str = " > ",
     return one.select(id, F.when(F.col("_n") > 1, ambiguous).otherwise(F.col("path")).alias("path"))
 
 
+def climb(df: DataFrame, id: str, parent: str, start: dict[str, Column], join: dict[str, Column], rounds: int | None = None) -> DataFrame:
+    """Fold the ancestors of every node by pointer doubling: one row per node, as many rounds as the
+    logarithm of the depth.
+
+    A row holds the values of the nodes from itself up to, and without, `_up`. `start` are those of
+    the node alone; a round puts `join` of the own values and those of the row of `_up`, named
+    `_up_<name>`, in their place. `_up` is NULL at the end of a climb; what is not at its end after
+    `rounds` (by default enough for all nodes in one line) goes on or runs in a ring. Ids are unique.
+    """
+    known = df.select(F.col(id).alias("_there"))
+    there = df.join(known, F.col(parent) == F.col("_there"), "left")
+    state = stash(there.select(F.col(id), F.col("_there").alias("_up"), *[c.alias(n) for n, c in start.items()]))
+    if rounds is None:
+        rounds = max(1, state.count()).bit_length()
+    for _ in range(rounds):
+        if state.filter(F.col("_up").isNotNull()).isEmpty():
+            break
+        above = state.select(F.col(id).alias("_above"), F.col("_up").alias("_next"), *[F.col(n).alias(f"_up_{n}") for n in start])
+        both = state.join(above, F.col("_up") == F.col("_above"), "left")
+        more = F.col("_above").isNotNull()
+        state = stash(both.select(id, F.when(more, F.col("_next")).alias("_up"), *[F.when(more, c).otherwise(F.col(n)).alias(n) for n, c in join.items()]))
+    return state
+
+
 def depth_all(df: DataFrame, id: str, parent: str) -> DataFrame:
-    """Depth of every node counted by climbing; rings stop the climb."""
-    climbed = hierarchy(df.select(id, parent), id, parent, start=F.lit(True), direction="up", roots={"_of": id})
-    return climbed.groupBy(F.col("_of").alias(id)).agg(F.max("level").alias("depth"))
+    """Depth of every node: how many rows a climb from it meets, each once. Nodes below or on a ring,
+    which no climb leaves, are walked row by row; they are the damaged part of the tree alone."""
+    base = stash(df.select(id, parent))
+    folded = climb(base, id, parent, {"depth": F.lit(1)}, {"depth": F.col("depth") + F.col("_up_depth")})
+    whole = folded.filter(F.col("_up").isNull()).select(id, "depth")
+    ringed = folded.filter(F.col("_up").isNotNull()).select(id)
+    if ringed.isEmpty():
+        return whole
+    walked = hierarchy(base.join(ringed, id, "left_semi"), id, parent, start=F.lit(True), direction="up", roots={"_of": id})
+    return whole.unionByName(walked.groupBy(F.col("_of").alias(id)).agg(F.max("level").alias("depth")))
 
 
 def leaves(df: DataFrame, id: str, parent: str, root) -> DataFrame:

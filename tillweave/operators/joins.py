@@ -6,10 +6,11 @@ None of them carries a broadcast hint: small sides are broadcast by the planner'
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import add_months_keep_end, as_time, nvl
+from tillweave.operators.positions import carry_last
 from tillweave.operators.scalars import beside
 from tillweave.sources.tables import RetailTables
 
@@ -106,29 +107,34 @@ def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inne
     return a.join(r, [a[k].eqNullSafe(r[f"_r_{k}"]) for k in keys], how).drop(*[f"_r_{k}" for k in keys])
 
 
-def asof(
-    left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, values: list[str],
-) -> DataFrame:
-    """Attach `values` of the newest right row at or before each left row.
+def asof(left: DataFrame, on: list[str], left_ts: str, *rights: tuple[DataFrame, str, list[str]]) -> DataFrame:
+    """Attach to each left row, of each right side (frame, time, values), the values of its newest
+    row at or before the left row's time.
 
-    Right rows become validity intervals [ts, next ts). Both sides are cut into calendar months:
-    an interval is exploded over the months it covers and joins the left rows of its month, so the
-    work is an equi-join on (key, month) and a hot key spreads over its months. `right` must have
-    one row per key and time (see keep_last).
+    All sides are sorted together by key and time, right rows first at equal times, in one range
+    shuffle; inside a slice the last right row is carried forward, and one carry per slice brings in
+    what the slices before it end with. No pairs are made, the output of every step has as many rows
+    as its input, and a key that holds most rows is spread over the slices it fills. Right rows have
+    one row per key and time (see keep_last); NULL keys and times match nothing.
     """
-    spans = right.select(*on, F.col(right_ts).alias("_from"), *values).withColumn(
-        "_to", F.lead("_from").over(Window.partitionBy(*on).orderBy("_from")))
-    month = lambda c: F.trunc(c.cast("date"), "MM")
-    top = left.agg(F.max(left_ts).alias("_top"))  # one value: intervals end no later than the newest left row
-    spans = beside(spans, top)
-    spans = spans.filter(F.col("_from") <= F.col("_top"))
-    last = F.least(F.coalesce(F.col("_to"), F.col("_top")), F.col("_top"))
-    spans = spans.withColumn("_month", F.explode(F.sequence(month(F.col("_from")), month(last), F.expr("INTERVAL 1 MONTH")))).drop("_top")
-    rows = left.withColumn("_month", month(F.col(left_ts)))
-    r = spans.select(*[F.col(k).alias(f"_r_{k}") for k in on], F.col("_month").alias("_rm"), "_from", "_to", *values)
-    cond = [F.col(k) == F.col(f"_r_{k}") for k in on] + [F.col("_month") == F.col("_rm"), F.col(left_ts) >= F.col("_from"),
-                                                        F.col("_to").isNull() | (F.col(left_ts) < F.col("_to"))]
-    return rows.join(r, cond, "left").drop("_month", "_rm", "_from", "_to", *[f"_r_{k}" for k in on])
+    when = lambda c: F.col(c).cast("timestamp_ntz").alias("_at")
+    kinds = [F.lit(None).cast(_struct_of(df, values)) for df, _, values in rights]
+    held = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    row_type = left.select(held.alias("r")).schema["r"].dataType
+    both = left.select(*on, when(left_ts), F.lit(1).alias("_kind"), held.alias("_row"), *[k.alias(f"_v{i}") for i, k in enumerate(kinds)])
+    for i, (df, ts, values) in enumerate(rights):
+        known = df.filter(F.col(ts).isNotNull())
+        for k in on:
+            known = known.filter(F.col(k).isNotNull())
+        own = [F.struct(*values).alias(f"_v{i}") if j == i else k.alias(f"_v{j}") for j, k in enumerate(kinds)]
+        both = both.unionByName(known.select(*on, when(ts), F.lit(0).alias("_kind"), F.lit(None).cast(row_type).alias("_row"), *own))
+    carried = carry_last(both, on, [F.col("_at"), F.col("_kind")], [f"_v{i}" for i in range(len(rights))])
+    found = carried.filter("_kind = 1")
+    return found.select("_row.*", *[F.col(f"_v{i}.{v}").alias(v) for i, (_, _, values) in enumerate(rights) for v in values])
+
+
+def _struct_of(df: DataFrame, values: list[str]):
+    return df.select(F.struct(*values).alias("s")).schema["s"].dataType
 
 
 def fx_asof(df: DataFrame, rates: DataFrame, from_: str, to: str, date: str) -> DataFrame:
@@ -142,11 +148,10 @@ def fx_asof(df: DataFrame, rates: DataFrame, from_: str, to: str, date: str) ->
     asked = df.select(F.col(from_).alias("from_currency"), F.col(to).alias("to_currency"), F.col(date).alias("on_date")).filter(
         (F.col("from_currency") != F.col("to_currency")) & F.col("on_date").isNotNull()).distinct()
     quotes = rates.groupBy("from_currency", "to_currency", "rate_date").agg(F.max("rate").alias("rate"))
-    direct = asof(asked, quotes, ["from_currency", "to_currency"], "on_date", "rate_date", ["rate"])
     swapped = quotes.filter(F.col("rate") != 0).select(
         F.col("to_currency").alias("from_currency"), F.col("from_currency").alias("to_currency"), "rate_date",
         F.col("rate").alias("inverse"))
-    both = asof(direct, swapped, ["from_currency", "to_currency"], "on_date", "rate_date", ["inverse"])
+    both = asof(asked, ["from_currency", "to_currency"], "on_date", (quotes, "rate_date", ["rate"]), (swapped, "rate_date", ["inverse"]))
     one = F.lit(1).cast("decimal(18,8)")
     found = both.select(
         F.col("from_currency").alias("_f"), F.col("to_currency").alias("_t"), F.col("on_date").alias("_d"),

@@ -154,3 +154,30 @@ def running_total(df: DataFrame, part: list[str], order: list[Column], col: str,
     whole = number_rows(df, [*[F.col(p) for p in part], *order], "_p", {"_run": col})
     base = whole.groupBy(*part).agg(F.min_by(F.col("_run") - F.coalesce(F.col(col), F.lit(0)), "_p").alias("_base"))
     return _null_safe(whole, base, part).withColumn(name, F.col("_run") - F.col("_base")).drop("_p", "_run", "_base")
+
+
+def carry_last(df: DataFrame, part: list[str], order: list[Column], cols: list[str]) -> DataFrame:
+    """Each column's last value that is not NULL, of the group's rows up to and including each row.
+
+    A segmented scan: slices of one range shuffle carry inside themselves; of each slice a row
+    remains with its first and last group and what that last group's values end with, and from
+    these rows, a few thousand, comes what a slice's first group starts with.
+    """
+    keys = [F.col(k) for k in part]
+    sliced = df.repartitionByRange(_slices(df), *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_slice", F.spark_partition_id())
+    kept = stash(sliced.withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
+    group = F.struct(*keys)
+    inside = Window.partitionBy("_slice", *part).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = kept.withColumns({f"_c_{c}": F.last(c, ignorenulls=True).over(inside) for c in cols}).withColumn("_group", group)
+    ends = kept.groupBy("_slice", *part).agg(F.min("_seq").alias("_first"), F.max("_seq").alias("_last"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in cols])
+    ends = ends.groupBy("_slice").agg(
+        F.min_by(group, "_first").alias("_head"), F.max_by(group, "_last").alias("_tail"), *[F.max_by(F.struct(c), "_last").alias(c) for c in cols])
+    same_tail = Window.partitionBy("_tail").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumns({c: F.last(F.col(f"{c}.{c}"), ignorenulls=True).over(same_tail) for c in cols})
+    before = Window.orderBy("_slice")  # one row per slice
+    carry = ends.select("_slice", "_head", F.lag("_tail").over(before).alias("_tail"), *[F.lag(c).over(before).alias(f"_b_{c}") for c in cols])
+    carry = carry.filter(F.col("_head").eqNullSafe(F.col("_tail"))).drop("_tail")
+    joined = out.join(carry, "_slice", "left")
+    comes = F.col("_group").eqNullSafe(F.col("_head"))
+    values = {c: F.coalesce(f"_c_{c}", F.when(comes, F.col(f"_b_{c}"))) for c in cols}
+    return joined.withColumns(values).select(*df.columns)

@@ -560,11 +560,15 @@ def manager_chain(t: RetailTables, max_depth: int = 20) -> DataFrame:
     manager row is missing, is NULL from there on, and so is its text.
     """
     base = t.employee.select("employee_id", "employee_number", "manager_id")
-    climbed = tree.hierarchy(base, "employee_id", "manager_id", start=F.lit(True), direction="up",
-                             paths={"chain": ("employee_number", " <- ")}, roots={"_of": "employee_id"}, max_depth=max_depth + 1)
-    whole = climbed.groupBy("_of").agg(F.max(F.struct("level", "chain", "manager_id")).alias("_top"))
-    text = F.when(F.col("_top.manager_id").isNull(), F.substring(F.col("_top.chain"), 5, 1_000_000))
-    return whole.select(F.col("_of").alias("employee_id"), text.alias("manager_chain"))
+    most = max_depth + 1
+    length = F.col("n") + F.col("_up_n")
+    folded = tree.climb(
+        base, "employee_id", "manager_id",
+        {"n": F.lit(1), "chain": F.col("employee_number"), "whole": F.col("manager_id").isNull()},
+        {"n": F.least(length, F.lit(most + 1)), "chain": F.when(length <= most, F.concat("chain", F.lit(" <- "), "_up_chain")), "whole": F.col("_up_whole")},
+        rounds=most.bit_length())
+    text = F.when(F.col("_up").isNull() & F.col("whole") & (F.col("n") <= most), F.col("chain"))
+    return folded.select("employee_id", text.alias("manager_chain"))
 
 
 def rebuild_levels(categories: DataFrame, max_depth: int = 12) -> DataFrame:
