@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillweave.catalog.pricing import _PICKED, REQ
@@ -11,6 +14,7 @@ from tillweave.functions.values import as_time, nvl
 from tillweave.operators import merge as m
 from tillweave.operators.aggregates import explode_legs
 from tillweave.operators.positions import assign_ids
+from tillweave.operators.scalars import beside
 from tillweave.plans import batch as b
 from tillweave.plans import catalogue as cat
 from tillweave.plans import finance as fin
@@ -18,6 +22,7 @@ from tillweave.plans import inventory as inv
 from tillweave.plans import loyalty as loy
 from tillweave.plans import orders as ords
 from tillweave.plans import procurement as proc
+from tillweave.session import shared_dir
 from tillweave.sources import extracts as ex
 from tillweave.sources.binding import AS_OF
 
@@ -259,11 +264,11 @@ FROM {_POREQ} r LEFT JOIN rt_supplier s ON s.supplier_id = r.supplier_id WHERE s
 
 
 def _line_requests(t):
-    return t.purchase_order_line.filter("line_no % 4 = 0").select(
+    return t.purchase_order_line.select(
         "po_id", c("line_no").alias("seq"), (c("variant_id") + 1).alias("variant_id"), c("qty_ordered").alias("qty"), F.when(c("line_no") % 8 == 0, c("unit_cost")).alias("unit_cost"))
 
 
-_LREQ = "(SELECT po_id, line_no AS seq, variant_id + 1 AS variant_id, qty_ordered AS qty, CASE WHEN line_no % 8 = 0 THEN unit_cost END AS unit_cost FROM rt_purchase_order_line WHERE line_no % 4 = 0)"
+_LREQ = "(SELECT po_id, line_no AS seq, variant_id + 1 AS variant_id, qty_ordered AS qty, CASE WHEN line_no % 8 = 0 THEN unit_cost END AS unit_cost FROM rt_purchase_order_line)"
 _LNEW = f"""(SELECT r.po_id, COALESCE(x.m, 0) + ROW_NUMBER() OVER (PARTITION BY r.po_id ORDER BY r.seq, r.variant_id) AS line_no, r.variant_id, r.qty,
   COALESCE(r.unit_cost, (SELECT MIN(sp.unit_cost) FROM rt_supplier_product sp WHERE sp.supplier_id = p.supplier_id AND sp.variant_id = r.variant_id AND sp.is_primary_source = 'Y'), 0) AS cost
   FROM {_LREQ} r JOIN rt_purchase_order p ON p.po_id = r.po_id LEFT JOIN (SELECT po_id, MAX(line_no) AS m FROM rt_purchase_order_line GROUP BY 1) x ON x.po_id = r.po_id)"""
@@ -565,6 +570,10 @@ JOIN rt_product_category c ON c.category_id = p.category_id WHERE c.category_cod
 query("job_interface_batch", """
 SELECT 'PIM_STAGED' AS rule_code, 'product' AS entity_name, CAST(variant_id AS STRING) AS entity_key, 'INFO' AS severity, CONCAT('REF-1 staged variant ', CAST(variant_id AS STRING)) AS detail FROM rt_product_variant WHERE is_active = 'Y'""")(
     lambda t: b.interface_batch(t, "PIM", "IN", 0, None, "REF-1"))
+query("job_interface_batch_sync", """
+SELECT rule_code, entity_name, entity_key, detail FROM rt_data_quality_issue
+UNION ALL SELECT 'PIM_SYNC', 'product', CAST(variant_id AS STRING), 'REF-4' FROM rt_product_variant WHERE is_active = 'Y'""")(
+    lambda t: b.interface_sync(t.data_quality_issue, b.interface_batch(t, "PIM", "IN", 1, None, "REF-4"), AS_OF).select("rule_code", "entity_name", "entity_key", "detail"))
 query("job_interface_batch_count", "SELECT 'POS_DYN' AS rule_code, 'sales_order_line' AS entity_key, CONCAT('REF-2 rows=', CAST(COUNT(*) AS STRING)) AS detail FROM rt_sales_order_line")(
     lambda t: b.interface_batch(t, "POS", "OUT", 2, None, "REF-2", "sales_order_line").select("rule_code", "entity_key", "detail"))
 query("job_interface_batch_routes", """
@@ -591,7 +600,32 @@ _EXTRACT = """SELECT o.order_id, o.order_number, STRFTIME(o.order_ts, '%Y-%m-%dT
   CAST(CAST(o.subtotal_amount - o.discount_amount AS DECIMAL(14,2)) AS STRING) AS net_amount FROM rt_sales_order o JOIN rt_store s ON s.store_id = o.store_id
 WHERE o.order_ts >= CAST('{0}' AS TIMESTAMP) AND o.order_ts < CAST('{1}' AS TIMESTAMP)"""
 query("sink_sales_extract", _EXTRACT.format("1998-01-01", "1999-01-01"))(lambda t: ex.sales_extract(t, "1998-01-01", "1998-12-31"))
-query("job_export_daily", _EXTRACT.format("1998-03-02", "1998-03-03"))(lambda t: ex.sales_extract(t, "1998-03-02", "1998-03-02"))
+
+
+def _folder(t, name: str) -> str:
+    return os.path.join(shared_dir(t.spark), name, uuid.uuid4().hex)
+
+
+def _exported(t):
+    """A day's export as its file has it, beside the record of its run."""
+    out = _folder(t, "export")
+    path = b.export_daily(t, "1998-03-02", out)
+    log = t.spark.read.parquet(f"{out}/job_run_log").select("job_name", c("status").alias("run_status"), c("rows_processed").alias("run_rows"))
+    return beside(t.spark.read.option("header", True).schema("order_id long, order_number string, order_ts string, store_code string, channel string, currency string, net_amount string").csv(path), log)
+
+
+def _export_fails(t):
+    """The second export finds the first one's file: its error is recorded and nothing is raised."""
+    out = _folder(t, "export")
+    for _ in range(2):
+        b.export_daily(t, "1998-03-02", out)
+    return t.spark.read.parquet(f"{out}/job_run_log").select("job_name", "status", F.coalesce("rows_processed", F.lit(-1)).alias("rows"), c("message").contains("already exists").alias("says_why"))
+
+
+_DAY = _EXTRACT.format("1998-03-02", "1998-03-03")
+query("job_export_daily", f"SELECT x.*, 'EXPORT_DAILY_SALES' AS job_name, 'SUCCESS' AS run_status, COUNT(*) OVER () AS run_rows FROM ({_DAY}) x")(_exported)
+query("job_export_daily_failure", f"""SELECT 'EXPORT_DAILY_SALES' AS job_name, 'SUCCESS' AS status, COUNT(*) AS rows, CAST(NULL AS BOOLEAN) AS says_why FROM ({_DAY})
+UNION ALL SELECT 'EXPORT_DAILY_SALES', 'FAILED', -1, TRUE""")(_export_fails)
 
 _LINE = """CONCAT(LPAD(CAST(l.line_no AS STRING), 4, ' '), ' ', RPAD(SUBSTR(pv.variant_sku, 1, 20), 22, ' '), RPAD(SUBSTR(p.product_name, 1, 40), 42, ' '),
   LPAD(CAST(CAST(l.qty AS DECIMAL(12,3)) AS STRING), 12, ' '), LPAD(CAST(CAST(l.unit_price AS DECIMAL(12,4)) AS STRING), 14, ' '),
@@ -603,10 +637,17 @@ FROM rt_sales_order o JOIN rt_store s ON s.store_id = o.store_id LEFT JOIN (
   SELECT l.order_id, STRING_AGG({_LINE}, '' ORDER BY l.line_no, l.variant_id, {_LINE}) AS body FROM rt_sales_order_line l JOIN rt_product_variant pv ON pv.variant_id = l.variant_id
   JOIN rt_product p ON p.product_id = pv.product_id GROUP BY 1) x ON x.order_id = o.order_id""")(lambda t: ex.order_documents(t, "now"))
 
+def _archived(t):
+    """Every year with orders, written one folder a year and read back."""
+    years = [r[0] for r in t.sales_order.select(F.year("order_ts")).distinct().collect() if r[0] is not None]  # a row a year
+    path = _folder(t, "archive")
+    ex.write_archive(ex.archive_orders(t, years, 50_000, 40), path)
+    return t.spark.read.parquet(path).select("archive_year", "order_id", "line_no", "variant_id", "amount_ok", "qty_ok")
+
+
 query("sink_archive_year", f"""
 SELECT CAST(EXTRACT(YEAR FROM o.order_ts) AS BIGINT) AS archive_year, o.order_id, l.line_no, l.variant_id, CASE WHEN {NET} + l.tax_amount BETWEEN 0 AND 50000 THEN 'Y' ELSE 'N' END AS amount_ok,
-  CASE WHEN l.qty <= 40 THEN 'Y' ELSE 'N' END AS qty_ok FROM rt_sales_order o JOIN rt_sales_order_line l ON l.order_id = o.order_id WHERE EXTRACT(YEAR FROM o.order_ts) IN (1996, 1998)""")(
-    lambda t: ex.archive_orders(t, [1996, 1998], 50_000, 40).select("archive_year", "order_id", "line_no", "variant_id", "amount_ok", "qty_ok"))
+  CASE WHEN l.qty <= 40 THEN 'Y' ELSE 'N' END AS qty_ok FROM rt_sales_order o JOIN rt_sales_order_line l ON l.order_id = o.order_id""")(_archived)
 
 
 def _feed(t):
@@ -630,12 +671,7 @@ MOVES = ex.PartitionSpec(ts="movement_ts", list_col="movement_type", values=("RE
 
 
 def _partitioned(t):
-    import os
-    import uuid
-
-    from tillweave.session import shared_dir
-
-    path = os.path.join(shared_dir(t.spark), "partitioned", uuid.uuid4().hex)
+    path = _folder(t, "partitioned")
     ex.write_partitioned(t.inventory_movement, MOVES, path)
     return ex.read_partitioned(t.spark, path, MOVES, "1997-03-10", "1998-02-01", ("SALE", "ADJUST")).select("movement_id", "variant_id", "movement_type", "part_list")
 
