@@ -59,3 +59,14 @@ def test_hostile_rows(hostile, spark):
     assert clean.columns == docs.columns and clean.count() == len(rows) - 2
     assert decontam.decontaminate(docs, bench.limit(0)).count() == len(rows)
     assert decontam.report(docs.limit(0), bench).count() == 0
+
+
+def test_taken_name_and_split_items(make, spark):
+    """A column named like the result stays; rows of one item_id in different blocks are one item."""
+    words = lambda tag: " ".join(f"{tag}{k}" for k in range(12))
+    docs = make([(1, words("a") + " and " + words("b"), "s"), (2, "nothing of that", "s")]).withColumnRenamed("source", "_found")
+    bench = spark.createDataFrame([(None, words("a")), (None, words("b")), (7, words("c"))], "item_id long, text string")
+    out = decontam.with_findings(docs, bench, block_bytes=40)
+    assert out.columns == [*docs.columns, "_found_"]
+    found = {r.doc_id: r["_found_"] for r in out.collect()}
+    assert found[1].n_hit == 24 and {m.item_id for m in found[1].matches} == {""} and found[2].n_hit == 0
