@@ -17,7 +17,7 @@ HEADLINE = [
     "v_gl_journal_balance", "v_sales_channel_pivot", "mv_sales_daily_store", "mv_sales_monthly_category", "mv_customer_rfm",
     "hier_category_tree", "hier_gl_climb", "join_asof_fx", "job_effective_price", "job_tax_1", "job_movement_apply",
     "job_basket_validate", "job_loyalty_redeem", "job_journal_post", "dq_check_constraints", "dq_orphans", "rec_canonical",
-    "rec_compare", "rec_cell_diff", "sink_order_document", "inc_fast_refresh", "inc_audit",
+    "rec_compare", "rec_cell_diff", "sink_order_document", "inc_fast_refresh", "inc_audit_customer", "inc_audit",
 ]
 
 

@@ -71,19 +71,21 @@ FROM rt_sales_order WHERE NOT (order_id % 11 = 0 AND order_id % 13 = 0) AND (ord
 # ---- incremental aggregates --------------------------------------------------------------------------------
 
 LINE = ["order_id", "line_no", "variant_id", "qty", "unit_price", "discount_amount", "tax_amount"]
-HEAD = ["store_id", "order_ts", "currency_code", "channel_code", "category_id", "category_code"]
+DAY_HEAD = ["store_id", "order_ts", "currency_code"]
+MONTH_HEAD = ["order_ts", "currency_code", "channel_code", "category_id", "category_code"]
 
 
-def line_changes(t):
+def line_changes(t, head: list[str]):
     """The lines of odd orders are stored; a stream then adds the even ones, deletes every fifth and
-    changes others. The images carry what the aggregates group by, as the capture wrote it."""
+    changes others. The images carry what the aggregate groups by, as the capture wrote it."""
+    lines = t.sales_order_line.select(*LINE).join(t.sales_order.select("order_id", *[n for n in head if "category" not in n]), "order_id")
     categories = (t.product_variant.select("variant_id", "product_id").join(t.product.select("product_id", "category_id"), "product_id")
                   .join(t.product_category.select("category_id", "category_code"), "category_id").drop("product_id"))
-    lines = t.sales_order_line.select(*LINE).join(t.sales_order.select("order_id", *HEAD[:4]), "order_id").join(categories, "variant_id").select(*LINE, *HEAD)
+    lines = (lines.join(categories, "variant_id") if "category_id" in head else lines).select(*LINE, *head)
     stored = t.sales_order_line.filter("order_id % 2 = 1")
     insert, gone, moved = c("order_id") % 2 == 0, c("order_id") % 5 == 0, c("order_id") % 5 == 1
-    row, nothing = F.struct(*LINE, *HEAD), F.lit(None)
-    more = F.struct(*[(c(n) + 1).cast("decimal(12,3)").alias(n) if n == "qty" else c(n) for n in (*LINE, *HEAD)])
+    row, nothing = F.struct(*LINE, *head), F.lit(None)
+    more = F.struct(*[(c(n) + 1).cast("decimal(12,3)").alias(n) if n == "qty" else c(n) for n in (*LINE, *head)])
     changes = lines.select(
         F.when(insert, "I").when(gone, "D").when(moved, "U").alias("op"), F.when(~insert, row).otherwise(nothing).alias("old"),
         F.when(insert, row).when(moved, more).alias("new")).filter("op IS NOT NULL")
@@ -100,7 +102,7 @@ def kept(t, start, spec, deltas, name: str):
 
 
 def streamed_daily(t):
-    before, changes, lines = line_changes(t)
+    before, changes, lines = line_changes(t, DAY_HEAD)
     return kept(t, mviews.sales_daily_store(before), rf.DAILY, rf.daily_deltas(feed(t, changes, lines)), "daily")
 
 
@@ -112,7 +114,7 @@ FROM rt_sales_order o JOIN {_AFTER} l ON l.order_id = o.order_id GROUP BY 1, 2,
 
 
 def streamed_monthly(t):
-    before, changes, lines = line_changes(t)
+    before, changes, lines = line_changes(t, MONTH_HEAD)
     return kept(t, mviews.sales_monthly_category(before), rf.MONTHLY, rf.monthly_deltas(feed(t, changes, lines)), "monthly")
 
 
