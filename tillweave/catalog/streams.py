@@ -126,8 +126,11 @@ JOIN rt_product p ON p.product_id = pv.product_id JOIN rt_product_category c ON
 
 
 STOCK = ["location_id", "variant_id", "qty_on_hand", "qty_reserved", "reorder_point"]
-LOW = F.when(c("reorder_point").isNotNull() & (c("qty_on_hand") < c("reorder_point") + c("qty_reserved")), 1).otherwise(0).cast("bigint")
-MEASURES = {"qty_on_hand": c("qty_on_hand"), "qty_reserved": c("qty_reserved"), "below_reorder": LOW}
+
+
+def measures():
+    low = F.when(c("reorder_point").isNotNull() & (c("qty_on_hand") < c("reorder_point") + c("qty_reserved")), 1).otherwise(0).cast("bigint")
+    return {"qty_on_hand": c("qty_on_hand"), "qty_reserved": c("qty_reserved"), "below_reorder": low}
 
 
 def stock_changes(t):
@@ -138,7 +141,7 @@ def stock_changes(t):
 
 def streamed_stock(t):
     stock, changes = stock_changes(t)
-    return kept(t, rf.complete(stock, rf.STOCK, MEASURES), rf.STOCK, rf.stock_deltas(feed(t, changes, stock)), "stock")
+    return kept(t, rf.complete(stock, rf.STOCK, measures()), rf.STOCK, rf.stock_deltas(feed(t, changes, stock)), "stock")
 
 
 query("inc_fast_refresh_stock", f"""
@@ -152,9 +155,9 @@ def refreshed_by_mode(t):
     fast attempt meets a purged log, one fails on the executors while it writes."""
     stock, changes = stock_changes(t)
     log = stash(assign_ids(changes, [c("old.location_id"), c("old.variant_id")], name="seq"))
-    first = stash(rf.complete(stock, rf.STOCK, MEASURES))
+    first = stash(rf.complete(stock, rf.STOCK, measures()))
     now = stock.withColumn("qty_on_hand", F.when(c("variant_id") % 4 == 0, (c("qty_on_hand") - 100).cast("decimal(14,3)")).otherwise(c("qty_on_hand")))
-    delta = rf.deltas(rf.signed(log).select("row.*", "sign"), rf.STOCK, MEASURES)
+    delta = rf.deltas(rf.signed(log).select("row.*", "sign"), rf.STOCK, measures())
 
     def attempt(case: str, mode: str, fast: bool = True, purged: int = 0, broken: bool = False):
         path = fresh(t, "mv_mode")
@@ -162,7 +165,7 @@ def refreshed_by_mode(t):
         merged = rf.fast_refresh(published(t.spark, path), delta, rf.STOCK)
         if broken:  # some of the groups are written before the fault
             merged = merged.withColumn("location_count", F.when(c("variant_id") % 64 == 1, F.raise_error(F.lit("lost"))).otherwise(c("location_count")).cast("bigint"))
-        done = rf.refresh(mode, path, lambda: rf.complete(now, rf.STOCK, MEASURES), (lambda: merged) if fast else None, lambda: rf.covers(log.filter(c("seq") > purged), 0))
+        done = rf.refresh(mode, path, lambda: rf.complete(now, rf.STOCK, measures()), (lambda: merged) if fast else None, lambda: rf.covers(log.filter(c("seq") > purged), 0))
         return published(t.spark, path).agg(F.count("*").alias("groups"), F.sum("qty_on_hand").alias("qty_on_hand")).select(F.lit(case).alias("attempt"), F.lit(done).alias("mode"), "groups", "qty_on_hand")
 
     made = [attempt("complete", "C"), attempt("fast", "F"), attempt("either", "?"), attempt("not additive", "?", fast=False), attempt("log purged", "?", purged=1), attempt("write fails", "?", broken=True)]
