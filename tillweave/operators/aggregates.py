@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import as_col, order_nulls
-from tillweave.operators.positions import with_part_total
+from tillweave.operators.positions import with_percentile
 from tillweave.operators.scalars import beside
 
 
@@ -37,9 +37,8 @@ def keep_first_over(df: DataFrame, part: list[str], order: str, value: str, name
 
 
 def median_over(df: DataFrame, part: list[str], col: str, name: str) -> DataFrame:
-    """Continuous median of each group, attached to its rows. The aggregate merges value counts
-    map-side, so repeated values of a hot group collapse before the shuffle."""
-    return with_part_total(df, part, {name: F.percentile(F.col(col).cast("double"), 0.5)})
+    """Continuous median of each group, attached to its rows."""
+    return with_percentile(df, part, col, 0.5, name)
 
 
 def pivot_fixed(df: DataFrame, keys: list[str], col: str, values: list[str], aggs: list[Column]) -> DataFrame:

@@ -7,6 +7,8 @@ a third of the slices instead of landing in one window task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +128,28 @@ def with_part_total(df: DataFrame, part: list[str], totals: dict[str, Column]) -
     return _null_safe(df, agg, part)
 
 
+def percentile_by(df: DataFrame, part: list[str], col: str, p: float, name: str) -> DataFrame:
+    """Continuous percentile `p` of each group, one row per group; NULL for a group without values.
+
+    Equal values are counted together before they are sorted, and the two neighbours of the wanted
+    rank are found from running counts, so no task holds the values of a group.
+    """
+    counts = df.groupBy(*part, F.col(col).cast("double").alias("_x")).agg(F.count(F.col(col).cast("double")).alias("_n"))
+    run = number_rows(counts, [*[F.col(k) for k in part], F.col("_x")], "_p", {"_to": "_n"}).withColumn("_from", F.col("_to") - F.col("_n"))
+    groups = run.groupBy(*part).agg(F.min("_from").alias("_base"), F.max("_to").alias("_end"))
+    rows = _null_safe(run, groups, part).withColumn("_at", (F.col("_end") - F.col("_base") - 1) * F.lit(p))
+    at = lambda k: F.max(F.when((F.col("_from") - F.col("_base") <= k) & (k < F.col("_to") - F.col("_base")), F.col("_x")))
+    low, high = F.floor("_at"), F.ceil("_at")
+    found = rows.groupBy(*part).agg(F.max("_at").alias("_at"), at(low).alias("_lo"), at(high).alias("_hi"))
+    between = (high - F.col("_at")) * F.col("_lo") + (F.col("_at") - low) * F.col("_hi")
+    return found.select(*part, F.when(low == high, F.col("_lo")).otherwise(between).alias(name))
+
+
+def with_percentile(df: DataFrame, part: list[str], col: str, p: float, name: str) -> DataFrame:
+    """Attach the continuous percentile `p` of a row's group."""
+    return _null_safe(df, percentile_by(df, part, col, p, name), part)
+
+
 def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, name: str = "rn") -> DataFrame:
     """The k first rows of each group. The rank filter is pushed below the shuffle
     (WindowGroupLimit), so each map task sends at most k rows of a group, hot or not."""
@@ -157,27 +181,38 @@ def running_total(df: DataFrame, part: list[str], order: list[Column], col: str,
 
 
 def carry_last(df: DataFrame, part: list[str], order: list[Column], cols: list[str]) -> DataFrame:
-    """Each column's last value that is not NULL, of the group's rows up to and including each row.
+    """Each column's last value that is not NULL, of the group's rows up to and including each row."""
+    return _scan(df, part, order, cols, lambda c, seq: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))),
+                 lambda c, w: F.last(c, ignorenulls=True).over(w), lambda own, before: F.coalesce(own, before))
+
+
+def running_min(df: DataFrame, part: list[str], order: list[Column], cols: list[str]) -> DataFrame:
+    """Each column's least value of the group's rows up to and including each row."""
+    return _scan(df, part, order, cols, lambda c, seq: F.min(c), lambda c, w: F.min(c).over(w), F.least)
+
+
+def _scan(df: DataFrame, part: list[str], order: list[Column], cols: list[str], total: Callable, run: Callable, join: Callable) -> DataFrame:
+    """A segmented scan with a fold given as a total of rows, its running form and its join of two.
 
-    A segmented scan: slices of one range shuffle carry inside themselves; of each slice a row
-    remains with its first and last group and what that last group's values end with, and from
-    these rows, a few thousand, comes what a slice's first group starts with.
+    Slices of one range shuffle fold inside themselves; of each slice a row remains with its first
+    and last group and what that last group's values end with, and from these rows, a few
+    thousand, comes what a slice's first group starts with.
     """
     keys = [F.col(k) for k in part]
     sliced = df.repartitionByRange(_slices(df), *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_slice", F.spark_partition_id())
     kept = stash(sliced.withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
     group = F.struct(*keys)
     inside = Window.partitionBy("_slice", *part).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = kept.withColumns({f"_c_{c}": F.last(c, ignorenulls=True).over(inside) for c in cols}).withColumn("_group", group)
-    ends = kept.groupBy("_slice", *part).agg(F.min("_seq").alias("_first"), F.max("_seq").alias("_last"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in cols])
+    out = kept.withColumns({f"_c_{c}": run(F.col(c), inside) for c in cols}).withColumn("_group", group)
+    ends = kept.groupBy("_slice", *part).agg(F.min("_seq").alias("_first"), F.max("_seq").alias("_last"), *[total(c, "_seq").alias(c) for c in cols])
     ends = ends.groupBy("_slice").agg(
         F.min_by(group, "_first").alias("_head"), F.max_by(group, "_last").alias("_tail"), *[F.max_by(F.struct(c), "_last").alias(c) for c in cols])
     same_tail = Window.partitionBy("_tail").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    ends = ends.withColumns({c: F.last(F.col(f"{c}.{c}"), ignorenulls=True).over(same_tail) for c in cols})
+    ends = ends.withColumns({c: run(F.col(f"{c}.{c}"), same_tail) for c in cols})
     before = Window.orderBy("_slice")  # one row per slice
     carry = ends.select("_slice", "_head", F.lag("_tail").over(before).alias("_tail"), *[F.lag(c).over(before).alias(f"_b_{c}") for c in cols])
     carry = carry.filter(F.col("_head").eqNullSafe(F.col("_tail"))).drop("_tail")
     joined = out.join(carry, "_slice", "left")
     comes = F.col("_group").eqNullSafe(F.col("_head"))
-    values = {c: F.coalesce(f"_c_{c}", F.when(comes, F.col(f"_b_{c}"))) for c in cols}
+    values = {c: join(F.col(f"_c_{c}"), F.when(comes, F.col(f"_b_{c}"))) for c in cols}
     return joined.withColumns(values).select(*df.columns)

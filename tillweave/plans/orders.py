@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import as_time, order_nulls
-from tillweave.operators.positions import assign_ids
+from tillweave.operators.positions import assign_ids, running_min
 from tillweave.plans.pricing import dec, price_requests, store_country
 from tillweave.plans.reports import available_qty
 from tillweave.plans.views import CHANNELS
@@ -105,13 +105,16 @@ def allocate(lines: DataFrame, t: RetailTables) -> DataFrame:
     """Give each unallocated line the smallest location that holds enough of its variant.
 
     Stock is not reduced between lines, so the answer depends on (variant, qty) alone and is
-    worked out once per distinct pair.
+    worked out once per distinct pair: stock and quantities of a variant are sorted together from
+    much to little, and the least location so far is the one wanted. No pairs are built.
     """
-    asked = lines.filter(F.col("fulfil_location_id").isNull()).select("variant_id", "qty").distinct()
-    usable = t.inventory_stock.join(
+    asked = lines.filter(F.col("fulfil_location_id").isNull() & F.col("qty").isNotNull()).select("variant_id", "qty").distinct()
+    usable = t.inventory_stock.filter(F.col("qty_available").isNotNull()).join(
         t.inventory_location.filter(F.col("location_type").isin("PICKFACE", "SHELF", "BULK")).select("location_id"), "location_id", "left_semi")
-    found = asked.join(usable.select("variant_id", "location_id", "qty_available"), "variant_id").filter(
-        F.col("qty_available") >= F.col("qty")).groupBy("variant_id", "qty").agg(F.min("location_id").alias("_loc"))
+    both = usable.select("variant_id", F.col("qty_available").alias("_amount"), F.lit(False).alias("_asked"), F.col("location_id").alias("_loc")).unionByName(
+        asked.select("variant_id", F.col("qty").alias("_amount"), F.lit(True).alias("_asked"), F.lit(None).cast(usable.schema["location_id"].dataType).alias("_loc")))
+    least = running_min(both, ["variant_id"], [F.desc("_amount"), F.asc("_asked")], ["_loc"])
+    found = least.filter(F.col("_asked")).select("variant_id", F.col("_amount").cast(lines.schema["qty"].dataType).alias("qty"), "_loc")
     done = lines.join(found, ["variant_id", "qty"], "left").withColumn("fulfil_location_id", F.coalesce("fulfil_location_id", "_loc"))
     return done.withColumn("status", F.when(F.col("fulfil_location_id").isNotNull(), "ALLOCATED").otherwise(F.col("status"))).select(*lines.columns)
 
