@@ -286,6 +286,76 @@ SELECT order_id AS promotion_id, 'Promotion end_ts must be after start_ts' AS re
     lambda t: h.normalise_stream(t.sales_order.select(c("order_id").alias("promotion_id"), c("order_ts").alias("start_ts"), F.lit(None).cast("decimal(14,2)").alias("spent_amount"), F.when(
         c("order_id") % 4 == 0, c("order_ts")).otherwise(c("order_ts") + F.expr("INTERVAL 1 DAY")).alias("end_ts")), "promotion", AS_OF)[1].select("promotion_id", "reject_reason"))
 
+LAST_ID = 1_000_000_000  # ids given on ingest follow it
+_ID = "CASE WHEN {0} % 5 = 0 THEN 1000000000 + {0} ELSE {0} END"
+
+
+def raw_arrivals(t):
+    """Rows of seven tables as they might arrive: every fifth without an id, some without what the rules supply."""
+    fifth = lambda df, key: df.withColumn("seq", c(key)).withColumn(key, F.when(c(key) % 5 != 0, c(key)))
+    some = lambda key, n, col: F.when(c(key) % n == 0, c(col)).alias(col)
+    padded = lambda e, col: F.concat(F.lit("  "), e, F.lit(" ")).alias(col)
+    frames = {
+        "address": (t.address, "address_id", [padded(c("line1"), "line1"), padded(c("city"), "city")]),
+        "customer": (t.customer, "customer_id", [some("seq", 2, "customer_ref"), padded(F.upper("email"), "email"), some("seq", 3, "created_ts")]),
+        "employee": (t.employee, "employee_id", [some("seq", 2, "employee_number"), padded(F.upper("first_name"), "first_name"), padded(F.lower("last_name"), "last_name")]),
+        "supplier": (t.supplier, "supplier_id", ["contact_name", F.when(c("seq") % 3 == 0, "nobody").otherwise(c("contact_email")).alias("contact_email"), "is_approved", F.lit(None).cast("timestamp").alias("onboarded_ts")]),
+        "promotion": (t.promotion, "promotion_id", ["start_ts", F.when(c("seq") % 4 == 0, c("start_ts")).otherwise(c("end_ts")).alias("end_ts"), some("seq", 2, "spent_amount")]),
+        "return_request": (t.return_request, "return_id", [some("seq", 2, "rma_number"), some("seq", 3, "requested_ts")]),
+        "sales_order": (t.sales_order, None, ["order_id", "channel_code", some("seq", 2, "shipping_amount"), "sales_employee_id"]),
+    }
+    parts = []
+    for table, (df, key, cols) in frames.items():
+        df = df.withColumn("seq", c("order_id")) if key is None else fifth(df, key)
+        parts.append(h.as_arrivals(df.select("seq", *([] if key is None else [key]), *cols), table, c("seq")))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def normalised(t, batches: int = BATCHES):
+    """Arrivals of seven tables in one stream, accepted and rejected rows from one pass."""
+    path, raw = fresh(t, "arrivals"), raw_arrivals(t)
+    raw.write.parquet(path)
+    stream = t.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", in_batches(t.spark, path, batches)).parquet(path)
+    done = drained(t, h.normalise_mixed(stream, AS_OF, {n: LAST_ID for n in h.INGEST_IDS}), lambda b: b, "normalise")
+    on = lambda f: F.date_format(f, "yyyy-MM-dd")
+    text = lambda *fs: F.concat_ws("|", *[F.coalesce((c(f) if isinstance(f, str) else f).cast("string"), F.lit("-")) for f in fs])
+    shown = {
+        "address": ("address_id", text("address.line1", "address.city")),
+        "customer": ("customer_id", text("customer.customer_ref", "customer.email", on("customer.created_ts"))),
+        "employee": ("employee_id", text("employee.employee_number", "employee.first_name", "employee.last_name")),
+        "supplier": ("supplier_id", text("supplier.is_approved", on("supplier.onboarded_ts"))),
+        "promotion": ("promotion_id", text("promotion.spent_amount", on("promotion.end_ts"))),
+        "return_request": ("return_id", text("return_request.rma_number", on("return_request.requested_ts"))),
+        "sales_order": ("order_id", text("sales_order.shipping_amount", "sales_order.sales_employee_id")),
+    }
+    here = lambda n, e: F.when(c("table_name") == n, e)
+    return done.select("table_name", F.coalesce(*[here(n, c(f"{n}.{k}")) for n, (k, _) in shown.items()]).alias("row_id"),
+                       F.coalesce(*[here(n, e) for n, (_, e) in shown.items()]).alias("detail"), "reject_reason")
+
+
+def _ingest_sql() -> str:
+    on = lambda e: f"CAST(CAST({e} AS DATE) AS STRING)"
+    text = lambda *es: " || '|' || ".join(f"COALESCE(CAST({e} AS STRING), '-')" for e in es)
+    words = lambda e: f"ARRAY_TO_STRING(LIST_TRANSFORM(STRING_SPLIT({e}, ' '), LAMBDA w: UPPER(w[1]) || LOWER(w[2:])), ' ')"
+    now, none = on(NOW), "CAST(NULL AS STRING)"
+    ref = lambda prefix, key, width: f"'{prefix}' || LPAD(CAST({_ID.format(key)} AS STRING), CAST(GREATEST({width}, LENGTH(CAST({_ID.format(key)} AS STRING))) AS INT), '0')"
+    rma = f"'RMA' || STRFTIME({NOW}, '%y') || LPAD(CAST(({_ID.format('return_id')} - 1) % 999999 + 1 AS STRING), 6, '0')"
+    bad = "contact_name IS NOT NULL AND (supplier_id % 3 = 0 OR contact_email IS NULL OR NOT REGEXP_MATCHES(contact_email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}$'))"
+    sources = [
+        ("address", "address_id", text("TRIM(line1)", "TRIM(city)"), none),
+        ("customer", "customer_id", text(f"CASE WHEN customer_id % 2 = 0 AND customer_ref IS NOT NULL THEN customer_ref ELSE {ref('CU', 'customer_id', 12)} END", "LOWER(TRIM(email))", f"CASE WHEN customer_id % 3 = 0 AND created_ts IS NOT NULL THEN {on('created_ts')} ELSE {now} END"), none),
+        ("employee", "employee_id", text(f"CASE WHEN employee_id % 2 = 0 AND employee_number IS NOT NULL THEN employee_number ELSE {ref('E', 'employee_id', 8)} END", words("TRIM(first_name)"), words("TRIM(last_name)")), none),
+        ("supplier", "supplier_id", text(f"CASE WHEN {bad} THEN 'N' ELSE is_approved END", now), none),
+        ("promotion", "promotion_id", text("CASE WHEN promotion_id % 2 = 0 THEN COALESCE(spent_amount, 0) ELSE CAST(0 AS DECIMAL(14,2)) END", on("CASE WHEN promotion_id % 4 = 0 THEN start_ts ELSE end_ts END")),
+         "CASE WHEN promotion_id % 4 = 0 OR end_ts <= start_ts THEN 'Promotion end_ts must be after start_ts' END"),
+        ("return_request", "return_id", text(f"CASE WHEN return_id % 2 = 0 AND rma_number IS NOT NULL THEN rma_number ELSE {rma} END", f"CASE WHEN return_id % 3 = 0 AND requested_ts IS NOT NULL THEN {on('requested_ts')} ELSE {now} END"), none),
+        ("sales_order", None, text("CASE WHEN order_id % 2 = 0 AND shipping_amount IS NOT NULL THEN shipping_amount WHEN channel_code = 'WEB' THEN CAST(0 AS DECIMAL(14,2)) END", "CASE WHEN channel_code <> 'WEB' THEN sales_employee_id END"), none),
+    ]
+    return "\nUNION ALL ".join(f"SELECT '{n}' AS table_name, {'order_id' if k is None else _ID.format(k)} AS row_id, {e} AS detail, {r} AS reject_reason FROM rt_{n}" for n, k, e, r in sources)
+
+
+query("inc_normalise_all", _ingest_sql())(normalised)
+
 # ---- stock, ledger, payments ----------------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillweave.functions.values import as_time, empty_to_null, nvl, pad_ref
+from tillweave.functions.values import as_time, empty_to_null, nvl, pad_ref, valid_email
 from tillweave.plans.quality import dq_ledger_drift, issues
 from tillweave.streaming.changes import Handler
 
@@ -140,43 +140,82 @@ def audit_mixed(changes: DataFrame, rules: list[AuditRule] = AUDIT_RULES) -> Dat
 
 # ---- normalisation on ingest ---------------------------------------------------------------------------
 
-def normalise_rules(table: str, as_of) -> tuple[dict[str, Column], dict[str, Column]]:
-    """(column defaults and cleaning, rules a row must meet) applied when rows of a table arrive."""
-    c = F.col
+# The tables cleaned on ingest and the id each is given when it comes without.
+INGEST_IDS = {"address": "address_id", "customer": "customer_id", "employee": "employee_id", "supplier": "supplier_id",
+              "promotion": "promotion_id", "return_request": "return_id", "sales_order": None}
+
+
+def normalise_rules(table: str, as_of, c: Callable[[str], Column] = F.col) -> tuple[dict[str, Column], dict[str, Column]]:
+    """(column defaults and cleaning, rules a row must meet) applied when rows of a table arrive;
+    `c` gives the value of a field."""
     now = as_time(as_of)
+    trim = lambda f: empty_to_null(F.trim(c(f)))  # blank text arrives as NULL
     if table == "address":
-        return {"line1": F.trim("line1"), "city": F.trim("city")}, {}
+        return {"line1": trim("line1"), "city": trim("city")}, {}
     if table == "customer":
-        return {"customer_ref": nvl("customer_ref", pad_ref("CU", "customer_id", 12)), "email": F.lower(F.trim("email")), "created_ts": nvl("created_ts", now)}, {}
+        return {"customer_ref": nvl(c("customer_ref"), pad_ref("CU", c("customer_id"), 12)), "email": F.lower(trim("email")), "created_ts": nvl(c("created_ts"), now)}, {}
     if table == "employee":
-        return {"employee_number": nvl("employee_number", pad_ref("E", "employee_id", 8)), "first_name": F.initcap(F.trim("first_name")), "last_name": F.initcap(F.trim("last_name"))}, {}
+        return {"employee_number": nvl(c("employee_number"), pad_ref("E", c("employee_id"), 8)), "first_name": F.initcap(trim("first_name")), "last_name": F.initcap(trim("last_name"))}, {}
     if table == "supplier":
-        from tillweave.functions.values import valid_email
-
-        bad = c("contact_name").isNotNull() & (valid_email("contact_email") != "Y")
-        return {"is_approved": F.when(bad, "N").otherwise(c("is_approved"))}, {}
+        bad = c("contact_name").isNotNull() & (valid_email(c("contact_email")) != "Y")
+        return {"is_approved": F.when(bad, "N").otherwise(c("is_approved")), "onboarded_ts": nvl(c("onboarded_ts"), now)}, {}
     if table == "promotion":
-        return {"spent_amount": nvl("spent_amount", 0).cast("decimal(14,2)")}, {"Promotion end_ts must be after start_ts": c("end_ts") > c("start_ts")}
+        return {"spent_amount": nvl(c("spent_amount"), 0).cast("decimal(14,2)")}, {"Promotion end_ts must be after start_ts": c("end_ts") > c("start_ts")}
     if table == "return_request":
         ref = F.concat(F.lit("RMA"), F.date_format(now, "yy"), F.lpad((F.pmod(c("return_id") - 1, F.lit(999_999)) + 1).cast("string"), 6, "0"))
-        return {"rma_number": nvl("rma_number", ref), "requested_ts": nvl("requested_ts", now)}, {}
+        return {"rma_number": nvl(c("rma_number"), ref), "requested_ts": nvl(c("requested_ts"), now)}, {}
     if table == "sales_order":
         web = c("channel_code") == "WEB"
-        return {"shipping_amount": F.when(web, nvl("shipping_amount", 0)).otherwise(c("shipping_amount")).cast("decimal(14,2)"),
+        return {"shipping_amount": F.when(web, nvl(c("shipping_amount"), 0)).otherwise(c("shipping_amount")).cast("decimal(14,2)"),
                 "sales_employee_id": F.when(~web, c("sales_employee_id"))}, {}
     raise ValueError(f"no ingest rules for {table}")
 
 
+def _reject_reason(must: dict[str, Column]) -> Column:
+    """The first rule that is broken; a rule over NULL is not."""
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(True)), F.lit(text)) for text, ok in must.items()], F.lit(None).cast("string"))
+
+
+def as_arrivals(rows: DataFrame, table: str, seq: Column) -> DataFrame:
+    """Raw rows of one table in the form that all tables share: table_name, seq and the row as a
+    struct named like its table; union them by name, with missing columns allowed. `seq` numbers the
+    arrivals of a table from 1, without repeats."""
+    return rows.select(F.lit(table).alias("table_name"), seq.cast("bigint").alias("seq"), F.struct(*rows.columns).alias(table))
+
+
+def normalise_mixed(arrivals: DataFrame, as_of, last_ids: dict[str, int]) -> DataFrame:
+    """Arrivals of all tables, cleaned by the rules of their table, and the reason of a reject.
+
+    One projection without state: a row that comes without an id gets the last id before the stream
+    plus its own number in the feed. Such ids are unique and ascend with the arrivals, as those of a
+    sequence do (with gaps), and neither the cut into batches nor a repeated batch changes them.
+    """
+    out, reasons = [], []
+    for table in [n for n in arrivals.columns if n in INGEST_IDS]:
+        fields = arrivals.schema[table].dataType.fieldNames()
+        key = INGEST_IDS[table]
+
+        def value(field: str, table=table, key=key, fields=fields) -> Column:
+            raw = F.col(f"{table}.{field}") if field in fields else F.lit(None)
+            return nvl(raw, F.col("seq") + last_ids.get(table, 0)) if field == key else raw
+
+        cols, must = normalise_rules(table, as_of, value)
+        here = F.col(table).isNotNull()
+        out.append(F.when(here, F.struct(*[cols.get(f, value(f)).alias(f) for f in fields])).alias(table))
+        reasons.append(F.when(here, _reject_reason(must)))
+    return arrivals.select("table_name", "seq", *out, F.coalesce(*reasons).alias("reject_reason"))
+
+
 def normalise_stream(df: DataFrame, table: str, as_of, trim_to_null: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, rejects); both stay streaming frames when the input is one."""
-    cols, must = normalise_rules(table, as_of)
+    have = lambda f: F.col(f) if f in df.columns else F.lit(None)
+    cols, must = normalise_rules(table, as_of, have)
     out = df.withColumns({k: v for k, v in cols.items() if k in df.columns})
     for name in trim_to_null or []:
         out = out.withColumn(name, empty_to_null(F.trim(name)))
     if not must:
         return out, out.filter(F.lit(False)).withColumn("reject_reason", F.lit(None).cast("string"))
-    why = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(True)), F.lit(text)) for text, ok in must.items()])
-    judged = out.withColumn("reject_reason", why)
+    judged = out.withColumn("reject_reason", _reject_reason(must))
     return judged.filter(F.col("reject_reason").isNull()).drop("reject_reason"), judged.filter(F.col("reject_reason").isNotNull())
 
 
