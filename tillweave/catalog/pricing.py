@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillweave.catalog.registry import d, day, half_up, i, query
 from tillweave.catalog.views import NET, NOW
 from tillweave.plans import families as fam
 from tillweave.plans import pricing as p
+from tillweave.session import shared_dir
+from tillweave.sources import feeds
 from tillweave.sources.binding import AS_OF
 
 ORDERS_IN = "o.status IN ('PLACED', 'PICKING', 'SHIPPED', 'DELIVERED')"
@@ -272,6 +278,45 @@ SELECT '{_system}' AS system_code, '{_transport}' AS transport, o.order_id, o.or
 FROM rt_sales_order o LEFT JOIN rt_address a ON a.address_id = o.ship_address_id WHERE o.status IN ('PLACED', 'SHIPPED', 'DELIVERED') AND {_cond}""")(
         lambda t, s=_system, k=_strict: fam.interface_extract(t, s, k, AS_OF))
 
+_FEEDS = ", ".join(f"('{code}', '{transport}', {k % 2 == 1})" for k, (code, transport, _, _) in enumerate(fam.SYSTEMS[:15]))
+query("gen_interface_extracts", f"""
+SELECT f.system_code, f.transport, o.order_id, o.order_number, o.order_ts, o.channel_code, o.status, a.line1, NULLIF(a.line2, '') AS line2, a.city,
+  a.postal_code, a.country_code, {d('o.subtotal_amount')} AS subtotal_amount, {d('o.tax_amount')} AS tax_amount
+FROM rt_sales_order o LEFT JOIN rt_address a ON a.address_id = o.ship_address_id JOIN (VALUES {_FEEDS}) f(system_code, transport, strict)
+  ON CASE WHEN f.strict THEN a.line2 IS NOT NULL AND a.line2 <> '' AND a.postal_code IS NOT NULL ELSE o.order_ts >= {NOW} - INTERVAL 1 MONTH END
+WHERE o.status IN ('PLACED', 'SHIPPED', 'DELIVERED')""")(lambda t: fam.interface_extracts(t, AS_OF))
+
+# entity, its two keys, a text and a number, by which the rows of a feed are shown
+_SHOWN = {
+    "product": ("product_id", None, "sku", "list_price"), "purchase_order": ("po_id", "supplier_id", "po_number", "order_total"),
+    "shipment": ("shipment_id", "order_id", "tracking_ref", None), "gl_journal": ("journal_id", "period_id", "journal_ref", None),
+    "customer": ("customer_id", None, "email", None), "product_variant": ("variant_id", "product_id", "variant_sku", "pack_qty"),
+    "gl_journal_line": ("journal_id", "line_no", "account_code", "debit_amount"), "order_payment": ("payment_id", "order_id", "payment_method", "amount"),
+    "loyalty_account": ("loyalty_id", "customer_id", "card_number", "points_balance"), "promotion": ("promotion_id", None, "promo_code", "budget_amount"),
+    "purchase_order_line": ("po_id", "line_no", "status", "unit_cost"), "sales_order_line": ("order_id", "line_no", "status", "unit_price"),
+    "sales_order": ("order_id", "customer_id", "order_number", "subtotal_amount"), "price_list_item": ("price_list_id", "variant_id", "price_reason_code", "unit_price"),
+    "coupon": ("coupon_id", "promotion_id", "coupon_code", "redemption_count"), "return_line": ("return_id", "line_no", "reason_code", "qty_returned"),
+    "store": ("store_id", "region_id", "store_code", "selling_area_sqm"),
+}
+
+
+def feeds_read_back(t):
+    """All outbound feeds written in their formats, and their rows as a reader finds them."""
+    folder = os.path.join(shared_dir(t.spark), "feeds", uuid.uuid4().hex)
+    sent, parts = feeds.write_feeds(t, folder), []
+    for code, path in sent.items():
+        transport, entity = feeds.outbound_entities()[code]
+        shown = zip(("key_1", "key_2", "label", "amount"), _SHOWN[entity], ("bigint", "bigint", "string", "double"), strict=True)
+        parts.append(feeds.read_feed(t.spark, path, transport, getattr(t, entity)).select(
+            F.lit(code).alias("system_code"), F.lit(transport).alias("transport"), *[(F.lit(None) if c is None else F.col(c)).cast(kind).alias(n) for n, c, kind in shown]))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+query("sink_interface_feeds", "\nUNION ALL ".join(
+    f"SELECT '{code}' AS system_code, '{transport}' AS transport, CAST({_SHOWN[entity][0]} AS BIGINT) AS key_1, CAST({_SHOWN[entity][1] or 'NULL'} AS BIGINT) AS key_2, "
+    f"NULLIF(CAST({_SHOWN[entity][2]} AS STRING), '') AS label, CAST({_SHOWN[entity][3] or 'NULL'} AS DOUBLE) AS amount FROM rt_{entity}"
+    for code, (transport, entity) in feeds.outbound_entities().items()))(feeds_read_back)
+
 query("gen_archive_window", f"""
 SELECT CAST(1999 AS BIGINT) AS archive_year, o.order_id, l.line_no, o.order_ts, o.store_id, l.variant_id, o.currency_code, {d('l.qty')} AS qty, {d('l.unit_price')} AS unit_price,
   {d('l.discount_amount')} AS discount_amount, {d('l.tax_amount')} AS tax_amount, {d(NET + ' + l.tax_amount')} AS line_total, o.status

@@ -147,6 +147,21 @@ def interface_extract(t: RetailTables, system: str, strict: bool, as_of) -> Data
     return out.filter(F.col("line2").isNotNull() & F.col("postal_code").isNotNull()) if strict else out
 
 
+def interface_extracts(t: RetailTables, as_of, systems: tuple = SYSTEMS[:15]) -> DataFrame:
+    """Order feeds of all systems, every second one strict, from one scan and one join of the orders:
+    an order is repeated for the systems whose rule it meets."""
+    address = t.address.select(F.col("address_id").alias("ship_address_id"), "line1", "line2", "city", "postal_code", "country_code")
+    orders = t.sales_order.filter(F.col("status").isin("PLACED", "SHIPPED", "DELIVERED")).join(address, "ship_address_id", "left")
+    whole = F.col("line2").isNotNull() & F.col("postal_code").isNotNull()
+    recent = F.col("order_ts") >= add_months_keep_end(as_time(as_of), -1).cast("timestamp_ntz")
+    feeds = F.array(*[F.struct(F.lit(code).alias("system_code"), F.lit(transport).alias("transport"), F.lit(k % 2 == 1).alias("strict"))
+                      for k, (code, transport, _, _) in enumerate(systems)])
+    met = F.filter(feeds, lambda f: F.when(f["strict"], whole).otherwise(recent))
+    return orders.select("*", F.inline(met)).select(
+        "system_code", "transport", "order_id", "order_number", "order_ts", "channel_code", "status", "line1", "line2", "city", "postal_code",
+        "country_code", nvl("subtotal_amount", 0).alias("subtotal_amount"), nvl("tax_amount", 0).alias("tax_amount"))
+
+
 def archive_window(t: RetailTables, year: int) -> DataFrame:
     """Order lines of one calendar year; the year test reaches the scan through order_ts."""
     ts = F.col("order_ts")
