@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillweave.functions.values import as_time, order_nulls
@@ -29,14 +29,18 @@ def basket_validate(heads: DataFrame, lines: DataFrame, t: RetailTables, as_of)
         .when(F.col("price").isNull(), F.struct(F.lit(2).alias("step"), F.concat(F.lit("No price for variant "), vid).alias("why")))
         .when(F.abs(F.col("unit_price") - F.col("price")) > dec("0.01"), F.struct(F.lit(3).alias("step"), F.concat(F.lit("Price changed for variant "), vid).alias("why")))
     )
-    first = whole.withColumn("_bad", step).groupBy("basket_id").agg(
+    wrong_channel = F.coalesce(~F.col("channel_code").isin(*CHANNELS), F.lit(False))
+    judged = whole.withColumn("_bad", step)
+    # a basket has few lines, so whether all of them are sound is a window, not a second price plan
+    sound = ~F.bool_or(F.col("_bad").isNotNull() | wrong_channel).over(Window.partitionBy("basket_id"))
+    kept = judged.withColumn("_sound", sound).filter("_sound").select(*asked.columns, F.coalesce("unit_price", "price").cast("decimal(12,4)").alias("sell_price"))
+    first = judged.groupBy("basket_id").agg(
         F.min(F.when(F.col("_bad").isNotNull(), F.struct("line_no", F.col("_bad.step").alias("step"), F.col("_bad.why").alias("why")))).alias("_f"),
         F.count("*").alias("_n"))
-    judged = heads.join(first, "basket_id", "left").withColumn("reject_reason", F.when(F.col("_n").isNull(), "Basket is empty").when(
-        ~F.col("channel_code").isin(*CHANNELS), F.concat(F.lit("Invalid channel: "), F.col("channel_code"))).otherwise(F.col("_f.why")))
-    good = judged.filter(F.col("reject_reason").isNull()).select("basket_id")
-    kept = whole.join(good, "basket_id", "left_semi").select(*asked.columns, F.coalesce("unit_price", "price").cast("decimal(12,4)").alias("sell_price"))
-    return kept, judged.filter(F.col("reject_reason").isNotNull()).select("basket_id", "reject_reason")
+    reason = F.when(F.col("_n").isNull(), "Basket is empty").when(
+        wrong_channel, F.concat(F.lit("Invalid channel: "), F.col("channel_code"))).otherwise(F.col("_f.why"))
+    rejects = heads.join(first, "basket_id", "left").withColumn("reject_reason", reason)
+    return kept, rejects.filter(F.col("reject_reason").isNotNull()).select("basket_id", "reject_reason")
 
 
 def orders_place(ok: DataFrame, t: RetailTables, start_id: int, as_of) -> tuple[DataFrame, DataFrame]:
