@@ -57,3 +57,15 @@ def test_every_system_has_a_transport_and_an_entity(t, tmp_path):
         df = getattr(t, entity)
         back = feeds.read_feed(t.spark, path, transport, df)
         assert back.exceptAll(feeds.wire_rows(df)).count() == 0 and back.count() == df.count()
+
+
+@pytest.mark.parametrize("transport", ["CSV", "JSON", "XML", "FIXED_WIDTH"])
+def test_text_feeds_are_packed_in_files_of_bounded_size(spark, tmp_path, monkeypatch, transport):
+    """Repeated tags and padding do not reach the disk, and no file is larger than one task should read."""
+    monkeypatch.setattr(feeds, "FILE_RECORDS", 1000)
+    df = spark.range(2500).select("id", F.lit("the same text in every record").alias("txt")).coalesce(1)
+    feeds.write_feed(df, transport, str(tmp_path / "feed"))
+    files = [p for p in (tmp_path / "feed").iterdir() if p.name.startswith("part-")]
+    assert len(files) == 3 and all(p.name.endswith(".gz") for p in files)
+    assert sum(p.stat().st_size for p in files) < 2500 * len("the same text in every record") / 2
+    assert feeds.read_feed(spark, str(tmp_path / "feed"), transport, df).agg(F.count_distinct("id")).first()[0] == 2500

@@ -11,6 +11,8 @@ from tillweave.sources.tables import RetailTables
 
 #: Characters of a text field in a fixed-width record.
 TEXT_WIDTH = 60
+#: Records of a text file. Text feeds travel as gzip, which one task reads from the start.
+FILE_RECORDS = 500_000
 
 _CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 _XML = {"rowTag": "row", "ignoreSurroundingSpaces": False}
@@ -73,14 +75,18 @@ def _from_fixed_width(records: DataFrame, names: list[str], widths: dict[str, in
 
 
 def write_feed(df: DataFrame, transport: str, path: str) -> None:
-    """Write an entity in its transport's format; a folder that exists is an error."""
+    """Write an entity in its transport's format; a folder that exists is an error.
+
+    Text formats repeat names, tags or padding in every record, so their files are gzip.
+    """
     rows = wire_rows(df)
+    packed = {"compression": "gzip", "maxRecordsPerFile": FILE_RECORDS}
     if transport == "FIXED_WIDTH":
-        _fixed_width(rows, _widths(df)).write.mode("errorifexists").text(path)
+        _fixed_width(rows, _widths(df)).write.mode("errorifexists").options(**packed).text(path)
         return
     kind, options = FORMATS.get(transport, ("parquet", {}))
     options = {k: v for k, v in options.items() if k != "multiLine"} | ({"ignoreNullFields": False} if kind == "json" else {})
-    rows.write.mode("errorifexists").format(kind).options(**options).save(path)
+    rows.write.mode("errorifexists").format(kind).options(**options, **({} if kind == "parquet" else packed)).save(path)
 
 
 def read_feed(spark: SparkSession, path: str, transport: str, like: DataFrame) -> DataFrame:
