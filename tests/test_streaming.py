@@ -118,6 +118,23 @@ def test_reservations_do_not_depend_on_batches(spark, tmp_path, batches):
     assert all(int(r["qty_available"]) == 50 - want[r["variant_id"]] and (r["last_movement_ts"] is None) == (r["variant_id"] == 3) for r in out)
 
 
+def test_neighbouring_places_share_one_state(spark, tmp_path):
+    """A thousand places of one location are a few states, over several batches; rows without a place book nothing."""
+    image = "named_struct('fulfil_location_id', {}, 'variant_id', {}, 'qty', CAST(2 AS DECIMAL(12,3)))"
+    for k, place in enumerate(("1L", "1L", "CAST(NULL AS BIGINT)")):
+        v = image.format(place, "id")
+        spark.range(1000).selectExpr("'I' AS op", f"{k * 1000} + id AS seq", f"IF(id < 0, {v}, NULL) AS old", f"{v} AS new").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ch.run_kept(h.reservation_state(stream), str(tmp_path / "cp"), "pages")
+    state = ch.read_state(spark, str(tmp_path / "cp"), ["total", "floor"])
+    assert state.count() == 1 + (999 >> h.PAGE_BITS)
+    stock = spark.range(1000).selectExpr("1L AS location_id", "id AS variant_id", "CAST(50 AS DECIMAL(14,3)) AS qty_on_hand", "CAST(1 AS DECIMAL(14,3)) AS qty_reserved",
+                                         "CAST(NULL AS TIMESTAMP_NTZ) AS last_movement_ts", "CAST(49 AS DECIMAL(15,3)) AS qty_available")
+    out = h.with_reservations(stock, state, "2024-01-01")
+    assert {tuple(r) for r in out.select(F.col("qty_reserved").cast("int"), F.col("qty_available").cast("int")).collect()} == {(5, 45)}
+
+
 def test_a_query_goes_on_from_its_state(spark, tmp_path):
     """A second run of the same checkpoint reads the new files only and keeps what was there."""
     orders = spark.createDataFrame([(1, "CART"), (2, "CART"), (3, "SHIPPED")], "order_id long, status string")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -232,35 +233,43 @@ def reservation_rows(changes: DataFrame) -> DataFrame:
     return rows.filter(F.col("delta") != 0)
 
 
-RESERVED = "total bigint, floor bigint"  # thousandths
+PAGE_BITS = 8  # of a location's variants, so many neighbours (2 ** 8) share one state
+RESERVED = "total map<bigint,bigint>, floor map<bigint,bigint>"  # thousandths by variant
 
 
 def reservation_state(changes: DataFrame) -> DataFrame:
-    """What the changes so far do to the reservation of each place, kept as state per key.
+    """What the changes so far do to the reservation of each place, kept as state per page, a bounded
+    run of a location's variants: a call for every place would cost more than its few rows.
 
     A change by d takes a reservation q to max(q + d, 0). Any row of such steps takes q to
     max(q + total, floor), and a further step of (t, f) makes that (total + t, max(floor + t, f)),
-    so the state is two numbers. The rows of a key inside one micro-batch are taken in order of
-    `seq`, whatever the cut into batches; at most a batch's rows of one key are sorted at once.
+    so a place is two numbers. The rows of a page inside one micro-batch are taken in order of
+    `seq`, whatever the cut into batches; at most a batch's rows of one page are sorted at once.
     """
     thousandths = (F.col("delta") * 1000).cast("bigint").alias("delta")
 
     def step(key, frames, state):
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        run = rows["delta"].to_numpy().cumsum()
-        t, f = int(run[-1]), int(run[-1] - run.min())
-        total, floor = state.get if state.exists else (0, None)
-        new = (total + t, f if floor is None else max(floor + t, f))
-        state.update(new)
-        yield pd.DataFrame([(*key, *new)], columns=["location_id", "variant_id", "total", "floor"])
-
-    rows = reservation_rows(changes).select("location_id", "variant_id", "seq", thousandths)
-    return rows.groupBy("location_id", "variant_id").applyInPandasWithState(step, f"location_id bigint, variant_id bigint, {RESERVED}", RESERVED, "update", "NoTimeout")
+        rows = pd.concat(list(frames)).sort_values(["variant_id", "seq"], kind="stable")
+        variants, delta = rows["variant_id"].to_numpy(), rows["delta"].to_numpy()
+        first = np.flatnonzero(np.r_[True, variants[1:] != variants[:-1]])
+        run = delta.cumsum()
+        run -= np.repeat(run[first] - delta[first], np.diff(np.r_[first, len(run)]))
+        last = run[np.r_[first[1:], len(run)] - 1]
+        total, floor = map(dict, state.get) if state.exists else ({}, {})
+        for v, t, f in zip(variants[first].tolist(), last.tolist(), (last - np.minimum.reduceat(run, first)).tolist()):
+            total[v], floor[v] = (total[v] + t, max(floor[v] + t, f)) if v in total else (t, f)
+        state.update((total, floor))
+        yield pd.DataFrame({"location_id": [key[0]], "page": [key[1]], "places": [len(first)]})
+
+    rows = reservation_rows(changes).filter("location_id IS NOT NULL AND variant_id IS NOT NULL").select(
+        "location_id", F.shiftright("variant_id", PAGE_BITS).alias("page"), "variant_id", "seq", thousandths)
+    return rows.groupBy("location_id", "page").applyInPandasWithState(step, "location_id bigint, page bigint, places bigint", RESERVED, "update", "NoTimeout")
 
 
 def with_reservations(stock: DataFrame, state: DataFrame, as_of) -> DataFrame:
     """Stock with its reservations as the state has them."""
-    got = state.select("location_id", "variant_id", *[(F.col(n).cast("decimal(20,0)") / 1000).cast("decimal(14,3)").alias(f"_{n}") for n in ("total", "floor")])
+    places = state.select("location_id", F.explode("total").alias("variant_id", "total"), "floor").withColumn("floor", F.col("floor")[F.col("variant_id")])
+    got = places.select("location_id", "variant_id", *[(F.col(n).cast("decimal(20,0)") / 1000).cast("decimal(14,3)").alias(f"_{n}") for n in ("total", "floor")])
     hit = F.col("_total").isNotNull()
     new = F.greatest(nvl("qty_reserved", 0) + F.col("_total"), F.col("_floor"), F.lit(0)).cast("decimal(14,3)")
     out = stock.join(got, ["location_id", "variant_id"], "left").withColumns({
