@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillweave.plans import finance as fin
 from tillweave.plans import inventory as inv
 from tillweave.plans import loyalty as loy
+from tillweave.plans import procurement as proc
 from tillweave.plans import quality as q
 from tillweave.session import stash
 
@@ -116,3 +117,13 @@ def test_month_end_stops_after_a_failure(t, tmp_path):
     from tillweave.plans.batch import month_end
 
     assert [s for _, s in month_end(t, 199501, "1996-01-05", "2001-08-02", str(tmp_path))] == ["FAILED", "SKIPPED", "SKIPPED"]
+
+
+def test_purchase_requests_that_share_an_id_are_numbered_alike_in_every_run(spark, t):
+    asks = [(7, s, 1, "2001-08-01") for s in range(1, 40) if s % 7 not in (0,)]
+    random.Random(5).shuffle(asks)
+    frame = spark.createDataFrame(asks, "request_id long, supplier_id long, warehouse_id long, d string").withColumn("order_date", F.col("d").cast("timestamp_ntz")).drop("d")
+    known = t.supplier.limit(1).select(*[F.col(c) for c in t.supplier.columns if c not in ("supplier_id", "is_approved")])
+    suppliers = spark.range(1, 40).select(F.col("id").alias("supplier_id"), F.lit("Y").alias("is_approved")).crossJoin(known)
+    made = proc.po_create(frame, t.replace(supplier=suppliers), 100)[0]
+    assert [r["supplier_id"] for r in made.orderBy("po_id").collect()] == sorted(a[1] for a in asks)

@@ -48,13 +48,14 @@ def po_close(t: RetailTables, tol_pct=None) -> DataFrame:
 
 def po_create(requests: DataFrame, t: RetailTables, start_id: int) -> tuple[DataFrame, DataFrame]:
     """Draft orders for (request_id, supplier_id, warehouse_id, order_date); unknown suppliers and
-    suppliers marked as not approved are rejected. A supplier without a mark passes."""
+    suppliers marked as not approved are rejected. A supplier without a mark passes. Numbers follow
+    request_id; requests that share one go by supplier, warehouse and date, so a rerun agrees."""
     known = t.supplier.select("supplier_id", "is_approved", "currency_code", F.lit(True).alias("_known"))
     sid = F.col("supplier_id").cast("string")
     reason = F.when(F.col("_known").isNull(), F.concat(F.lit("Unknown supplier "), sid)).when(
         F.col("is_approved") != "Y", F.concat(F.lit("Supplier "), sid, F.lit(" is not approved for purchasing")))
     judged = requests.join(known, "supplier_id", "left").withColumn("reject_reason", reason)
-    ok = assign_ids(judged.filter(F.col("reject_reason").isNull()), [F.col("request_id")], start_id, "po_id", "PO", 12, "po_number")
+    ok = assign_ids(judged.filter(F.col("reject_reason").isNull()), [F.col(c) for c in ("request_id", "supplier_id", "warehouse_id", "order_date")], start_id, "po_id", "PO", 12, "po_number")
     new = ok.select(
         "request_id", "po_id", "po_number", "supplier_id", "warehouse_id", "order_date",
         (F.col("order_date") + F.expr("INTERVAL 14 DAYS")).alias("expected_date"), F.lit("DRAFT").alias("status"), "currency_code",
