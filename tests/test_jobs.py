@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillweave.plans import finance as fin
 from tillweave.plans import inventory as inv
 from tillweave.plans import loyalty as loy
+from tillweave.plans import orders as ords
 from tillweave.plans import procurement as proc
 from tillweave.plans import quality as q
 from tillweave.session import stash
@@ -127,3 +128,12 @@ def test_purchase_requests_that_share_an_id_are_numbered_alike_in_every_run(spar
     suppliers = spark.range(1, 40).select(F.col("id").alias("supplier_id"), F.lit("Y").alias("is_approved")).crossJoin(known)
     made = proc.po_create(frame, t.replace(supplier=suppliers), 100)[0]
     assert [r["supplier_id"] for r in made.orderBy("po_id").collect()] == sorted(a[1] for a in asks)
+
+
+def test_placing_prices_the_baskets_once(spark, t):
+    """Heads and lines of the placed orders come from one written copy of the sound lines."""
+    ok = t.sales_order_line.join(t.sales_order.select("order_id", "customer_id", "store_id", "channel_code"), "order_id").select(
+        F.col("order_id").alias("basket_id"), "line_no", "variant_id", "qty", F.col("unit_price").alias("sell_price"), "customer_id", "store_id", "channel_code")
+    lines = ords.orders_place(ok, t, 10, "2001-08-01")[1]
+    assert not any(p.endswith(("lineitem.parquet", "orders.parquet")) for p in lines.inputFiles())
+    assert lines.count() == ok.count()

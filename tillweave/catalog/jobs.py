@@ -311,7 +311,8 @@ FROM rt_purchase_order WHERE po_id % 50 = 0 OR (po_id % 3 = 0 AND status <> 'DRA
 def _baskets(t):
     """Every order as a basket: some of unknown channel, some without lines, some with a stale price."""
     heads = t.sales_order.select(c("order_id").alias("basket_id"), "customer_id", "store_id", F.when(c("order_id") % 40 == 0, "FAX").otherwise(c("channel_code")).alias("channel_code"))
-    lines = t.sales_order_line.filter("order_id % 37 <> 0").groupBy(c("order_id").alias("basket_id"), (c("line_no") * 1_000_000 + c("variant_id")).alias("line_no"), "variant_id").agg(
+    # dealt by basket once: the sums of a line and the join with its head need no other shuffle
+    lines = t.sales_order_line.filter("order_id % 37 <> 0").repartition("order_id").groupBy(c("order_id").alias("basket_id"), (c("line_no") * 1_000_000 + c("variant_id")).alias("line_no"), "variant_id").agg(
         F.sum("qty").alias("qty"), F.max(F.when(c("order_id") % 6 == 0, F.lit(1).cast("decimal(12,4)"))).alias("unit_price"))
     return heads, lines
 

@@ -10,6 +10,7 @@ from tillweave.operators.positions import assign_ids, running_min
 from tillweave.plans.pricing import dec, price_requests, store_country
 from tillweave.plans.reports import available_qty
 from tillweave.plans.views import CHANNELS
+from tillweave.session import stash
 from tillweave.sources.tables import RetailTables
 
 
@@ -46,9 +47,11 @@ def basket_validate(heads: DataFrame, lines: DataFrame, t: RetailTables, as_of)
 def orders_place(ok: DataFrame, t: RetailTables, start_id: int, as_of) -> tuple[DataFrame, DataFrame]:
     """Orders and lines for sound baskets (lines as basket_validate returns them, with customer_id).
 
-    Tax is 20% per line, rounded per line; totals are the sums of the lines.
+    Tax is 20% per line, rounded per line; totals are the sums of the lines. The sound lines are
+    written once, since heads and lines both follow from them and their prices are costly.
     """
     net = F.col("qty") * F.col("sell_price")
+    ok = stash(ok.select("basket_id", "line_no", "variant_id", "qty", "sell_price", "customer_id", "store_id", "channel_code"))
     lines = ok.withColumns({"_net": net.cast("decimal(24,7)"), "_tax": F.round(net * dec("0.2"), 2).cast("decimal(16,2)")})
     heads = lines.groupBy("basket_id", "customer_id", "store_id", "channel_code").agg(
         F.sum("_net").alias("subtotal_amount"), F.sum("_tax").alias("tax_amount"))
