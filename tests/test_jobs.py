@@ -137,3 +137,11 @@ def test_placing_prices_the_baskets_once(spark, t):
     lines = ords.orders_place(ok, t, 10, "2001-08-01")[1]
     assert not any(p.endswith(("lineitem.parquet", "orders.parquet")) for p in lines.inputFiles())
     assert lines.count() == ok.count()
+
+
+def test_prices_of_one_small_file_are_made_by_many_tasks(spark, t):
+    """A part becomes twenty prices, so one file of parts may not be one task; its variants stay together."""
+    spread = t.price_list_item.select("variant_id", F.spark_partition_id().alias("task")).groupBy("variant_id").agg(
+        F.min("task").alias("task"), F.count_distinct("task").alias("tasks"))
+    out = spread.agg(F.count_distinct("task").alias("used"), F.max("tasks").alias("most")).first()
+    assert out["used"] == int(spark.conf.get("spark.sql.shuffle.partitions")) and out["most"] == 1

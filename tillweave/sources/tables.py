@@ -37,6 +37,10 @@ class RetailTables:
     def _bind(self, key: str) -> DataFrame:
         if key not in self._retail:
             needs = {s: self.base(s) if s in BASE_TABLES else self._bind(s) for s in slots(key)}
+            if key == "rt_price_list_item":
+                # a part becomes up to twenty prices, so the few files of the parts are dealt out first, by variant
+                slices = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                needs["part"] = needs["part"].repartition(max(slices, 1), "p_partkey")
             bound = self.spark.sql(BINDING[key], **needs)
             self._retail[key] = add_derived(self._shape(key, bound), key[3:])
         return self._retail[key]
