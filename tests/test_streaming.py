@@ -173,3 +173,14 @@ def test_mixed_audit_rows(spark):
         ("GL_JOURNAL_LINE", "3/2", "D", None, None), ("ORDER_PAYMENT", "2", "U", "OPEN", "CAPTURED"),
         ("COUPON", "5", "D", "X1|promo=|redemptions=4", None), ("COUPON", "5", "D", "see application journal", None)], key=str)
     assert len(h.AUDIT_RULES) == 14
+
+
+def test_audit_of_mixed_rows_is_compiled_to_small_methods(spark):
+    """No lambda that runs interpreted, and no method too long for the JVM to optimise."""
+    kind = "struct<customer_id:long,customer_ref:string,last_name:string,status:string>"
+    changes = h.as_mixed(spark.createDataFrame([], f"op string, old {kind}, new {kind}"), "customer")
+    plan = h.audit_mixed(changes)._jdf.queryExecution().executedPlan()
+    assert "lambda" not in plan.toString()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(plan)
+    assert stages.size() and max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000

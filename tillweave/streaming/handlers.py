@@ -81,7 +81,7 @@ class AuditRule:
     @property
     def fields(self) -> set[str]:
         images = [f for image in (self.old, self.new) if isinstance(image, tuple) for _, f in image]
-        return {f.split(":")[0] for f in (*self.key, *images)}
+        return {*self.key, *images}
 
 
 def _bars(*fields: str) -> tuple[tuple[str, str], ...]:
@@ -106,37 +106,58 @@ AUDIT_RULES = [
 ]
 
 
+def _text_of(row: str, field: str) -> Column:
+    """A field of an image as a rule names it."""
+    name, _, kind = field.partition(":")
+    value = F.col(f"{row}.{name}")
+    return F.date_format(value.cast("timestamp"), "yyyy-MM-dd") if kind else value.cast("string")
+
+
 def as_mixed(changes: DataFrame, table: str, rules: list[AuditRule] = AUDIT_RULES) -> DataFrame:
     """Changes of one table in the form that all tables share: table_name, op, and both images as
-    VARIANT, with the fields its rules name."""
-    wanted = set().union(*[r.fields for r in rules if r.table == table])
-    image = lambda side: F.when(F.col(side).isNotNull(), F.to_variant_object(F.struct(*[F.col(f"{side}.{f.name}") for f in changes.schema[side].dataType.fields if f.name in wanted]))).alias(side)
+    maps from field to text, with the fields its rules name."""
+    wanted = sorted(set().union(*[r.fields for r in rules if r.table == table]))
+    image = lambda side: F.when(F.col(side).isNotNull(), F.create_map(*[x for f in wanted for x in (F.lit(f), _text_of(side, f))])).alias(side)
     return changes.select(F.lit(table).alias("table_name"), "op", image("old"), image("new"))
 
 
 def audit_mixed(changes: DataFrame, rules: list[AuditRule] = AUDIT_RULES) -> DataFrame:
-    """The audit rows of a stream in which changes of all tables lie mixed, one per change and rule."""
-
-    def field(side: str, name: str) -> Column:
-        name, _, kind = name.partition(":")
-        value = F.try_variant_get(F.col(side), f"$.{name}", "timestamp" if kind else "string")
-        return F.date_format(value, "yyyy-MM-dd") if kind else value
-
-    def image(side: str, parts) -> Column:
-        nothing = F.lit(None).cast("string")
-        if parts is None:
-            return nothing
-        text = F.lit(parts) if isinstance(parts, str) else F.concat(*[x for prefix, name in parts for x in (F.lit(prefix), nvl(field(side, name), ""))])
-        return F.when(F.col(side).isNotNull(), text)
-
-    def of(rule: AuditRule) -> Column:
-        key = F.concat_ws("/", *[nvl(F.when(F.col("op") == "D", field("old", k)).otherwise(field("new", k)), "") for k in rule.key])
-        hit = (F.col("table_name") == rule.table) & F.col("op").isin(*rule.ops)
-        if rule.when is not None:
-            hit = hit & F.coalesce(rule.when(field), F.lit(False))
-        return F.when(hit, F.struct(*audit_row(rule.table, key, F.col("op"), image("old", rule.old), image("new", rule.new))))
+    """The audit rows of a stream in which changes of all tables lie mixed, one per change and rule.
 
-    return changes.select(F.inline(F.filter(F.array(*map(of, rules)), lambda r: r.isNotNull())))
+    A row is joined with its table's rules as values, and one expression serves all of them: an
+    expression per rule grows the compiled method past what the JVM optimises.
+    """
+    texts = lambda values: F.array(*map(F.lit, values)) if values else F.lit(None).cast("array<string>")
+
+    def parts(image) -> Column:
+        pairs = image if isinstance(image, tuple) else ()
+        return F.struct(F.lit(image if isinstance(image, str) else None).cast("string").alias("fixed"),
+                        texts([p for p, _ in pairs]).alias("prefix"), texts([f for _, f in pairs]).alias("field"))
+
+    def stated(number: int, rule: AuditRule) -> Column:
+        return F.struct(F.lit(number).alias("number"), F.lit(rule.ops).alias("ops"), texts(rule.key).alias("key"), parts(rule.old).alias("old"), parts(rule.new).alias("new"))
+
+    by_table: dict[str, list[Column]] = {}
+    for number, rule in enumerate(rules):
+        by_table.setdefault(rule.table, []).append(stated(number, rule))
+    mine = F.coalesce(*[F.when(F.col("table_name") == table, F.array(*own)) for table, own in by_table.items()])
+    n_key, n_part = max(len(r.key) for r in rules), max(len(i) for r in rules for i in (r.old, r.new) if isinstance(i, tuple))
+
+    def image(side: str) -> Column:
+        at = lambda what, k: F.get(F.col(f"_rule.{side}.{what}"), F.lit(k))
+        text = F.when(F.col(f"_rule.{side}.field").isNotNull(), F.concat_ws("", *[x for k in range(n_part) for x in (at("prefix", k), F.col(side)[at("field", k)])]))
+        return F.when(F.col(side).isNotNull(), F.coalesce(F.col(f"_rule.{side}.fixed"), text))
+
+    value = lambda side, name: F.col(side)[name]
+    ruled = changes.select("table_name", "op", "old", "new", F.explode(mine).alias("_rule")).filter(F.col("_rule.ops").contains(F.col("op")))
+    for number, rule in enumerate(rules):
+        if rule.when is not None:
+            ruled = ruled.filter((F.col("_rule.number") != number) | F.coalesce(rule.when(value), F.lit(False)))
+    shown = F.when(F.col("op") == "D", F.col("old")).otherwise(F.col("new"))
+    part = lambda k: F.get(F.col("_rule.key"), F.lit(k))
+    key = F.concat_ws("/", *[F.when(part(k).isNotNull(), nvl(F.col("_shown")[part(k)], "")) for k in range(n_key)])
+    row = audit_row("", key, F.col("op"), image("old"), image("new"))
+    return ruled.withColumn("_shown", shown).select(F.substring(F.upper("table_name"), 1, 30).alias("table_name"), *row[1:])
 
 
 # ---- normalisation on ingest ---------------------------------------------------------------------------
