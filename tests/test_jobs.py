@@ -145,3 +145,23 @@ def test_prices_of_one_small_file_are_made_by_many_tasks(spark, t):
         F.min("task").alias("task"), F.count_distinct("task").alias("tasks"))
     out = spread.agg(F.count_distinct("task").alias("used"), F.max("tasks").alias("most")).first()
     assert out["used"] == int(spark.conf.get("spark.sql.shuffle.partitions")) and out["most"] == 1
+
+
+def test_only_keys_whose_guard_can_fire_are_put_in_order(spark, monkeypatch):
+    """Increases from a sound balance, unguarded decreases and a first copy are settled by one sum."""
+    from tillweave.operators import merge
+
+    seen, whole = [], merge.running_total
+    monkeypatch.setattr(merge, "running_total", lambda events, *a: (seen.append({r["k"] for r in events.select("k").distinct().collect()}), whole(events, *a))[1])
+    start = spark.createDataFrame([(1, 10), (2, 3), (3, -5), (4, 2), (None, 1)], "k int, balance int").withColumn("balance", F.col("balance").cast("decimal(14,3)"))
+    rows = [(1, 1, 4, True), (1, 2, -10, True), (2, 1, -9, False), (3, 1, 4, True), (3, 2, 6, True), (4, 1, -3, True), (4, 2, 1, True), (5, 1, 7, True), (None, 1, 3, True), (None, 2, -1, True)]
+    events = spark.createDataFrame(rows, "k int, o int, delta int, guarded boolean").withColumn("delta", F.col("delta").cast("decimal(14,3)"))
+    out = {r["k"]: int(r["balance"]) for r in merge.ordered_balances(start, events, ["k"], ["o"]).collect()}
+    assert seen == [{3, 4, None}]
+    assert out == {1: 4, 2: -6, 3: 1, 4: 3, 5: 7, None: 2}
+
+
+def test_rejected_movements_need_no_balances(spark, t, monkeypatch):
+    want = sorted(r["movement_id"] for r in inv.movement_apply(t.inventory_stock, t.inventory_movement, "2001-08-02")[1].collect())
+    monkeypatch.setattr(inv, "ordered_balances", None)
+    assert sorted(r["movement_id"] for r in inv.rejected_movements(t.inventory_stock, t.inventory_movement).collect()) == want and want

@@ -201,7 +201,7 @@ FROM ends e LEFT JOIN rt_inventory_stock s ON s.location_id = e.location_id AND
 query("job_movement_apply_rejects", """
 SELECT movement_id, variant_id, CASE WHEN qty = 0 THEN 'Movement quantity must be non-zero' ELSE CONCAT('No stock record at location ', CAST(from_location_id AS STRING)) END AS reject_reason
 FROM rt_inventory_movement m WHERE qty = 0 OR (from_location_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM rt_inventory_stock s WHERE s.location_id = m.from_location_id AND s.variant_id = m.variant_id))""")(
-    lambda t: inv.movement_apply(t.inventory_stock, t.inventory_movement, AS_OF)[1].select("movement_id", "variant_id", "reject_reason"))
+    lambda t: inv.rejected_movements(t.inventory_stock, t.inventory_movement).select("movement_id", "variant_id", "reject_reason"))
 
 _INTO = "(SELECT to_location_id AS location_id, variant_id, SUM(qty) AS q FROM rt_inventory_movement WHERE to_location_id IS NOT NULL GROUP BY 1, 2)"
 query("job_movement_bulk", f"""

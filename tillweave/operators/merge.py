@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillweave.functions.values import as_time
-from tillweave.operators.positions import running_total
+from tillweave.operators.positions import _null_safe, running_total
 from tillweave.session import stash
 
 
@@ -67,16 +67,25 @@ def ordered_balances(start: DataFrame, events: DataFrame, keys: list[str], order
     """Balance of each key after its events one by one: (keys, balance, applied).
 
     start: keys, balance. events: keys, order columns, delta, guarded. The first event of a key
-    without a balance sets it; a guarded event that would leave it below zero is left out. Where no
-    running sum of guarded events falls below zero, the sum of all is the answer; the other keys are
-    walked in order, as a stream of sorted rows with one balance as state.
+    without a balance sets it; a guarded event that would leave it below zero is left out. A key
+    without guarded events, or whose balance outlasts all its decreases, is settled by one sum; only
+    events of the other keys are put in order. Where no running sum of guarded events falls below
+    zero, the sum is the answer too; the keys that remain are walked in order, as a stream of sorted
+    rows with one balance as state.
     """
+    sums = events.groupBy(*keys).agg(
+        F.sum("delta").alias("_sum"), F.coalesce(F.sum(F.when(F.col("delta") < 0, F.col("delta"))), F.lit(0)).alias("_down"), F.bool_or("guarded").alias("_guarded"))
+    first = stash(sums.join(start, keys, "left"))
+    outlasts = ~F.col("_guarded") | (F.coalesce("balance", F.lit(0)) + F.col("_down") >= 0)
+    total = (F.coalesce("balance", F.lit(0)) + F.col("_sum")).cast("decimal(28,3)").alias("balance")
+    settled = first.filter(outlasts).select(*keys, total, F.lit(True).alias("applied"))
+    doubtful = first.filter(~outlasts).select(*keys)
     # summed per key in one global order, so a key with very many events is not one task's work
-    run = running_total(events, keys, [F.col(c) for c in order], "delta", "_s")
+    run = running_total(_null_safe(events, doubtful, keys), keys, [F.col(c) for c in order], "delta", "_s")
     whole = run.groupBy(*keys).agg(F.sum("delta").alias("_sum"), F.min(F.when(F.col("guarded"), F.col("_s"))).alias("_low"), F.min("_s").alias("_least"))
     judged = stash(whole.join(start, keys, "left"))
     low = F.coalesce(F.col("balance") + F.col("_low"), F.when(F.col("balance").isNull(), F.col("_least")), F.lit(0))
-    exact = judged.filter(low >= 0).select(*keys, (F.coalesce("balance", F.lit(0)) + F.col("_sum")).cast("decimal(28,3)").alias("balance"), F.lit(True).alias("applied"))
+    exact = settled.unionByName(judged.filter(low >= 0).select(*keys, total, F.lit(True).alias("applied")))
     rest = judged.filter(low < 0).select(*keys, "balance")
     rows = run.join(rest, keys).select(*keys, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], "delta", "guarded", "balance")
     spread = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"_o{k}" for k in range(len(order))])

@@ -13,27 +13,46 @@ from tillweave.sources.tables import RetailTables
 
 KEY = ["location_id", "variant_id"]
 
+ORDER = ["movement_id", "qty", "to_location_id", "from_location_id"]
 
-def _accepted(stock: DataFrame, moves: DataFrame, order: list[str]) -> DataFrame:
+
+def _accepted(stock: DataFrame, moves: DataFrame) -> DataFrame:
     """Movements with `_ok`: a quantity, and a stock row at the place they leave.
 
-    The row is there from the start or was created by an earlier accepted movement. What a movement
-    creates may let others through, so the earliest creations are found in rounds until none is added.
+    The row is there from the start or was created by an earlier accepted movement. Only places that
+    movements leave and that hold no row are looked at, as a rule few; what a movement creates there
+    may let others through, so the earliest creations are found in rounds until none is added.
     """
-    have = stock.select(F.col("location_id").alias("from_location_id"), "variant_id", F.lit(True).alias("_have")).distinct()
-    when = F.struct(*order)
-    moves = stash(moves.join(have, ["from_location_id", "variant_id"], "left").withColumn("_qty_ok", F.coalesce(F.col("qty") != 0, F.lit(False))))
-    free = F.col("from_location_id").isNull() | F.col("_have").isNotNull()
-    created = lambda ok: ok.filter(F.col("to_location_id").isNotNull()).groupBy(
-        F.col("to_location_id").alias("from_location_id"), "variant_id").agg(F.min(when).alias("_since"))
-    since, known = stash(created(moves.filter(F.col("_qty_ok") & free))), None
-    waiting = moves.filter(F.col("_qty_ok") & ~free)
+    place, when = ["from_location_id", "variant_id"], F.struct(*ORDER)
+    has_qty = F.coalesce(F.col("qty") != 0, F.lit(False))
+    left = moves.filter(has_qty & F.col("from_location_id").isNotNull()).select(*place).distinct()
+    bare = stash(left.join(stock.select(F.col("location_id").alias("from_location_id"), "variant_id"), place, "left_anti").withColumn("_bare", F.lit(True)))
+    judged = moves.join(bare, place, "left")
+    free = F.col("from_location_id").isNull() | (F.col("variant_id").isNotNull() & F.col("_bare").isNull())
+    created = lambda ok: ok.select(F.col("to_location_id").alias("from_location_id"), "variant_id", when.alias("_when")).join(
+        bare, place, "left_semi").groupBy(*place).agg(F.min("_when").alias("_since"))
+    if bare.isEmpty():
+        return judged.withColumn("_ok", has_qty & free).drop("_bare")
+    since, known = stash(created(judged.filter(has_qty & free))), None
+    waiting = stash(judged.filter(has_qty & ~free))
     while (n := since.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()) != known:
         known = n
-        more = waiting.join(since, ["from_location_id", "variant_id"]).filter(F.col("_since") < when).drop("_since")
-        since = stash(since.unionByName(created(more)).groupBy("from_location_id", "variant_id").agg(F.min("_since").alias("_since")))
-    out = moves.join(since, ["from_location_id", "variant_id"], "left")
-    return out.withColumn("_ok", F.col("_qty_ok") & (free | F.coalesce(F.col("_since") < when, F.lit(False)))).drop("_since", "_have", "_qty_ok")
+        more = waiting.join(since, place).filter(F.col("_since") < when).drop("_since")
+        since = stash(since.unionByName(created(more)).groupBy(*place).agg(F.min("_since").alias("_since")))
+    return judged.join(since, place, "left").withColumn(
+        "_ok", has_qty & (free | F.coalesce(F.col("_since") < when, F.lit(False)))).drop("_since", "_bare")
+
+
+def movement_rejects(judged: DataFrame) -> DataFrame:
+    """The movements left out, each with its reason."""
+    reason = F.when(F.col("qty").isNull() | (F.col("qty") == 0), "Movement quantity must be non-zero").otherwise(
+        F.concat(F.lit("No stock record at location "), F.col("from_location_id").cast("string")))
+    return judged.filter("NOT _ok").withColumn("reject_reason", reason).drop("_ok")
+
+
+def rejected_movements(stock: DataFrame, moves: DataFrame) -> DataFrame:
+    """The rejects of `movement_apply` alone; no balance is computed for them."""
+    return movement_rejects(_accepted(stock, moves)).select(*moves.columns, "reject_reason")
 
 
 def movement_apply(stock: DataFrame, moves: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
@@ -43,10 +62,7 @@ def movement_apply(stock: DataFrame, moves: DataFrame, as_of) -> tuple[DataFrame
     Movements without quantity, or out of a location that holds no stock row at that point, are
     rejected whole. The result does not depend on how a feed is cut into batches.
     """
-    order = ["movement_id", "qty", "to_location_id", "from_location_id"]
-    judged = _accepted(stock, moves, order)
-    reason = F.when(F.col("qty").isNull() | (F.col("qty") == 0), "Movement quantity must be non-zero").otherwise(
-        F.concat(F.lit("No stock record at location "), F.col("from_location_id").cast("string")))
+    judged = _accepted(stock, moves)
     amount, side = F.abs("qty").cast("decimal(14,3)"), F.struct(F.col("movement_id"), F.col("qty"), F.col("to_location_id"), F.col("from_location_id"))
     legs = judged.filter("_ok").select("variant_id", side.alias("_when"), F.inline(F.array(
         F.struct(F.col("to_location_id").alias("location_id"), amount.alias("delta"), F.lit(True).alias("guarded")),
@@ -59,7 +75,7 @@ def movement_apply(stock: DataFrame, moves: DataFrame, as_of) -> tuple[DataFrame
         {"qty_on_hand": F.col("s.balance"), "qty_reserved": F.lit(0), "last_movement_ts": as_time(as_of), "qty_available": F.col("s.balance")},
         update_if=F.col("s.applied"))
     new = new.withColumn("qty_available", (F.col("qty_on_hand") - F.col("qty_reserved")).cast("decimal(15,3)"))
-    return new, judged.filter("NOT _ok").withColumn("reject_reason", reason).select(*moves.columns, "reject_reason")
+    return new, movement_rejects(judged).select(*moves.columns, "reject_reason")
 
 
 def movement_bulk(stock: DataFrame, moves: DataFrame, as_of) -> DataFrame:
