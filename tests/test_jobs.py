@@ -165,3 +165,28 @@ def test_rejected_movements_need_no_balances(spark, t, monkeypatch):
     want = sorted(r["movement_id"] for r in inv.movement_apply(t.inventory_stock, t.inventory_movement, "2001-08-02")[1].collect())
     monkeypatch.setattr(inv, "ordered_balances", None)
     assert sorted(r["movement_id"] for r in inv.rejected_movements(t.inventory_stock, t.inventory_movement).collect()) == want and want
+
+
+def test_fulfilment_moves_each_row_once_and_unsummed(spark, t):
+    """Orders and their rows are shuffled once each; nothing is aggregated below the shuffle."""
+    from tillweave.plans import views
+
+    df = views.order_fulfilment_status(t)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Aggregate" not in plan[plan.index("REPARTITION_BY_NUM"):]
+
+
+def test_fulfilment_of_repeated_and_unnumbered_lines(spark, t):
+    """Both rows of a repeated line meet the whole shipped sum; a shipped row without a line number or without a line meets none."""
+    from tillweave.plans import views
+
+    rows = lambda data, names: spark.createDataFrame(data, names)
+    num = lambda df, *cs: df.withColumns({c: F.col(c).cast("decimal(12,3)") for c in cs})
+    lines = num(rows([(1, 1, 4), (1, 1, 6), (1, None, 2), (2, 1, 5)], "order_id long, line_no long, qty int"), "qty")
+    shipped = num(rows([(1, 1, 3), (1, 1, 2), (1, None, 9), (2, 7, 1), (3, 1, 1)], "order_id long, order_line_no long, qty_shipped int"), "qty_shipped")
+    paid = rows([(1, "CAPTURED", 8), (1, "CAPTURED", 1), (2, "PENDING", 7)], "order_id long, status string, a int").withColumn("amount", F.col("a").cast("decimal(14,2)"))
+    orders = t.sales_order.filter("order_id <= 3 AND order_id >= 1")
+    out = views.order_fulfilment_status(t.replace(sales_order=orders, sales_order_line=lines, shipment_line=shipped, order_payment=paid))
+    got = {r["order_id"]: (r["line_count"], int(r["qty_ordered"]), int(r["qty_shipped"]), r["fulfilment_state"], int(r["amount_captured"])) for r in out.collect()}
+    want = {1: (3, 12, 10, "PARTIAL", 9), 2: (1, 5, 0, "UNSHIPPED", 0), 3: (0, 0, 0, "UNSHIPPED", 0)}
+    assert got == {k: v for k, v in want.items() if k in got} and len(got) == orders.count() > 0

@@ -428,16 +428,28 @@ def fx_latest_rates(t: RetailTables) -> DataFrame:
 
 
 def order_fulfilment_status(t: RetailTables) -> DataFrame:
-    """Ordered against shipped quantities, and the amount captured, per order."""
-    shipped = t.shipment_line.groupBy("order_id", F.col("order_line_no").alias("line_no")).agg(F.sum("qty_shipped").alias("sent"))
-    # lines first reduced to (order, line): every line row of a key meets the same shipped sum
-    lines = t.sales_order_line.groupBy("order_id", "line_no").agg(F.sum("qty").alias("qty"), F.count("*").alias("n"))
-    per_order = lines.join(shipped, ["order_id", "line_no"], "left").groupBy("order_id").agg(
-        F.sum("n").alias("line_count"), F.sum("qty").alias("qty_ordered"), F.sum(F.col("sent") * F.col("n")).alias("qty_shipped"))
-    captured = t.order_payment.filter(F.col("status") == "CAPTURED").groupBy("order_id").agg(F.sum("amount").alias("cap"))
+    """Ordered against shipped quantities, and the amount captured, per order.
+
+    Lines, shipped lines and captures hardly share a key within one input split, so summing them
+    before the shuffle would only hold them all: their narrow rows go to the order's slice first, and
+    are summed there per line, then per order. Every line row of a key meets the same shipped sum.
+    There are as many slices as the session has shuffle partitions, so a task's sums follow that number.
+    """
+    def rows(df: DataFrame, line: str | None = None, **held: str) -> DataFrame:
+        kinds = {"qty": "decimal(12,3)", "n": "bigint", "sent": "decimal(12,3)", "cap": "decimal(14,2)"}
+        return df.select("order_id", (F.col(line) if line else F.lit(None).cast("bigint")).alias("line_no"), *[
+            (F.expr(held[k]) if k in held else F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()])
+
+    every = rows(t.sales_order_line, "line_no", qty="qty", n="1").unionByName(
+        rows(t.shipment_line.filter(F.col("order_line_no").isNotNull()), "order_line_no", sent="qty_shipped")).unionByName(
+        rows(t.order_payment.filter(F.col("status") == "CAPTURED"), cap="amount"))
+    slices = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    per_line = every.repartition(slices, "order_id").groupBy("order_id", "line_no").agg(*[F.sum(c).alias(c) for c in ("qty", "n", "sent", "cap")])
+    per_order = per_line.groupBy("order_id").agg(
+        F.sum("n").alias("line_count"), F.sum("qty").alias("qty_ordered"), F.sum(F.col("sent") * F.col("n")).alias("qty_shipped"), F.sum("cap").alias("cap"))
     sent, ordered = nvl("qty_shipped", 0), nvl("qty_ordered", 0)
     return (
-        t.sales_order.join(per_order, "order_id", "left").join(captured, "order_id", "left")
+        t.sales_order.join(per_order, "order_id", "left")
         .select("order_id", "order_number", "order_ts", "store_id", "channel_code", F.col("status").alias("order_status"),
                 "currency_code", "order_total", nvl("line_count", 0).alias("line_count"), ordered.alias("qty_ordered"),
                 sent.alias("qty_shipped"), (ordered - sent).alias("qty_outstanding"),
