@@ -190,3 +190,12 @@ def test_fulfilment_of_repeated_and_unnumbered_lines(spark, t):
     got = {r["order_id"]: (r["line_count"], int(r["qty_ordered"]), int(r["qty_shipped"]), r["fulfilment_state"], int(r["amount_captured"])) for r in out.collect()}
     want = {1: (3, 12, 10, "PARTIAL", 9), 2: (1, 5, 0, "UNSHIPPED", 0), 3: (0, 0, 0, "UNSHIPPED", 0)}
     assert got == {k: v for k, v in want.items() if k in got} and len(got) == orders.count() > 0
+
+
+def test_order_totals_rank_no_lines(spark, t, monkeypatch):
+    monkeypatch.setattr(proc, "rank_cols", None)
+    asks = t.purchase_order_line.select("po_id", F.col("line_no").alias("seq"), "variant_id", F.col("qty_ordered").alias("qty"), "unit_cost")
+    before = {r["po_id"]: r["order_total"] for r in t.purchase_order_line.filter("coalesce(status, 'OPEN') <> 'CANCELLED'").groupBy("po_id").agg(F.sum(F.col("qty_ordered") * F.col("unit_cost")).alias("order_total")).collect()}
+    added = {r["po_id"]: r["v"] for r in asks.groupBy("po_id").agg(F.sum(F.col("qty") * F.col("unit_cost")).alias("v")).collect()}
+    after = {r["po_id"]: r["order_total"] for r in proc.po_totals(asks, t).collect()}
+    assert after == {k: round(before.get(k, 0) + v, 2) for k, v in added.items()}

@@ -278,7 +278,7 @@ query("job_po_lines_totals", f"""
 SELECT p.po_id, {d('COALESCE(n.v, p.order_total)')} AS order_total FROM rt_purchase_order p LEFT JOIN (
   SELECT po_id, CAST(SUM(v) AS DECIMAL(14,2)) AS v FROM (SELECT po_id, qty_ordered * unit_cost AS v FROM rt_purchase_order_line WHERE COALESCE(status, 'OPEN') <> 'CANCELLED'
     UNION ALL SELECT po_id, qty * cost FROM {_LNEW}) WHERE po_id IN (SELECT po_id FROM {_LREQ}) GROUP BY 1) n ON n.po_id = p.po_id""")(
-    lambda t: proc.po_lines(_line_requests(t), t)[1].select("po_id", "order_total"))
+    lambda t: proc.po_totals(_line_requests(t), t).select("po_id", "order_total"))
 
 
 def _moves_po(t):

@@ -63,26 +63,43 @@ def po_create(requests: DataFrame, t: RetailTables, start_id: int) -> tuple[Data
     return new, judged.filter(F.col("reject_reason").isNotNull()).select(*requests.columns, "reject_reason")
 
 
+def _priced(requests: DataFrame, t: RetailTables) -> DataFrame:
+    """Requested lines with `_qty` and `_cost` as a line holds them; a missing cost is the primary source's, else 0.
+
+    Only requests without a cost look for a source.
+    """
+    source = t.supplier_product.filter(F.col("is_primary_source") == "Y").groupBy("supplier_id", "variant_id").agg(
+        F.min("unit_cost").alias("_found"))
+    asks = requests.filter(F.col("unit_cost").isNull()).join(t.purchase_order.select("po_id", "supplier_id"), "po_id", "left").join(
+        source, ["supplier_id", "variant_id"], "left").select(*requests.columns, "_found")
+    return requests.filter(F.col("unit_cost").isNotNull()).withColumn("_found", F.lit(None).cast(asks.schema["_found"].dataType)).unionByName(asks).select(
+        "po_id", "seq", "variant_id", F.col("qty").cast("decimal(12,3)").alias("_qty"), F.coalesce("unit_cost", "_found", F.lit(0)).cast("decimal(12,4)").alias("_cost"))
+
+
 def po_lines(requests: DataFrame, t: RetailTables) -> tuple[DataFrame, DataFrame]:
     """Append (po_id, seq, variant_id, qty, unit_cost) lines; a missing cost is the primary source's,
     else 0. Returns the new lines and the orders with their new totals."""
     last = t.purchase_order_line.groupBy("po_id").agg(F.max("line_no").alias("_last"))
-    source = t.supplier_product.filter(F.col("is_primary_source") == "Y").groupBy("supplier_id", "variant_id").agg(
-        F.min("unit_cost").alias("_cost"))
-    rows = requests.join(t.purchase_order.select("po_id", "supplier_id"), "po_id", "left").join(
-        source, ["supplier_id", "variant_id"], "left").join(last, "po_id", "left")
-    rows = rank_cols(rows, ["po_id"], [By("seq")], {"_n": "row_number"}, ["variant_id"])
+    rows = rank_cols(_priced(requests, t).join(last, "po_id", "left"), ["po_id"], [By("seq")], {"_n": "row_number"}, ["variant_id"])
     lines = rows.select(
-        "po_id", (nvl("_last", 0) + F.col("_n")).cast("bigint").alias("line_no"), "variant_id", F.col("qty").cast("decimal(12,3)").alias("qty_ordered"),
-        F.lit(0).cast("decimal(12,3)").alias("qty_received"), F.coalesce("unit_cost", "_cost", F.lit(0)).cast("decimal(12,4)").alias("unit_cost"),
+        "po_id", (nvl("_last", 0) + F.col("_n")).cast("bigint").alias("line_no"), "variant_id", F.col("_qty").alias("qty_ordered"),
+        F.lit(0).cast("decimal(12,3)").alias("qty_received"), F.col("_cost").alias("unit_cost"),
         F.lit("OPEN").alias("status"))
-    live = t.purchase_order_line.filter(nvl("status", "OPEN") != "CANCELLED").select("po_id", "qty_ordered", "unit_cost").unionByName(
-        lines.select("po_id", "qty_ordered", "unit_cost"))
-    touched = requests.select("po_id").distinct()
-    totals = live.join(touched, "po_id", "left_semi").groupBy("po_id").agg(
-        F.sum(F.col("qty_ordered") * F.col("unit_cost")).cast("decimal(14,2)").alias("_total"))
-    orders = t.purchase_order.join(totals, "po_id", "left").withColumn("order_total", F.coalesce("_total", "order_total")).select(*t.purchase_order.columns)
-    return lines, orders
+    return lines, po_totals(requests, t)
+
+
+def po_totals(requests: DataFrame, t: RetailTables) -> DataFrame:
+    """The orders with the totals they have once the requested lines are appended.
+
+    A total asks for no line numbers, so no line is ranked; each side is summed per order before it
+    meets the orders.
+    """
+    value = lambda qty, cost: F.sum(F.col(qty) * F.col(cost))
+    new = _priced(requests, t).groupBy("po_id").agg(value("_qty", "_cost").alias("_new"))
+    live = t.purchase_order_line.filter(nvl("status", "OPEN") != "CANCELLED").groupBy("po_id").agg(value("qty_ordered", "unit_cost").alias("_live"))
+    known = F.coalesce(F.col("_new") + F.col("_live"), "_new", "_live")
+    totals = new.join(live, "po_id", "left").select("po_id", known.cast("decimal(14,2)").alias("_total"))
+    return t.purchase_order.join(totals, "po_id", "left").withColumn("order_total", F.coalesce("_total", "order_total")).select(*t.purchase_order.columns)
 
 
 def po_transition(t: RetailTables, requests: DataFrame) -> tuple[RetailTables, DataFrame]:
